@@ -1,0 +1,26 @@
+"""Function words of the languages in the data."""
+
+from __future__ import annotations
+
+# Frequent function words of each language.
+FUNCTION_WORDS: dict[str, frozenset[str]] = {
+    "en": frozenset(
+        "a about after all although an and any are as at be because been before below between but by can could did do does each every "
+        "for from had has have here how if in into is it its may must no nobody nor not nothing now of off on once one only or others our out "
+        "over some so than that the their them then there these they this those to until up was we were what when where which while who why "
+        "will with without you your".split()
+    ),
+    "de": frozenset(
+        "aber als alle am an auch auf aus bei bis da damit danach dann das dass dem den der des die dies diese diesem dieser dieses doch dort durch "
+        "ein eine einem einen einer eines er erst es für gegen hat hier hinter ihr im in ist ja kann kein man mit muss nach nicht noch nur ob oder "
+        "ohne sein sich sie sind so sollte soll über um und unter vom von vor war was weil wenn wer werden wie wird wo zu zuerst zum zur zwischen lässt".split()
+    ),
+    "fr": frozenset(
+        "à afin ainsi après au aux avec avant ce ces cette chez comme d dans de des donc du elle en ensuite entre est et il ils l la le les leur lorsque "
+        "lors mais n ne nous on ou où par pas plus pour puis qu quand que qui s sa sans se ses si son sont sous sur un une vers vous y".split()
+    ),
+    "es": frozenset(
+        "a al antes aquí así como con cuando de del desde después donde e el ella en entre era es esta está están este estos fue hacia hasta la las le les lo los "
+        "luego más muy no nos o para pero por porque puede que qué se sea ser si sin sobre son su sus también tras un una unas unos y ya".split()
+    ),
+}
