@@ -2,10 +2,17 @@
 
 from __future__ import annotations
 
-from loomscope.llm import near_duplicates
+from loomscope.llm import near_duplicates, stuffed_pages, target_sample
 
 QUERIES = {
     "p1_found": near_duplicates.p1_found,
+    "p4_found": target_sample.p4_found,
+    "p4_plan": target_sample.p4_plan,
+    "p4_sample": target_sample.p4_sample,
+    "p7_found": stuffed_pages.p7_found,
+    "p7_by_language": stuffed_pages.p7_by_language,
 }
 
-ORACLES: dict[str, str] = {}
+ORACLES: dict[str, str] = {
+    "p4_found": target_sample.P4_FOUND_SQL,
+}
