@@ -78,7 +78,7 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
     mixed = F.aggregate("toks", F.lit(0).cast("bigint"), lambda s, t: s.bitwiseXOR(F.xxhash64(t)))
     docs = written(docs.withColumn("id", F.xxhash64(folded, mixed, F.size("toks"))), "texts")
     members = docs.select("field_name", "key", "id")
-    sets = docs.select("id", "toks").dropDuplicates(["id"]).withColumn("n", F.size("toks")).withColumn("side", F.lit(0))
+    sets = docs.select("id", "toks").dropDuplicates(["id"]).withColumn("n", F.size("toks"))
     sets = written(sets, "sets")
 
     found = written(sketches.candidates(sketches.entries(sets)), "candidates")

@@ -37,7 +37,7 @@ LIST_GOAL = 4096
 PARTNERS = 16
 SMALL_LIST = 64
 
-ENTRY = "key BIGINT, id BIGINT, sig BIGINT, n INT, c INT, skip INT, side INT, hot BOOLEAN"
+ENTRY = "key BIGINT, id BIGINT, sig BIGINT, mark BIGINT, n INT, c INT, skip INT, side INT, hot BOOLEAN"
 FOUND = "a BIGINT, b BIGINT, " + ENTRY
 
 
@@ -70,16 +70,18 @@ def _mix(x: np.ndarray, y: np.ndarray, seed: int) -> np.ndarray:
 
 
 def entries(docs: DataFrame) -> DataFrame:
-    """The inverted-list entries (:data:`ENTRY`) of ``docs`` (``id BIGINT, toks ARRAY<BIGINT>, n INT, side INT``)."""
+    """The inverted-list entries (:data:`ENTRY`) of ``docs`` (``id BIGINT, toks ARRAY<BIGINT>, n INT``, for sided lists ``side INT, mark BIGINT``)."""
     words, counts, n_docs, _ = hot_words(docs)
     spark = docs.sparkSession
+    if "side" not in docs.columns:
+        docs = docs.withColumn("side", F.lit(0)).withColumn("mark", F.lit(-1).cast("bigint"))
     sent = spark.sparkContext.broadcast((words, counts))
-    schema = pa.schema([("key", pa.int64()), ("id", pa.int64()), ("sig", pa.int64()), ("n", pa.int32()), ("c", pa.int32()), ("skip", pa.int32()), ("side", pa.int32()), ("hot", pa.bool_())])
+    schema = pa.schema([("key", pa.int64()), ("id", pa.int64()), ("sig", pa.int64()), ("mark", pa.int64()), ("n", pa.int32()), ("c", pa.int32()), ("skip", pa.int32()), ("side", pa.int32()), ("hot", pa.bool_())])
 
     def batch_entries(batch: pa.RecordBatch) -> pa.RecordBatch:
         words, counts = sent.value
         ids = batch.column(0).to_numpy(zero_copy_only=False)
-        lists, side = batch.column(1), batch.column(2).to_numpy(zero_copy_only=False)
+        lists, side, mark = batch.column(1), *(batch.column(i).to_numpy(zero_copy_only=False) for i in (2, 3))
         offsets = lists.offsets.to_numpy()
         flat = lists.values.to_numpy(zero_copy_only=False)[offsets[0] : offsets[-1]]
         n = np.diff(offsets).astype(np.int64)
@@ -116,7 +118,7 @@ def entries(docs: DataFrame) -> DataFrame:
             key, expected, pos = _mix(key[up], flat[at], 7), expected[up] * freq[at] / max(n_docs, 1), nxt
         row = np.concatenate(rows)
         return pa.RecordBatch.from_arrays(
-            [pa.array(x) for x in (np.concatenate(keys), ids[row], sig.view(np.int64)[row], n[row].astype(np.int32), c[row].astype(np.int32), np.concatenate(skips).astype(np.int32), side[row].astype(np.int32), np.concatenate(hot))],
+            [pa.array(x) for x in (np.concatenate(keys), ids[row], sig.view(np.int64)[row], mark[row], n[row].astype(np.int32), c[row].astype(np.int32), np.concatenate(skips).astype(np.int32), side[row].astype(np.int32), np.concatenate(hot))],
             schema=schema,
         )
 
@@ -125,7 +127,13 @@ def entries(docs: DataFrame) -> DataFrame:
             if batch.num_rows:
                 yield batch_entries(batch)
 
-    return docs.select("id", "toks", "side").mapInArrow(run, ENTRY)
+    return docs.select("id", "toks", "side", "mark").mapInArrow(run, ENTRY)
+
+
+def marks_near(a: np.ndarray, b: np.ndarray, apart: int) -> np.ndarray:
+    """Whether two marks (eight bytes each, -1 for none) may differ by at most ``apart`` on average; a byte is up to 2 too small."""
+    bytes_a, bytes_b = (np.ascontiguousarray(x).view(np.uint8).reshape(-1, 8).astype(np.int16) for x in (a, b))
+    return (np.abs(bytes_a - bytes_b).sum(1) <= 8 * (apart + 2)) | (a == -1) | (b == -1)
 
 
 def passes(a: dict, b: dict, sided: bool) -> np.ndarray:
@@ -147,10 +155,10 @@ def passes(a: dict, b: dict, sided: bool) -> np.ndarray:
     return good & (17 * np.maximum(apart_at_least, apart) <= 3 * total)
 
 
-COLUMNS = ("key", "id", "sig", "n", "c", "skip", "side", "hot")
+COLUMNS = ("key", "id", "sig", "mark", "n", "c", "skip", "side", "hot")
 
 
-def _small_lists(x: dict, sided: bool) -> tuple[np.ndarray, np.ndarray]:
+def _small_lists(x: dict, sided: bool, mark_apart: int | None) -> tuple[np.ndarray, np.ndarray]:
     """All passing pairs of lists of up to SMALL_LIST entries; x is sorted by key."""
     key, out_a, out_b = x["key"], [], []
     row = np.arange(len(key))
@@ -162,38 +170,46 @@ def _small_lists(x: dict, sided: bool) -> tuple[np.ndarray, np.ndarray]:
         for p, q in ((row, row + gap),) if sided else ((row, row + gap), (row + gap, row)):
             a, b = {k: x[k][p] for k in COLUMNS}, {k: x[k][q] for k in COLUMNS}
             good = passes(a, b, sided)
+            if mark_apart is not None:
+                good &= marks_near(a["mark"], b["mark"], mark_apart)
             out_a.append(a["id"][good]), out_b.append(b["id"][good])
     none = np.empty(0, np.int64)
     return np.concatenate([none, *out_a]), np.concatenate([none, *out_b])
 
 
-def _long_list(x: dict, sided: bool, most: int | None, differ: str | None) -> tuple[np.ndarray, np.ndarray, bool]:
+def _long_list(x: dict, sided: bool, mark_apart: int | None, most: int | None) -> tuple[np.ndarray, np.ndarray, bool]:
     """Passing pairs of one list, at most ``most`` for each entry, and whether that may have left some out.
 
     The partners of all entries are tried in one order, so that entries of one group of near copies choose the
-    same partners. differ: a column in which the two must differ.
+    same partners.
     """
     order = np.argsort(_mix(x["id"], np.zeros(len(x["id"]), np.int64), 3), kind="stable")
     x = {k: v[order] for k, v in x.items()}
-    total, out_a, out_b, cut = len(order), [], [], False
-    for lo in range(0, total, 512):
-        b = {k: v[lo : lo + 512, None] for k, v in x.items()}
-        had = np.zeros(b["id"].shape, np.int64)
-        for start in range(0, total, 1024):
-            a = {k: v[None, start : start + 1024] for k, v in x.items()}
-            good = passes(a, b, sided)
-            if sided:
-                good &= b["side"] == 0
-            if differ:
-                good &= a[differ] != b[differ]
+    first, second = (x["side"] == 1, x["side"] == 0) if sided else (np.ones(len(order), bool), 17 * x["skip"] <= 3 * x["n"])
+    a, b = {k: v[first] for k, v in x.items()}, {k: v[second] for k, v in x.items()}
+    # The part of the bound that rules out most pairs, in few operations: 17 * differing sketch bits <= room_a + room_b.
+    room_a, room_b = ((3 * y["n"] - 17 * np.where(y["hot"], y["c"], y["skip"])).astype(np.int32) for y in (a, b))
+    sig_a, sig_b = a["sig"].view(np.uint64), b["sig"].view(np.uint64)
+    out_a, out_b, cut = [np.empty(0, np.int64)], [np.empty(0, np.int64)], False
+    for lo in range(0, len(sig_b), 128):
+        rows = slice(lo, lo + 128)
+        had = np.zeros(len(sig_b[rows]), np.int64)
+        for start in range(0, len(sig_a), 2048):
+            cols = slice(start, start + 2048)
+            bits = np.bitwise_count(sig_b[rows, None] ^ sig_a[None, cols])
+            i, j = np.nonzero(bits <= (room_b[rows, None] + room_a[None, cols]) // 17)
+            one, other = {k: v[j + start] for k, v in a.items()}, {k: v[i + lo] for k, v in b.items()}
+            good = passes(one, other, sided)
+            if mark_apart is not None:
+                good &= marks_near(one["mark"], other["mark"], mark_apart)
+            i, j = i[good], j[good]
             if most is not None:
-                rank = np.cumsum(good, axis=1) + had
-                cut |= bool((good & (rank > most)).any())
-                good &= rank <= most
-            had += good.sum(axis=1, keepdims=True)
-            i, j = np.nonzero(good)
-            out_a.append(a["id"][0, j]), out_b.append(b["id"][i, 0])
-            if most is not None and (had >= most).all() and start + 1024 < total:
+                rank = np.arange(len(i)) - np.searchsorted(i, i) + had[i]  # i is sorted
+                cut |= bool((rank >= most).any())
+                had += np.bincount(i, minlength=len(had))
+                i, j = i[rank < most], j[rank < most]
+            out_a.append(a["id"][j + start]), out_b.append(b["id"][i + lo])
+            if most is not None and (had >= most).all() and start + 2048 < len(sig_a):
                 cut = True
                 break
     return np.concatenate(out_a), np.concatenate(out_b), cut
@@ -234,24 +250,25 @@ def _lists(batches: Iterator[pa.RecordBatch], names: tuple[str, ...]) -> Iterato
 def _batch(a: np.ndarray, b: np.ndarray, x: dict | None = None) -> pa.RecordBatch:
     n = len(a)
     cols = [pa.array(a, pa.int64()), pa.array(b, pa.int64())]
-    for k, kind in zip(COLUMNS, (pa.int64(), pa.int64(), pa.int64(), *[pa.int32()] * 4, pa.bool_()), strict=True):
+    for k, kind in zip(COLUMNS, (*[pa.int64()] * 4, *[pa.int32()] * 4, pa.bool_()), strict=True):
         cols.append(pa.nulls(n, kind) if x is None else pa.array(x[k]).cast(kind))
     return pa.RecordBatch.from_arrays(cols, names=["a", "b", *COLUMNS])
 
 
-def candidates(listed: DataFrame, sided: bool = False) -> DataFrame:
+def candidates(listed: DataFrame, sided: bool = False, mark_apart: int | None = None) -> DataFrame:
     """Candidate pairs of the inverted lists (:data:`FOUND`): rows with ``a`` and ``b``, and the entries of the lists
     that were not exhausted (``a`` and ``b`` null, the other columns set), for :func:`candidates_left`.
 
-    With ``sided`` all passing pairs of an entry of side 0 with one of side 1 are given and nothing is left.
+    With ``sided`` all passing pairs of an entry of side 0 with one of side 1 are given and nothing is left; with
+    ``mark_apart`` only those whose marks may differ by at most that on average.
     """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for x, long in _lists(batches, COLUMNS):
             if not long:
-                yield _batch(*_small_lists(x, sided))
+                yield _batch(*_small_lists(x, sided, mark_apart))
                 continue
-            a, b, cut = _long_list(x, sided, None if sided else PARTNERS, None)
+            a, b, cut = _long_list(x, sided, mark_apart, None if sided else PARTNERS)
             yield _batch(a, b)
             if cut:
                 none = pa.nulls(len(x["id"]), pa.int64())
