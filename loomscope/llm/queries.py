@@ -2,10 +2,12 @@
 
 from __future__ import annotations
 
-from loomscope.llm import near_duplicates, stuffed_pages, target_sample
+from loomscope.llm import cross_split, near_duplicates, stuffed_pages, target_sample
 
 QUERIES = {
     "p1_found": near_duplicates.p1_found,
+    "p3_found": cross_split.p3_found,
+    "p3_report": cross_split.p3_report,
     "p4_found": target_sample.p4_found,
     "p4_plan": target_sample.p4_plan,
     "p4_sample": target_sample.p4_sample,
