@@ -2,10 +2,12 @@
 
 from __future__ import annotations
 
-from loomscope.llm import cross_split, near_duplicates, stuffed_pages, target_sample
+from loomscope.llm import broken_pairs, cross_split, near_duplicates, stuffed_pages, target_sample
 
 QUERIES = {
     "p1_found": near_duplicates.p1_found,
+    "p2_found": broken_pairs.p2_found,
+    "p2_by_defect": broken_pairs.p2_by_defect,
     "p3_found": cross_split.p3_found,
     "p3_report": cross_split.p3_report,
     "p4_found": target_sample.p4_found,
