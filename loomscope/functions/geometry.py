@@ -34,10 +34,10 @@ def denormalised(box: Column, image_size: Column) -> Column:
 
 
 def centre(coords: Column) -> Column:
-    """The point itself if there are two numbers, the middle of a box if there are four, else (-1, -1)."""
+    """The point itself if there are two numbers, the middle of a box if there are four, else (-1, -1); null for null."""
     n = F.size(coords)
     middle = F.array((at(coords, 0) + at(coords, 2)) / 2, (at(coords, 1) + at(coords, 3)) / 2)
-    return F.when(n == 2, coords).when(n == 4, middle).otherwise(F.array(F.lit(-1.0), F.lit(-1.0)))
+    return F.when(n == 2, coords).when(n == 4, middle).when(coords.isNotNull(), F.array(F.lit(-1.0), F.lit(-1.0)))
 
 
 def inside(point: Column, box: Column) -> Column:

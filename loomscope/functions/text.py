@@ -78,6 +78,12 @@ def ngrams(items: Column, n: int) -> Column:
     return F.transform(starts, lambda i: F.array_join(F.slice(items, i, n), " "))
 
 
+def tagged_ngrams(items: Column, orders: range) -> Column:
+    """All n-grams of several orders as structs ``n, g``."""
+    tag = lambda n: lambda g: F.struct(F.lit(n).alias("n"), g.alias("g"))
+    return F.flatten(F.array(*(F.transform(ngrams(items, n), tag(n)) for n in orders)))
+
+
 def overlap(a: Column, b: Column) -> Column:
     """Clipped count: how many items of ``a`` are matched by as many in ``b``."""
     times = lambda xs, x: F.size(F.filter(xs, lambda y: y == x))

@@ -9,7 +9,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from loomscope.functions.text import ngrams
+from loomscope.functions.text import tagged_ngrams
 
 #: Values of a metric that a bootstrap task holds; beyond it the resampling needs the closed form.
 MOST_BOOTSTRAP_VALUES = 1_000_000
@@ -94,7 +94,7 @@ def corpus_bleu(pairs: DataFrame, keys: list[str], reference: Column, predicted:
     lengths = keyed.groupBy(*keys).agg(F.sum(F.size("r")).alias("ref_len"), F.sum(F.size("p")).alias("sys_len"), *total)
     matched = None
     for side in ("r", "p"):
-        grams = F.flatten(F.array(*(F.transform(ngrams(F.col(side), n), lambda g, n=n: F.struct(F.lit(n).alias("n"), g.alias("g"))) for n in range(1, most + 1))))
+        grams = tagged_ngrams(F.col(side), range(1, most + 1))
         one = keyed.select(*keys, "row", F.explode(grams).alias("x")).select(*keys, "row", "x.*", F.lit(int(side == "r")).alias("is_ref"))
         matched = one if matched is None else matched.union(one)
     counts = matched.groupBy(*keys, "row", "n", "g").agg(F.least(F.sum("is_ref"), F.sum(1 - F.col("is_ref"))).alias("hit"))
