@@ -69,35 +69,51 @@ def coordinates(text: Column, scale: Column | int = 1000, keep_box: bool = True)
     act = F.trim(F.try_element_at(F.split(text, "action"), F.lit(2)), F.lit(" \t\n\r\x0b\x0c"))
     t = F.when(text.contains("action"), act).otherwise(text)
 
+    return let(F.when(text.contains("action"), act).otherwise(text), lambda t: _coordinates(t, scale, keep_box))
+
+
+def let(value: Column, body) -> Column:
+    """``body(value)`` with ``value`` computed once however often the body names it."""
+    return F.element_at(F.transform(F.array(value), body), 1)
+
+
+def _coordinates(t: Column, scale: Column, keep_box: bool) -> Column:
     opened, closed = F.locate("[[", t), F.locate("]]", t)
     double = floats(F.split(F.substring(t, opened + 2, F.greatest(closed - opened - 2, F.lit(0))), ","))
     double = F.transform(double, lambda x: x / scale)
 
-    inner = _all(t, BRACKETS, 1)
-    tried = F.transform(inner, lambda s, i: F.struct(i.alias("i"), floats(F.split(s, ",")).alias("v")))
-    last = F.try_element_at(F.filter(tried, lambda x: x["v"].isNotNull()), F.lit(-1))
-    between = F.length(F.try_element_at(F.split(t, BRACKETS, -1), last["i"] + 1))
-    other = floats(F.split(F.try_element_at(inner, F.when(last["i"] > 0, last["i"])), ", "))
-    averaged = (F.size(last["v"]) == 2) & (last["i"] > 0) & (between < 30) & (F.size(other) == 2)
-    single = F.when(averaged, F.zip_with(last["v"], other, lambda a, b: (a + b) / 2)).otherwise(last["v"])
+    def single(inner: Column) -> Column:
+        tried = F.transform(inner, lambda s, i: F.struct(i.alias("i"), floats(F.split(s, ",")).alias("v")))
+
+        def averaged(last: Column) -> Column:
+            between = F.length(F.try_element_at(F.split(t, BRACKETS, -1), last["i"] + 1))
+            other = floats(F.split(F.try_element_at(inner, F.when(last["i"] > 0, last["i"])), ", "))
+            near = (F.size(last["v"]) == 2) & (last["i"] > 0) & (between < 30)
+            mean = let(other, lambda o: F.when(F.size(o) == 2, F.zip_with(last["v"], o, lambda a, b: (a + b) / 2)).otherwise(last["v"]))
+            return F.when(near, mean).otherwise(last["v"])
+
+        return let(F.try_element_at(F.filter(tried, lambda x: x["v"].isNotNull()), F.lit(-1)), averaged)
+
+    def bracketed(inner: Column) -> Column:
+        return F.when(F.size(inner) > 0, single(inner)).otherwise(general)
 
     digits = F.transform(_all(t, r"\d+"), lambda v: v.cast("double"))
     numbers = F.transform(_all(t, NUMBER), lambda v: v.cast("double"))
     general = F.when(t.contains("<box>"), last_corners(t)).otherwise(numbers)
-
     found = (
         F.when(t.contains("[[") & (closed > 0), double)
-        .when(t.contains("[["), general)
-        .when(t.contains("[") & (F.size(inner) > 0), single)
-        .when(t.contains("["), general)
-        .when(t.startswith("<box>"), digits)
-        .otherwise(general)
+        .when(t.contains("[[") | ~t.contains("[") & ~t.startswith("<box>"), general)
+        .when(t.contains("["), let(_all(t, BRACKETS, 1), bracketed))
+        .otherwise(digits)
     )
-    found = F.when(F.size(found).isin(2, 4), found)
-    if not keep_box:
-        middle = F.array((at(found, 0) + at(found, 2)) / 2, (at(found, 1) + at(found, 3)) / 2)
-        found = F.when(F.size(found) == 4, middle).otherwise(found)
-    return F.when(F.exists(found, lambda x: x > 1), F.transform(found, lambda x: x / scale)).otherwise(found)
+
+    def scaled(c: Column) -> Column:
+        if not keep_box:
+            middle = F.array((at(c, 0) + at(c, 2)) / 2, (at(c, 1) + at(c, 3)) / 2)
+            c = F.when(F.size(c) == 4, middle).otherwise(c)
+        return F.when(F.exists(c, lambda x: x > 1), F.transform(c, lambda x: x / scale)).otherwise(c)
+
+    return let(found, lambda c: F.when(F.size(c).isin(2, 4), scaled(c)))
 
 
 def action_fields(text: Column) -> Column:

@@ -78,9 +78,9 @@ def ngrams(items: Column, n: int) -> Column:
     return F.transform(starts, lambda i: F.array_join(F.slice(items, i, n), " "))
 
 
-def tagged_ngrams(items: Column, orders: range) -> Column:
-    """All n-grams of several orders as structs ``n, g``."""
-    tag = lambda n: lambda g: F.struct(F.lit(n).alias("n"), g.alias("g"))
+def sided_ngrams(items: Column, orders: range, side: str) -> Column:
+    """All n-grams of several orders as structs ``n, g, side``."""
+    tag = lambda n: lambda g: F.struct(F.lit(n).alias("n"), g.alias("g"), F.lit(side).alias("side"))
     return F.flatten(F.array(*(F.transform(ngrams(items, n), tag(n)) for n in orders)))
 
 

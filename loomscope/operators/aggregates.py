@@ -9,7 +9,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from loomscope.functions.text import tagged_ngrams
+from loomscope.functions.text import sided_ngrams
 
 #: Values of a metric that a bootstrap task holds; beyond it the resampling needs the closed form.
 MOST_BOOTSTRAP_VALUES = 1_000_000
@@ -92,14 +92,11 @@ def corpus_bleu(pairs: DataFrame, keys: list[str], reference: Column, predicted:
     keyed = pairs.select(*keys, F.monotonically_increasing_id().alias("row"), reference.alias("r"), predicted.alias("p"))
     total = [F.sum(F.greatest(F.size("p") - (n - 1), F.lit(0))).alias(f"total{n}") for n in range(1, most + 1)]
     lengths = keyed.groupBy(*keys).agg(F.sum(F.size("r")).alias("ref_len"), F.sum(F.size("p")).alias("sys_len"), *total)
-    matched = None
-    for side in ("r", "p"):
-        grams = tagged_ngrams(F.col(side), range(1, most + 1))
-        one = keyed.select(*keys, "row", F.explode(grams).alias("x")).select(*keys, "row", "x.*", F.lit(int(side == "r")).alias("is_ref"))
-        matched = one if matched is None else matched.union(one)
-    counts = matched.groupBy(*keys, "row", "n", "g").agg(F.least(F.sum("is_ref"), F.sum(1 - F.col("is_ref"))).alias("hit"))
+    grams = F.concat(*(sided_ngrams(F.col(side), range(1, most + 1), side) for side in "rp"))
+    rows = keyed.select(*keys, "row", F.explode(grams).alias("x")).select(*keys, "row", "x.*")
+    counts = rows.groupBy(*keys, "row", "n", "g").agg(F.least(F.count_if(F.col("side") == "r"), F.count_if(F.col("side") == "p")).alias("hit"))
     hits = counts.groupBy(*keys).agg(*(F.sum(F.when(F.col("n") == n, F.col("hit")).otherwise(0)).alias(f"hit{n}") for n in range(1, most + 1)))
-    joined = lengths.join(hits, keys, "left") if keys else lengths.crossJoin(hits)  # one row each
+    joined = lengths.join(hits, keys, "left") if keys else lengths.join(F.broadcast(hits))  # one row each
     logs, half = F.lit(0.0), F.lit(1.0)
     for n in range(1, most + 1):
         hit, of = F.coalesce(F.col(f"hit{n}"), F.lit(0)), F.col(f"total{n}")

@@ -2,22 +2,17 @@
 
 from __future__ import annotations
 
-import functools
-
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from loomscope.functions.text import tagged_ngrams
+from loomscope.functions.text import sided_ngrams
 
 
 def _gram_rows(pairs: DataFrame, keys: list[str], sides: dict[str, Column], orders: range) -> DataFrame:
     """``keys, n, g`` and, for each side, how often a row holds the n-gram."""
-    parts = []
-    for side, items in sides.items():
-        flags = [F.lit(int(s == side)).alias(s) for s in sides]
-        parts.append(pairs.select(*keys, F.explode(tagged_ngrams(items, orders)).alias("x")).select(*keys, "x.n", "x.g", *flags))
-    rows = functools.reduce(DataFrame.union, parts)
-    return rows.groupBy(*keys, "n", "g").agg(*(F.sum(s).alias(s) for s in sides))
+    grams = F.concat(*(sided_ngrams(items, orders, side) for side, items in sides.items()))
+    rows = pairs.select(*keys, F.explode(grams).alias("x")).select(*keys, "x.*")
+    return rows.groupBy(*keys, "n", "g").agg(*(F.count_if(F.col("side") == s).alias(s) for s in sides))
 
 
 def corpus_chrf(pairs: DataFrame, keys: list[str], row: str, reference: Column, predicted: Column, orders: int = 6, beta: float = 2.0) -> DataFrame:
