@@ -83,7 +83,7 @@ def multi_choice_regex(choices: str = "choices", pattern: str = r"\(([A-Z])\)",
     plain = lambda x: F.trim(F.regexp_replace(F.lower(x), r"[\p{P}]", ""))
 
     def one(x: Column) -> Column:
-        options = F.transform(F.col(choices), lambda c, i: F.struct(F.nullif(F.locate(plain(c), plain(x)), F.lit(0)).alias("at"), i.alias("i"), plain(c).alias("text")))
+        options = F.transform(F.col(choices), lambda c, i: F.struct(F.nullif(F.position(plain(c), plain(x)), F.lit(0)).alias("at"), i.alias("i"), plain(c).alias("text")))
         seen = F.array_min(F.filter(options, lambda o: o["at"].isNotNull() & (o["text"] != "")))
         letter = F.concat(F.lit("("), F.chr(seen["i"] + 65), F.lit(")"))
         letters = F.nullif(F.regexp_extract(x, r":\s*([A-Z])\b", 1), F.lit(""))

@@ -305,3 +305,14 @@ def bootstrap_stderr(spark, d):
     """Standard error of the median distance over resamples (its draws have no SQL form)."""
     s = scored(spark, d).where("dist IS NOT NULL").select(F.round("dist", 9).alias("dist"))
     return A.bootstrap_stderr(s, "dist", lambda x: sorted(x)[len(x) // 2], iterations=200, chunk=10)
+
+
+@query(f"""WITH {S_SQL}, l AS (SELECT response_id, min(logged_at) logged_at FROM eval_responses GROUP BY 1)
+SELECT epoch(time_bucket(INTERVAL '1 hour', logged_at)) "start", model, round(avg(hit), 6) mean, count(*) n FROM s JOIN l USING (response_id) GROUP BY ALL""")
+def windowed_scores(spark, d):
+    """Hits by hour and model, as the streaming score computes them."""
+    from loomscope.streaming.scores import windowed_scores as windowed
+
+    logged = table(spark, d, "eval_responses").groupBy("response_id").agg(F.min("logged_at").alias("logged_at"))
+    out = windowed(scored(spark, d).join(logged, "response_id"), ["model"], "hit", "logged_at", "1 hour")
+    return out.select(F.unix_timestamp("start").cast("double").alias("start"), "model", F.round("mean", 6).alias("mean"), "n")

@@ -11,10 +11,10 @@ def distinct_responses(stream: DataFrame, key: str = "response_id", time: str =
     return stream.withWatermark(time, late).dropDuplicatesWithinWatermark([key])
 
 
-def windowed_scores(stream: DataFrame, keys: list[str], value: str, time: str, window: str = "10 minutes", late: str = "1 hour") -> DataFrame:
-    """Mean and count of ``value`` for each key and window of event time; rows later than ``late`` are dropped."""
-    w = stream.withWatermark(time, late) if not stream.isStreaming or late else stream
-    out = w.groupBy(F.window(time, window).alias("w"), *keys).agg(F.avg(value).alias("mean"), F.count(value).alias("n"))
+def windowed_scores(stream: DataFrame, keys: list[str], value: str, time: str, window: str = "10 minutes", late: str | None = "1 hour") -> DataFrame:
+    """Mean and count of ``value`` for each key and window of event time; rows later than ``late`` (null: the watermark there is) are dropped."""
+    marked = stream.withWatermark(time, late) if late else stream
+    out = marked.groupBy(F.window(time, window).alias("w"), *keys).agg(F.avg(value).alias("mean"), F.count(value).alias("n"))
     return out.select(F.col("w.start").alias("start"), *keys, "mean", "n")
 
 
