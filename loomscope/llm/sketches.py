@@ -185,8 +185,17 @@ def _long_list(x: dict, sided: bool, mark_apart: int | None, most: int | None) -
     """
     order = np.argsort(_mix(x["id"], np.zeros(len(x["id"]), np.int64), 3), kind="stable")
     x = {k: v[order] for k, v in x.items()}
-    first, second = (x["side"] == 1, x["side"] == 0) if sided else (np.ones(len(order), bool), 17 * x["skip"] <= 3 * x["n"])
-    a, b = {k: v[first] for k, v in x.items()}, {k: v[second] for k, v in x.items()}
+    if sided:
+        return _scan(_part(x, x["side"] == 1), _part(x, x["side"] == 0), True, mark_apart, most)
+    return _scan(x, _part(x, 17 * x["skip"] <= 3 * x["n"]), False, mark_apart, most)
+
+
+def _part(x: dict, rows: np.ndarray) -> dict:
+    return {k: v[rows] for k, v in x.items()}
+
+
+def _scan(a: dict, b: dict, sided: bool, mark_apart: int | None, most: int | None, differ: str | None = None) -> tuple[np.ndarray, np.ndarray, bool]:
+    """Passing pairs of two parts of a list in blocks; ``differ``: a column in which the two must differ."""
     # The part of the bound that rules out most pairs, in few operations: 17 * differing sketch bits <= room_a + room_b.
     room_a, room_b = ((3 * y["n"] - 17 * np.where(y["hot"], y["c"], y["skip"])).astype(np.int32) for y in (a, b))
     sig_a, sig_b = a["sig"].view(np.uint64), b["sig"].view(np.uint64)
@@ -202,6 +211,8 @@ def _long_list(x: dict, sided: bool, mark_apart: int | None, most: int | None) -
             good = passes(one, other, sided)
             if mark_apart is not None:
                 good &= marks_near(one["mark"], other["mark"], mark_apart)
+            if differ:
+                good &= one[differ] != other[differ]
             i, j = i[good], j[good]
             if most is not None:
                 rank = np.arange(len(i)) - np.searchsorted(i, i) + had[i]  # i is sorted
@@ -292,11 +303,10 @@ def candidates_left(left: DataFrame, labels: DataFrame) -> DataFrame:
                 if len(label) < 2:
                     continue
                 few = y["label"] != label[np.argmax(size)]  # pairs within the largest part are linked already
-                for at in np.flatnonzero(few):
-                    one = {k: v[at : at + 1] for k, v in y.items()}
-                    differs = (y["label"] != one["label"]) & (~few | (y["id"] > one["id"]))
-                    good = differs & (passes(y, one, False) | passes(one, y, False))
-                    yield pa.RecordBatch.from_arrays([pa.array(y["id"][good]), pa.array(np.repeat(one["id"], good.sum()))], names=["a", "b"])
+                small = 17 * y["skip"] <= 3 * y["n"]
+                for a, b in ((y, _part(y, few & small)), (_part(y, few), _part(y, ~few & small))):
+                    a, b, _ = _scan(a, b, False, None, None, "label")
+                    yield pa.RecordBatch.from_arrays([pa.array(a, pa.int64()), pa.array(b, pa.int64())], names=["a", "b"])
 
     rows = left.join(labels, "id", "left").select(*COLUMNS, F.coalesce("label", "id").alias("label"))
     return rows.repartition("key").sortWithinPartitions("key").mapInArrow(run, "a BIGINT, b BIGINT")
