@@ -135,3 +135,11 @@ def rolling_windows(spark, d):
     windows = H.rolling_windows(F.split("instr", " "), 5, 2)
     s = steps(spark, d).select("trace_id", "step_id", F.explode(windows).alias("w"))
     return s.select("trace_id", "step_id", F.col("w.start").cast("bigint").alias("start"), F.col("w.stop").cast("bigint").alias("stop"))
+
+
+@query(f"""WITH {T_SQL} SELECT trace_id, step_id, CASE ui_pos_obj_type WHEN 0 THEN 'swipe' WHEN 1 THEN 'swipe' WHEN 8 THEN 'swipe' WHEN 9 THEN 'swipe' WHEN 3 THEN 'input_text' WHEN 4 THEN 'click' WHEN 5 THEN 'navigate_back'
+WHEN 6 THEN 'navigate_home' WHEN 7 THEN 'enter' WHEN 10 THEN 'status' WHEN 11 THEN 'status' END action_type, CASE ui_pos_obj_type WHEN 0 THEN 'up' WHEN 1 THEN 'down' WHEN 8 THEN 'right' WHEN 9 THEN 'left' END direction FROM t""")
+def action_ids(spark, d):
+    """Numeric action ids as types and directions; an unknown id gives null."""
+    s = steps(spark, d).withColumn("a", X.action_of_id(F.col("ui_pos_obj_type")))
+    return s.select("trace_id", "step_id", "a.action_type", "a.direction")

@@ -316,3 +316,30 @@ def windowed_scores(spark, d):
     logged = table(spark, d, "eval_responses").groupBy("response_id").agg(F.min("logged_at").alias("logged_at"))
     out = windowed(scored(spark, d).join(logged, "response_id"), ["model"], "hit", "logged_at", "1 hour")
     return out.select(F.unix_timestamp("start").cast("double").alias("start"), "model", F.round("mean", 6).alias("mean"), "n")
+
+
+GROUP_MEMBERS = [("grounders", "grounder_a"), ("grounders", "grounder_b"), ("everyone", "grounder_a"), ("everyone", "grounder_b"), ("everyone", "baseline")]
+
+
+@query(f"""WITH {S_SQL}, t AS (SELECT model task, round(avg(hit) * 100, 4) shown, count(*) n FROM s GROUP BY model), g AS (SELECT * FROM (VALUES {", ".join(f"('{g}', '{t}')" for g, t in GROUP_MEMBERS)}) v(grp, task))
+SELECT grp, 'center_acc' metric, round(sum(shown * n) / sum(n), 4) shown, CAST(sum(n) AS BIGINT) n FROM t JOIN g USING (task) GROUP BY grp""")
+def group_results(spark, d):
+    """Size-weighted means of groups of tasks; a task may be in several groups."""
+    s = scored(spark, d).select(F.col("model").alias("task"), F.col("hit").cast("double").alias("center_acc"))
+    groups = spark.createDataFrame(GROUP_MEMBERS, "group STRING, task STRING")
+    out = report.grouped(report.results(report.long(s, ["task"], ["center_acc"])), groups)
+    return out.select(F.col("group").alias("grp"), "metric", F.round("shown", 4).alias("shown"), "n")
+
+
+CHOICES = ("Button", "Link", "Slider", "Text box")
+
+
+@query(f"""WITH r AS (SELECT DISTINCT rec_id, func FROM func_records WHERE func IS NOT NULL), x AS (SELECT *, trim(regexp_replace(lower(func), '[\\p{{P}}]', '', 'g')) t FROM r),
+p AS (SELECT rec_id, func, list_filter([{", ".join(f"{{'at': nullif(instr(t, '{c.lower()}'), 0), 'i': {i}}}" for i, c in enumerate(CHOICES))}], lambda o: o.at IS NOT NULL) o FROM x)
+SELECT rec_id, CASE WHEN regexp_matches(func, '\\(([A-Z])\\)') THEN '(' || regexp_extract(func, '\\(([A-Z])\\)', 1) || ')' WHEN len(o) > 0 THEN '(' || chr(65 + CAST(list_min(o).i AS INT)) || ')'
+WHEN regexp_matches(func, ':\\s*([A-Z])\\b') THEN '(' || regexp_extract(func, ':\\s*([A-Z])\\b', 1) || ')' ELSE '[invalid]' END choice FROM p""")
+def filter_multi_choice(spark, d):
+    """The option that a text names."""
+    r = table(spark, d, "func_records").select("rec_id", "func").distinct().where("func IS NOT NULL")
+    r = r.withColumns({"choices": F.array(*(F.lit(c) for c in CHOICES)), "resps": F.array("func")})
+    return filters.filtered(r, "resps", {"choice": [("multi_choice_regex", {}), ("take_first", {})]}).select("rec_id", "choice")

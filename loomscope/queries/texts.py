@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from loomscope.functions import text as X
+from loomscope.functions.parse import until_stop
 from loomscope.operators import aggregates as A
 from loomscope.operators import captions as C
 from loomscope.queries.registry import query
@@ -109,11 +110,11 @@ def ter(spark, d):
     return A.corpus_ter(p, ["source"], F.col("gold"), F.col("pred")).select("source", F.round("ter", 6).alias("ter"))
 
 
-@query(r"""SELECT doc_id, strlen(text) bytes, NOT regexp_matches(text, '[^\x00-\x7F]') ascii, split_part(split_part(text, '. ', 1), chr(10), 1) until_stop,
-regexp_replace(regexp_replace(text, ' \)', ')', 'g'), '\( ', '(', 'g') detokenised FROM documents WHERE text IS NOT NULL""".replace("regexp_replace(regexp_replace(text, ' \\)', ')', 'g'), '\\( ', '(', 'g') detokenised", "md5(text) fingerprint"))
+@query(r"""SELECT doc_id, strlen(text) bytes, NOT regexp_matches(text, '[^\x00-\x7F]') ascii, split_part(split_part(text, '. ', 1), chr(10), 1) until_stop, md5(text) fingerprint,
+md5(regexp_replace(replace(replace(replace(replace(replace(text, ' n''t', 'n''t'), ' )', ')'), '( ', '('), '" ', '"'), ' "', '"'), ' ([''.,])', '\1', 'g')) detokenised FROM documents WHERE text IS NOT NULL""")
 def text_scalars(spark, d):
-    """Bytes, ASCII flag, text up to a stop sequence, fingerprint."""
-    from loomscope.functions.parse import until_stop
-
+    """Bytes, ASCII flag, text up to a stop sequence, fingerprint, and that of the text without spaces before punctuation."""
     t = F.col("text")
-    return table(spark, d, "documents").where("text IS NOT NULL").select("doc_id", F.octet_length(t).cast("bigint").alias("bytes"), X.is_ascii(t).alias("ascii"), until_stop(t, [". ", "\n"]).alias("until_stop"), F.md5(t).alias("fingerprint"))
+    return table(spark, d, "documents").where("text IS NOT NULL").select(
+        "doc_id", F.octet_length(t).cast("bigint").alias("bytes"), X.is_ascii(t).alias("ascii"), until_stop(t, [". ", "\n"]).alias("until_stop"), F.md5(t).alias("fingerprint"), F.md5(X.detokenised(t)).alias("detokenised")
+    )
