@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import re
+import zlib
 from collections import Counter
 from collections.abc import Iterator
 
@@ -21,6 +22,8 @@ GRAMS, CONTEXTS = 1 << 16, 1 << 22
 CLASSES = (*FUNCTION_WORDS, "ru", "zh", "other")
 #: Function words that a message needs, and by how much more than of any other language, to train a model.
 SEED_WORDS, SEED_LEAD = 3, 2
+#: Characters of texts that are scored at once.
+CHARACTERS = 500_000
 #: Words an answer needs before its language counts; log odds against the language of the message.
 LANGUAGE_WORDS, LANGUAGE_ODDS = 4, 6.0
 #: Weight of the common distribution in each language's model.
@@ -117,10 +120,7 @@ def contexts(text: str) -> list[int]:
 
 
 def hashed(text: str) -> int:
-    value = 0xCBF29CE484222325
-    for c in text.encode():
-        value = (value ^ c) * 0x100000001B3 & 0xFFFFFFFFFFFFFFFF
-    return (value ^ value >> 29) % CONTEXTS
+    return zlib.crc32(text.encode()) % CONTEXTS
 
 
 def train(pairs: DataFrame) -> tuple[np.ndarray, np.ndarray]:
@@ -165,11 +165,19 @@ def train(pairs: DataFrame) -> tuple[np.ndarray, np.ndarray]:
 
 
 def language_scores(texts: list[str], model: np.ndarray) -> np.ndarray:
-    """Log likelihood of each text in each class."""
-    grams, sizes = trigrams(texts)
-    sums = np.vstack([np.zeros(len(model)), np.cumsum(model[:, grams], axis=1, dtype=float).T])
-    ends = np.cumsum(sizes)
-    return sums[ends] - sums[ends - sizes]
+    """Log likelihood of each text in each class, some texts at a time."""
+    out = np.zeros((len(texts), len(model)))
+    ends = np.cumsum([len(t) for t in texts])
+    start = 0
+    while start < len(texts):
+        stop = max(start + 1, int(np.searchsorted(ends, (ends[start - 1] if start else 0) + CHARACTERS, "right")))
+        grams, sizes = trigrams(texts[start:stop])
+        some = np.flatnonzero(sizes)
+        firsts = (np.cumsum(sizes) - sizes)[some]
+        for k in range(len(model) if len(some) else 0):
+            out[start + some, k] = np.add.reduceat(model[k, grams], firsts, dtype=float)
+        start = stop
+    return out
 
 
 def truncated(text: str, ending: np.ndarray) -> bool:
