@@ -16,7 +16,7 @@ from loomscope.llm.languages import FUNCTION_WORDS
 from loomscope.session import table, written
 
 USERS, ASSISTANTS = ("user", "human"), ("assistant", "gpt")
-#: Hashed character trigrams, and hashed contexts of up to three words, whose counts make the two models.
+#: Hashed character trigrams, and hashed beginnings of answers of up to five words, whose counts make the two models.
 GRAMS, CONTEXTS = 1 << 16, 1 << 22
 #: Languages by function words, then by script.
 CLASSES = (*FUNCTION_WORDS, "ru", "zh", "other")
@@ -28,7 +28,7 @@ CHARACTERS = 500_000
 LANGUAGE_WORDS, LANGUAGE_ODDS = 4, 6.0
 #: Weight of the common distribution in each language's model.
 SMOOTHING = 2000.0
-#: A caption has at most so many words; it is complete if its last words end a text this often.
+#: A caption has at most so many words; it is complete if answers that begin so end there this often.
 CAPTION_WORDS, CAPTION_END = 5, 0.5
 #: A copy has at least this share of its words from the message and holds this share of the message's words.
 COPY_SHARE, COPY_COVER, COPY_WORDS = 0.7, 0.4, 4
@@ -111,12 +111,12 @@ def trigrams(texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
     return (mixed * np.uint64(0x2545F4914F6CDD1D) >> np.uint64(40)).astype(np.int64) % GRAMS, sizes
 
 
-def contexts(text: str) -> list[int]:
-    """Hashes of each word with the two before it (or the start). With a name, a capital letter within the text, it is -1."""
-    words = WORD.findall(text)
-    names = [False, False, *(i > 0 and w[:1].isupper() for i, w in enumerate(words))]
-    low = ["", "", *(w.lower() for w in words)]
-    return [-1 if any(names[i : i + 3]) else hashed(" ".join(low[i : i + 3])) for i in range(len(words))]
+def beginnings(text: str) -> list[int]:
+    """Hashes of the first word, the first two and so on, as many as a caption may have; digits count alike, a name ends it."""
+    words = WORD.findall(text)[:CAPTION_WORDS]
+    names = [i for i, w in enumerate(words) if i and w[:1].isupper()]
+    low = [re.sub(r"\d", "0", w.lower()) for w in words[: names[0] if names else None]]
+    return [hashed(" ".join(low[: i + 1])) for i in range(len(low))]
 
 
 def hashed(text: str) -> int:
@@ -141,9 +141,9 @@ def train(pairs: DataFrame) -> tuple[np.ndarray, np.ndarray]:
             for k in range(len(CLASSES)):
                 grams[k] += np.bincount(trigrams([t for t, s in zip(spoken, seeds) if s == k])[0], minlength=GRAMS)
             for t in texts[len(batch) :]:
-                found = contexts(t)
-                np.add.at(all_, [x for x in found if x >= 0], 1)
-                if found and found[-1] >= 0:
+                found = beginnings(t)
+                np.add.at(all_, found, 1)
+                if found and len(found) == len(WORD.findall(t)):
                     ends[found[-1]] += not ENDED.search(t)
         k, at = np.nonzero(grams)
         yield pd.DataFrame({"kind": k.astype(np.int32), "at": at, "n": grams[k, at], "ended": 0})
@@ -198,8 +198,8 @@ def truncated(text: str, ending: np.ndarray) -> bool:
         return False
     if len(words) > CAPTION_WORDS or "\n" in text:
         return True
-    last = contexts(plain(text))[-1]
-    return last >= 0 and bool(ending[last] < CAPTION_END)
+    found = beginnings(plain(text))
+    return len(found) == len(words) and bool(ending[found[-1]] < CAPTION_END)
 
 
 def copied(prompt: str, response: str) -> bool:
