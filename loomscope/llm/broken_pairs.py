@@ -3,9 +3,9 @@
 from __future__ import annotations
 
 import re
-import zlib
 from collections import Counter
 from collections.abc import Iterator
+from itertools import islice
 
 import numpy as np
 import pandas as pd
@@ -16,8 +16,8 @@ from loomscope.llm.languages import FUNCTION_WORDS
 from loomscope.session import table, written
 
 USERS, ASSISTANTS = ("user", "human"), ("assistant", "gpt")
-#: Hashed character trigrams, and hashed beginnings of answers of up to five words, whose counts make the two models.
-GRAMS, CONTEXTS = 1 << 16, 1 << 22
+#: Hashed character trigrams, whose counts make the language models.
+GRAMS = 1 << 16
 #: Languages by function words, then by script.
 CLASSES = (*FUNCTION_WORDS, "ru", "zh", "other")
 #: Function words that a message needs, and by how much more than of any other language, to train a model.
@@ -28,8 +28,10 @@ CHARACTERS = 500_000
 LANGUAGE_WORDS, LANGUAGE_ODDS = 4, 6.0
 #: Weight of the common distribution in each language's model.
 SMOOTHING = 2000.0
-#: A caption has at most so many words; it is complete if answers that begin so end there this often.
+#: A caption has at most so many words; it is complete if its last words end a text this often.
 CAPTION_WORDS, CAPTION_END = 5, 0.5
+#: Occurrences that the estimate of the next shorter n-gram counts for; n-grams up to this one weigh ends and insides alike.
+BACK_OFF, BALANCED = 4, 1
 #: A copy has at least this share of its words from the message and holds this share of the message's words.
 COPY_SHARE, COPY_COVER, COPY_WORDS = 0.7, 0.4, 4
 
@@ -111,57 +113,92 @@ def trigrams(texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
     return (mixed * np.uint64(0x2545F4914F6CDD1D) >> np.uint64(40)).astype(np.int64) % GRAMS, sizes
 
 
-def beginnings(text: str) -> list[int]:
-    """Hashes of the first word, the first two and so on, as many as a caption may have; digits count alike, a name ends it."""
-    words = WORD.findall(text)[:CAPTION_WORDS]
-    names = [i for i, w in enumerate(words) if i and w[:1].isupper()]
-    low = [re.sub(r"\d", "0", w.lower()) for w in words[: names[0] if names else None]]
-    return [hashed(" ".join(low[: i + 1])) for i in range(len(low))]
+def word_ends(texts: list[str]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """For each of the first words of all texts, as many as a caption may have: its text, whether it is the last one, and
+    the hashes of the n-grams that it ends: the word before it with any word, the word, two words, three words.
 
-
-def hashed(text: str) -> int:
-    return zlib.crc32(text.encode()) % CONTEXTS
+    The n-grams hold the word's place in the text; digits count alike, capital letters don't matter.
+    """
+    words = [[re.sub(r"\d", "0", w[0]) for w in islice(WORD.finditer(t.lower()), CAPTION_WORDS + 1)] for t in texts]
+    sizes = np.array([len(w) for w in words], np.int64)
+    of = np.repeat(np.arange(len(texts)), sizes)
+    place = np.arange(len(of)) - np.repeat(np.cumsum(sizes) - sizes, sizes)
+    flat = [w for text in words for w in text]
+    word = pd.util.hash_array(np.array(flat, object)) if flat else np.empty(0, np.uint64)
+    before, second = (np.where(place >= k, np.roll(word, k), np.uint64(0)) for k in (1, 2))
+    grams = np.column_stack([hashed(n, place, *x) for n, x in enumerate(((before,), (word,), (before, word), (second, before, word)))])
+    near = place < CAPTION_WORDS
+    return of[near], (place == sizes[of] - 1)[near], grams[near]
+
+
+def hashed(n: int, place: np.ndarray, *words: np.ndarray) -> np.ndarray:
+    z = place.astype(np.uint64) * np.uint64(8) + np.uint64(n + 1)
+    with np.errstate(over="ignore"):
+        for x in words:
+            z = (z * np.uint64(0x9E3779B97F4A7C15)) ^ x
+            z = (z ^ (z >> np.uint64(29))) * np.uint64(0xBF58476D1CE4E5B9)
+            z ^= z >> np.uint64(32)
+    return z.view(np.int64)
 
 
-def train(pairs: DataFrame) -> tuple[np.ndarray, np.ndarray]:
+def train(pairs: DataFrame) -> tuple[np.ndarray, DataFrame, float]:
     """The two models of ``pairs`` (``prompt, response``), counted over all of them.
 
     A table of log probabilities of hashed trigrams by language (a multinomial naive Bayes, each language mixed
-    with the common distribution) and, for each hashed context of three words, how often it ends an answer. Counts
-    are summed in the tasks and then by key: at most ``GRAMS * len(CLASSES) + CONTEXTS`` rows reach the driver.
+    with the common distribution), of which at most ``GRAMS * len(CLASSES)`` counts reach the driver; for each n-gram of
+    :func:`word_ends` that ends a text how often it stands inside one and how often it ends one (``at, n, ended``), which
+    stays distributed; and words inside texts by words that end them. An unfinished text has no end.
     """
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         grams = np.zeros((len(CLASSES), GRAMS), np.int64)
-        ends, all_ = np.zeros(CONTEXTS, np.int64), np.zeros(CONTEXTS, np.int64)
         for batch in batches:
             texts = [plain(t) for t in [*batch["prompt"], *batch["response"]]]
             spoken = [letters(t) for t in texts]
             seeds = [seed_language(t.lower().split(), t) for t in spoken]
             for k in range(len(CLASSES)):
                 grams[k] += np.bincount(trigrams([t for t, s in zip(spoken, seeds) if s == k])[0], minlength=GRAMS)
-            for t in texts[len(batch) :]:
-                found = beginnings(t)
-                np.add.at(all_, found, 1)
-                if found and len(found) == len(WORD.findall(t)):
-                    ends[found[-1]] += not ENDED.search(t)
+            of, last, found = word_ends(texts[len(batch) :])
+            ended = last & np.array([bool(WORD.search(t or "")) and not truncated(t) for t in batch["response"]], bool)[of]
+            kept = ended | ~last
+            at, row = np.unique(found[kept], return_inverse=True)
+            ends = np.bincount(row.ravel(), np.repeat(ended[kept], found.shape[1]), len(at)).astype(np.int64)
+            n = np.bincount(row.ravel(), minlength=len(at)) - ends
+            yield pd.DataFrame({"kind": np.full(len(at), -1, np.int32), "at": at, "n": n, "ended": ends})
+            yield pd.DataFrame({"kind": np.int32([-2]), "at": [0], "n": [(~last).sum()], "ended": [ended.sum()]})
         k, at = np.nonzero(grams)
         yield pd.DataFrame({"kind": k.astype(np.int32), "at": at, "n": grams[k, at], "ended": 0})
-        at = np.flatnonzero(all_)
-        yield pd.DataFrame({"kind": np.full(len(at), -1, np.int32), "at": at, "n": all_[at], "ended": ends[at]})
 
     counts = pairs.select("prompt", "response").mapInPandas(run, "kind INT, at BIGINT, n BIGINT, ended BIGINT")
-    counts = counts.groupBy("kind", "at").agg(F.sum("n").alias("n"), F.sum("ended").alias("ended")).toPandas()
+    counts = counts.groupBy("kind", "at").agg(F.sum("n").alias("n"), F.sum("ended").alias("ended"))
+    counts = written(counts.where("kind >= 0 OR ended > 0"), "counts")
+    of = counts.where("kind >= 0").toPandas()
     grams = np.zeros((len(CLASSES), GRAMS))
-    of = counts[counts["kind"] >= 0]
     grams[of["kind"], of["at"]] = of["n"]
     common = (grams.sum(0) + 0.5) / (grams.sum() + 0.5 * GRAMS)
     model = np.log((grams + SMOOTHING * common) / (grams.sum(1, keepdims=True) + SMOOTHING))
     model[grams.sum(1) == 0] = -30.0
-    of = counts[counts["kind"] < 0]
-    ending = np.full(CONTEXTS, np.nan)
-    ending[of["at"]] = of["ended"] / of["n"]
-    return model.astype(np.float32), ending.astype(np.float32)
+    total = counts.where("kind = -2").first()
+    return model.astype(np.float32), counts.where("kind = -1").select("at", "n", "ended"), max(total.n, 1) / total.ended if total else 1.0
+
+
+def cut_ends(short: DataFrame, ends: DataFrame, weight: float) -> DataFrame:
+    """The ``gram3`` of short answers (``gram0`` to ``gram3``, of their last word) whose last words rarely end a text.
+
+    ends, weight: of :func:`train`. The share of ends of an n-gram is mixed with that of the next shorter one, which counts
+    for ``BACK_OFF`` occurrences, and the answer's own end is left out. For single words ends are weighted so that over
+    all words they are as many as insides, as texts have few ends; a word that was not seen decides nothing (one half).
+    """
+    grams = short.select(*(f"gram{k}" for k in range(4))).distinct()
+    level = F.explode(F.array(*(F.struct(F.lit(k).alias("k"), F.col(f"gram{k}").alias("at")) for k in range(4)))).alias("x")
+    of = grams.select("gram3", level).select("gram3", "x.*").join(ends, "at")
+    count = lambda c, k: F.max(F.when(F.col("k") == k, F.col(c))).alias(f"{c}{k}")
+    of = of.groupBy("gram3").agg(*(count(c, k) for c in ("n", "ended") for k in range(4)))
+    share = F.lit(0.5)
+    for k in range(4):
+        end = (F.col(f"ended{k}") - 1) * (weight if k <= BALANCED else 1.0)
+        share = (end + BACK_OFF * share) / (end + F.col(f"n{k}") + BACK_OFF)
+    return of.where(share < CAPTION_END).select("gram3")
 
 
 def language_scores(texts: list[str], model: np.ndarray) -> np.ndarray:
@@ -180,8 +217,8 @@ def language_scores(texts: list[str], model: np.ndarray) -> np.ndarray:
     return out
 
 
-def truncated(text: str, ending: np.ndarray) -> bool:
-    """Whether an answer stops before its sentence, list item, coordinates or markup are finished."""
+def truncated(text: str) -> bool | None:
+    """Whether an answer stops before its sentence, list item, coordinates or markup are finished; None if its last words decide."""
     text = text.strip()
     if any(text.count(a) > text.count(b) for a, b in ("()", "[]", "{}", "<>")) or text.count('"') % 2 or LIST_MARK.search(text):
         return True
@@ -196,10 +233,7 @@ def truncated(text: str, ending: np.ndarray) -> bool:
     words = WORD.findall(plain(text).lower())
     if not words or all(w.isdigit() for w in words):
         return False
-    if len(words) > CAPTION_WORDS or "\n" in text:
-        return True
-    found = beginnings(plain(text))
-    return len(found) == len(words) and bool(ending[found[-1]] < CAPTION_END)
+    return True if len(words) > CAPTION_WORDS or "\n" in text else None
 
 
 def copied(prompt: str, response: str) -> bool:
@@ -227,7 +261,7 @@ def broken_pairs(samples: DataFrame) -> DataFrame:
     doesn't name the answer's language), ``truncated`` (open brackets, quotes or markup, or an end that rarely ends a text).
 
     The models are trained on the pairs themselves: languages on the messages that function words or script
-    identify, ends on all answers. A null message has no language and nothing to copy. Null conversations, null
+    identify, ends on the first words of all answers. A null message has no language and nothing to copy. Null conversations, null
     messages in them and null ids give no rows; texts of any length are read whole. Other columns are ignored.
     """
     messages = samples.where("sample_id IS NOT NULL AND conversations IS NOT NULL").select("sample_id", "conversations").dropDuplicates(["sample_id"])
@@ -242,15 +276,16 @@ def broken_pairs(samples: DataFrame) -> DataFrame:
     answered = F.coalesce(sender(F.col("next")).isin(*ASSISTANTS), F.lit(False))
     pairs = pairs.select("sample_id", "msg_index", "prompt", F.when(answered, F.col("next.content")).alias("response"))
     pairs = written(pairs, "pairs")
-    sent = samples.sparkSession.sparkContext.broadcast(train(pairs))
+    model, ends, weight = train(pairs)
+    sent = samples.sparkSession.sparkContext.broadcast(model)
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        model, ending = sent.value
+        model = sent.value
         for batch in batches:
             prompts, answers = ([plain(t) for t in batch[c]] for c in ("prompt", "response"))
             spoken = [letters(t) for t in answers]
             of_prompt, of_answer = language_scores([letters(t) for t in prompts], model), language_scores(spoken, model)
-            defects = []
+            defects, short = [], np.zeros(len(batch), bool)
             for raw, prompt, answer, words, p, a in zip(batch["response"], prompts, answers, spoken, of_prompt, of_answer):
                 asked, said = int(np.argmax(p)), int(np.argmax(a))
                 enough = len(words.split()) >= LANGUAGE_WORDS or sum(c > "⺀" for c in words) >= LANGUAGE_WORDS
@@ -262,14 +297,20 @@ def broken_pairs(samples: DataFrame) -> DataFrame:
                     defects.append("refusal")
                 elif WORD.search(prompt) and enough and a[said] - a[asked] > LANGUAGE_ODDS and not asks_for(prompt, CLASSES[said]):
                     defects.append("language")
-                elif truncated(raw, ending):
-                    defects.append("truncated")
                 else:
-                    defects.append(None)
+                    cut = truncated(raw)
+                    short[len(defects)] = cut is None
+                    defects.append("truncated" if cut else None)
             out = batch[["sample_id", "msg_index"]].assign(defect=defects)
-            yield out[out["defect"].notna()]
-
-    return pairs.mapInPandas(run, "sample_id BIGINT, msg_index INT, defect STRING")
+            of, last, grams = word_ends([answers[i] for i in np.flatnonzero(short)])
+            yield out[out["defect"].notna()].assign(**{f"gram{k}": None for k in range(4)})
+            yield out[short].assign(**{f"gram{k}": grams[last, k] for k in range(4)})
+
+    grams = ", ".join(f"gram{k} BIGINT" for k in range(4))
+    judged = written(pairs.mapInPandas(run, f"sample_id BIGINT, msg_index INT, defect STRING, {grams}"), "judged")
+    short = judged.where("defect IS NULL")
+    cut = short.join(cut_ends(short, ends, weight), "gram3", "left_semi").withColumn("defect", F.lit("truncated"))
+    return judged.where("defect IS NOT NULL").unionByName(cut.select(*judged.columns)).select("sample_id", "msg_index", "defect")
 
 
 def p2_found(spark: SparkSession, sf_dir: str) -> DataFrame:

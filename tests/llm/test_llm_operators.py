@@ -139,6 +139,20 @@ def test_broken_pairs(spark):
     assert got == want
 
 
+def test_broken_pairs_judges_short_ends(spark):
+    things = ["lamp", "sofa", "chart", "route", "novel", "ticket", "kettle", "puzzle"]
+    ask = ("user", "What does the element in the upper corner of the page do?")
+    fill = [f"Tap the {a} icon beside the {b} to open it." for a in things for b in things]
+    fill += [f"{v} {t}" for v in ("Save", "Open", "Print") for t in things] + [f"Call Mr {n}" for n in ("Adams", "Brown", "Clark", "Davis")]
+    fill += ["Die Karte zeigt, wann der nächste Zug nach Berlin fährt."] * 9
+    cases = [("Tap the carpet icon beside", "truncated"), ("Tap the sofa icon beside", "truncated"), ("Die Karte", "truncated"), ("Tap the", "truncated"),
+             ("Save carpet", None), ("Call Mr Evans", None), ("Open lamp", None)]
+    rows = [(1000 + i, talk(ask, ("assistant", t))) for i, t in enumerate(fill)] + [(i, talk(ask, ("assistant", t))) for i, (t, _) in enumerate(cases)]
+    df = spark.createDataFrame(rows, "sample_id BIGINT, conversations ARRAY<STRUCT<sender: STRING, content: STRING>>")
+    got = {r.sample_id: r.defect for r in B.broken_pairs(df).collect() if r.defect == "truncated"}
+    assert got == {i: d for i, (_, d) in enumerate(cases) if d}
+
+
 def test_broken_pairs_of_nothing(spark):
     assert B.broken_pairs(spark.createDataFrame([], "sample_id BIGINT, conversations ARRAY<STRUCT<sender: STRING, content: STRING>>")).count() == 0
 
