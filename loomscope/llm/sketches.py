@@ -21,9 +21,11 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from loomscope.session import written
+
 #: Two word sets are alike if 10 * shared >= 7 * union, that is 17 * differing <= 3 * (size_a + size_b).
 ALIKE = (7, 10)
 #: Most frequent words that are sent to the tasks; ``cold`` rises so that no more can exist.
@@ -36,6 +38,9 @@ LIST_GOAL = 4096
 #: this, and what it may have left out is found after the first round, among entries not linked by then.
 PARTNERS = 16
 SMALL_LIST = 64
+#: A two-sided list of more pairs than this is split; a part of it has at most about so many entries of each side.
+LIST_PAIRS = 1 << 24
+PART_ENTRIES = 1 << 15
 
 ENTRY = "key BIGINT, id BIGINT, sig BIGINT, mark BIGINT, n INT, c INT, skip INT, side INT, hot BOOLEAN"
 FOUND = "a BIGINT, b BIGINT, " + ENTRY
@@ -207,10 +212,11 @@ def _scan(a: dict, b: dict, sided: bool, mark_apart: int | None, most: int | Non
             cols = slice(start, start + 2048)
             bits = np.bitwise_count(sig_b[rows, None] ^ sig_a[None, cols])
             i, j = np.nonzero(bits <= (room_b[rows, None] + room_a[None, cols]) // 17)
+            if mark_apart is not None:
+                near = marks_near(a["mark"][j + start], b["mark"][i + lo], mark_apart)
+                i, j = i[near], j[near]
             one, other = {k: v[j + start] for k, v in a.items()}, {k: v[i + lo] for k, v in b.items()}
             good = passes(one, other, sided)
-            if mark_apart is not None:
-                good &= marks_near(one["mark"], other["mark"], mark_apart)
             if differ:
                 good &= one[differ] != other[differ]
             i, j = i[good], j[good]
@@ -266,13 +272,61 @@ def _batch(a: np.ndarray, b: np.ndarray, x: dict | None = None) -> pa.RecordBatc
     return pa.RecordBatch.from_arrays(cols, names=["a", "b", *COLUMNS])
 
 
+def split_lists(listed: DataFrame, mark_apart: int) -> DataFrame:
+    """``listed`` with two-sided lists of more than ``LIST_PAIRS`` pairs split into lists of their own, so that each pair
+    whose marks may differ by at most ``mark_apart`` on average still meets in exactly one of them.
+
+    Three signed sums of the eight means differ by no more than the means do together. An entry of side 1 goes to the
+    cell of its sums, one of side 0 to the (up to eight) cells within the bound. Entries of side 1 without a mark have a cell to which
+    all of side 0 with a mark go; those of side 0 without one meet all of side 1 in another. A cell is cut further
+    into blocks of both sides, each of one with each of the other. A long list has thousands of entries, so
+    the keys of long lists are few and are broadcast.
+    """
+    long = listed.groupBy("key").agg(F.count_if(F.col("side") == 1).alias("n1"), F.count_if(F.col("side") == 0).alias("n0"), F.count_if((F.col("side") == 0) & (F.col("mark") == -1)).alias("bare"))
+    long = written(long.where(F.col("n0") * F.col("n1") > LIST_PAIRS).select("key", (F.col("bare") > 0).alias("bare")), "long_lists")
+    if long.isEmpty():
+        return listed
+    most = 8 * (mark_apart + 2)
+    width = 2 * most + 1
+    means = [F.shiftrightunsigned("mark", 8 * k).bitwiseAND(F.lit(255)) for k in range(8)]
+    sums = [sum((m if sign(k) else -m for k, m in enumerate(means)), F.lit(0)) for sign in (lambda k: True, lambda k: k < 4, lambda k: k % 2 == 0)]
+    cell = lambda x: F.floor(x / width)
+    own = F.concat_ws(",", *(cell(x).cast("string") for x in sums))
+
+    def cross(prefixes: Column, x: Column) -> Column:
+        cells = F.sequence(cell(x - most), cell(x + most))
+        return F.flatten(F.transform(prefixes, lambda p: F.transform(cells, lambda c: F.concat_ws(",", p, c.cast("string")))))
+
+    near = F.transform(F.sequence(cell(sums[0] - most), cell(sums[0] + most)), lambda c: c.cast("string"))
+    for x in sums[1:]:
+        near = cross(near, x)
+    unmarked = F.col("mark") == -1
+    of_one = F.concat(F.array(F.when(unmarked, "none").otherwise(own)), F.when(F.col("bare"), F.array(F.lit("all"))).otherwise(F.array().cast("array<string>")))
+    of_zero = F.when(unmarked, F.array(F.lit("all"))).otherwise(F.concat(near, F.array(F.lit("none"))))
+    columns = listed.columns
+    entry = listed.join(F.broadcast(long), "key")
+    entry = entry.select(*columns, F.explode(F.when(F.col("side") == 1, of_one).otherwise(of_zero)).alias("cell"))
+    sizes = entry.groupBy("key", "cell").agg(F.count_if(F.col("side") == 1).alias("n1"), F.count_if(F.col("side") == 0).alias("n0")).where("n0 > 0 AND n1 > 0")
+    sizes = sizes.select("key", "cell", *(F.ceil(F.col(c) / PART_ENTRIES).alias(c) for c in ("n1", "n0")))
+    entry = entry.join(sizes, ["key", "cell"])
+    block = lambda n: F.pmod(F.xxhash64("id", F.lit("block")), F.col(n))
+    every = lambda n: F.sequence(F.lit(0).cast("bigint"), F.col(n).cast("bigint") - 1)
+    is_one = F.col("side") == 1
+    entry = entry.withColumn("with", F.explode(F.when(is_one, every("n0")).otherwise(every("n1"))))
+    parts = [F.when(is_one, block("n1")).otherwise(F.col("with")), F.when(is_one, F.col("with")).otherwise(block("n0"))]
+    entry = entry.withColumn("key", F.xxhash64("key", "cell", *parts)).select(*columns)
+    return listed.join(F.broadcast(long), "key", "left_anti").select(*columns).unionByName(entry)
+
+
 def candidates(listed: DataFrame, sided: bool = False, mark_apart: int | None = None) -> DataFrame:
     """Candidate pairs of the inverted lists (:data:`FOUND`): rows with ``a`` and ``b``, and the entries of the lists
     that were not exhausted (``a`` and ``b`` null, the other columns set), for :func:`candidates_left`.
 
     With ``sided`` all passing pairs of an entry of side 0 with one of side 1 are given and nothing is left; with
-    ``mark_apart`` only those whose marks may differ by at most that on average.
+    ``mark_apart`` only those whose marks may differ by at most that on average, and long lists are split.
     """
+    if sided and mark_apart is not None:
+        listed = split_lists(listed, mark_apart)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for x, long in _lists(batches, COLUMNS):

@@ -189,6 +189,30 @@ def test_cross_split_equals_brute_force(spark):
     assert len(got) == len(set(got)) and set(got) == want and want
 
 
+def test_long_sided_lists_are_split(spark, monkeypatch):
+    monkeypatch.setattr(S, "LIST_PAIRS", 1000)
+    monkeypatch.setattr(S, "PART_ENTRIES", 50)
+    draw = np.random.default_rng(7)
+    base = draw.integers(40, 215, (20, 8))
+    means = np.clip(base[draw.integers(0, 20, 900)] + draw.integers(-16, 17, (900, 8)), 0, 254).astype(np.uint8)
+    marks = means.view(np.int64).ravel().copy()
+    marks[::85] = -1
+    side = (np.arange(900) % 3 > 0).astype(int)
+    rows = [(5, i, 0, int(m), 10, 0, 0, int(x), True) for i, (m, x) in enumerate(zip(marks, side))]
+    rows += [(6, i, 0, int(marks[i]), 10, 0, 0, int(side[i]), True) for i in range(20)]
+    listed = spark.createDataFrame(rows, S.ENTRY)
+    split = S.split_lists(listed, 10)
+    pairs = {(min(r.a, r.b), max(r.a, r.b)) for r in S.candidates(listed, True, 10).collect()}
+    zero, ones = np.flatnonzero(side == 0), np.flatnonzero(side == 1)
+    a, b = (x.ravel() for x in np.meshgrid(zero, ones))
+    near = S.marks_near(marks[a], marks[b], 10)
+    assert pairs == {(min(x, y), max(x, y)) for x, y in zip(a[near].tolist(), b[near].tolist())}
+    longest = split.groupBy("key").agg(F.count_if(F.col("side") == 1).alias("n1")).agg(F.max("n1")).first()[0]
+    assert longest < 100  # 600 of one list before
+    once = split.where("side = 0").alias("x").join(split.where("side = 1").alias("y"), "key").groupBy("x.id", "y.id").count()
+    assert once.where("count > 1").count() <= 20 * 20  # only pairs of the second list meet twice
+
+
 def test_cross_split_of_nothing(spark):
     assert X.cross_split_overlaps(spark.createDataFrame([], "rec_id BIGINT, split STRING, func STRING, image BINARY")).count() == 0
 
