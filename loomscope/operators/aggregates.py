@@ -5,11 +5,13 @@ from __future__ import annotations
 import random
 from collections.abc import Iterator
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from loomscope.functions.text import sided_ngrams
+from loomscope.session import written
 
 #: Values of a metric that a bootstrap task holds; beyond it the resampling needs the closed form.
 MOST_BOOTSTRAP_VALUES = 1_000_000
@@ -168,3 +170,26 @@ def bootstrap_stderr(values: DataFrame, value: str, statistic, iterations: int =
 
     chunks = spark.range(iterations // chunk).repartition(min(iterations // chunk, 64))
     return chunks.mapInPandas(run, "stat DOUBLE").agg(F.stddev_samp("stat").alias("stderr"), F.count("*").alias("resamples"))
+
+
+def bootstrap_median_stderr(values: DataFrame, value: str, iterations: int = 1000) -> DataFrame:
+    """Standard error of the upper median (position n // 2) over resamples with replacement, of any number of values.
+
+    In a resample of n, the value at position k in order is that of ``values`` at position floor(n * V), where V, the
+    k-th of n uniform numbers in order, has the distribution Beta(k + 1, n - k). So a seeded V is drawn for each
+    resample and its value is looked up by the running counts of range-partitioned values: exactly the distribution
+    of resampled medians, reproducible whatever the partitions.
+    """
+    spark = values.sparkSession
+    counts = values.where(F.col(value).isNotNull()).groupBy(F.col(value).cast("double").alias("v")).agg(F.count("*").alias("n"))
+    counts = written(counts.repartitionByRange("v").withColumn("part", F.spark_partition_id()), "values")
+    sizes = sorted((r.part, r.n) for r in counts.groupBy("part").agg(F.sum("n").alias("n")).collect())
+    ends = np.cumsum([n for _, n in sizes])
+    n = int(ends[-1]) if sizes else 0
+    at = np.minimum((np.random.default_rng(0).beta(n // 2 + 1, n - n // 2, iterations) * n).astype(np.int64), n - 1) if n else []
+    of = np.searchsorted(ends, at, "right") if n else []
+    ranks = [(sizes[p][0], int(i - ends[p] + sizes[p][1])) for p, i in zip(of, at)]
+    drawn = F.broadcast(spark.createDataFrame(ranks, "part INT, rank BIGINT"))
+    running = counts.withColumn("end", F.sum("n").over(Window.partitionBy("part").orderBy("v")))
+    stats = running.join(drawn, "part").where("rank < end AND rank >= end - n")
+    return stats.agg(F.stddev_samp("v").alias("stderr"), F.count("*").alias("resamples"))

@@ -304,7 +304,7 @@ def response_cache(spark, d):
 def bootstrap_stderr(spark, d):
     """Standard error of the median distance over resamples (its draws have no SQL form)."""
     s = scored(spark, d).where("dist IS NOT NULL").select(F.round("dist", 9).alias("dist"))
-    return A.bootstrap_stderr(s, "dist", lambda x: sorted(x)[len(x) // 2], iterations=200, chunk=10)
+    return A.bootstrap_median_stderr(s, "dist", iterations=200)
 
 
 @query(f"""WITH {S_SQL}, l AS (SELECT response_id, min(logged_at) logged_at FROM eval_responses GROUP BY 1)

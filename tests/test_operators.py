@@ -1,3 +1,4 @@
+import random
 import statistics
 
 import pytest
@@ -59,6 +60,25 @@ def test_bootstrap_is_reproducible(spark):
     assert run(df)[0] == run(df.repartition(5))[0] and run(df).resamples == 60
 
 
+def test_bootstrap_of_the_median_has_no_limit(spark, monkeypatch):
+    monkeypatch.setattr(A, "MOST_BOOTSTRAP_VALUES", 100)
+    draw = random.Random(4)
+    held = [round(draw.gauss(0, 1), 2) for _ in range(400)] + [0.5] * 101
+    df = spark.createDataFrame([(v,) for v in [*held, None]], "v DOUBLE")
+    got = [A.bootstrap_median_stderr(d, "v", 2000).first() for d in (df, df.repartition(5))]
+    stats = [sorted(draw.choices(held, k=len(held)))[len(held) // 2] for _ in range(2000)]
+    assert got[0].resamples == 2000 and got[0].stderr == pytest.approx(got[1].stderr)
+    assert got[0].stderr == pytest.approx(statistics.stdev(stats), rel=0.1)
+    assert A.bootstrap_median_stderr(df.limit(0), "v", 10).first().resamples == 0
+
+
+def test_bootstrap_query_has_no_limit(spark, monkeypatch):
+    from loomscope.queries import grounding
+
+    monkeypatch.setattr(A, "MOST_BOOTSTRAP_VALUES", 10)
+    assert grounding.bootstrap_stderr(spark, "/root/testdata/sf0.001").first().resamples == 200
+
+
 def test_text_corpora(spark):
     df = spark.createDataFrame([(1, 1, "a b c d e", "a b c d e"), (1, 2, "f g h i j", "f g h i j")], "k INT, i INT, r STRING, p STRING")
     r, p = F.split("r", " "), F.split("p", " ")
