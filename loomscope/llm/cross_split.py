@@ -88,10 +88,11 @@ def cross_split_overlaps(records: DataFrame) -> DataFrame:
     words that the training record holds), ``similarity`` (Jaccard, 0.7 or more), ``grey_apart`` (mean difference
     of the grey levels, 10 or less; a picture twice as large in both directions is brought to the smaller size).
 
-    Copies become one class for each side first. The hashes of the retained words, or of two or three frequent
-    words together, of both sides are partitioned by hash; the training entries of a partition are scanned for
-    hits of the evaluation entries (see :mod:`loomscope.llm.sketches`), where eight block means of the pictures
-    already rule out most pairs of different pictures. Hits are verified exactly, words first, then pixels.
+    Copies become one class for each side first. The hashes of n-grams of words (one word, or two or three of them
+    where one is frequent; the words of a set have no order but that of their hashes) of both sides are partitioned by hash; the training entries of
+    a partition are scanned for hits of the evaluation entries (see :mod:`loomscope.llm.sketches`), where eight block means of
+    the pictures already rule out most pairs of different pictures. A hit counts if the training record contains enough of the
+    evaluation record's words, and is then verified exactly, words first, then pixels.
 
     Null or wordless ``func``, null or unreadable ``image``, null ``rec_id`` or ``split`` take part in no pair.
     Splits other than train are evaluation splits. Other columns are ignored; an empty table gives no rows.
@@ -103,11 +104,12 @@ def cross_split_overlaps(records: DataFrame) -> DataFrame:
     rows = rows.withColumn("toks", F.array_sort("toks")).withColumn("id", F.xxhash64("toks", "grey", "width", "side"))
     rows = written(rows.dropDuplicates(["rec_id"]), "records")
     members = rows.select("rec_id", "split", "id")
-    classes = written(rows.drop("rec_id", "split").dropDuplicates(["id"]).withColumn("n", F.size("toks")), "classes")
+    classes = rows.drop("rec_id", "split").dropDuplicates(["id"])
+    classes = written(sketches.ranked(classes, sketches.word_classes(classes)).withColumn("n", F.size("toks")), "classes")
 
-    hits = sketches.candidates(sketches.entries(classes), sided=True, mark_apart=GREY_LEVELS)
+    hits = sketches.candidates(*sketches.entries(classes), mark_apart=GREY_LEVELS)
     hits = hits.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"))
-    pairs = verified(classes, hits)
+    pairs = verified(classes, hits, contained="side")
     sets = classes.select("id", "toks", "n", "width", "height", "grey", "side")
     one, other = ([F.col(c).alias(f"{c}_{x}") for c in sets.columns] for x in "ab")
     pairs = pairs.join(sets.select(*one).withColumnRenamed("id_a", "a"), "a").join(sets.select(*other).withColumnRenamed("id_b", "b"), "b")

@@ -18,16 +18,22 @@ def conversation_text(conversations: Column) -> Column:
     return F.array_join(F.transform(conversations, lambda m: m["content"]), "\n")
 
 
-def verified(docs: DataFrame, pairs: DataFrame) -> DataFrame:
-    """The ``pairs`` (``a, b``) whose word sets in ``docs`` (``id, toks, n``) are alike, by exact Jaccard similarity."""
+def verified(docs: DataFrame, pairs: DataFrame, contained: str | None = None) -> DataFrame:
+    """The ``pairs`` (``a, b``) whose word sets in ``docs`` (``id, toks, n``) are alike, by exact Jaccard similarity.
+
+    contained: a column that is 0 for the one of a pair whose containment in the other has to reach the threshold first.
+    """
     pairs = written(pairs.distinct(), "pairs")
     ids = pairs.select(F.explode(F.array("a", "b")).alias("id")).distinct()
     if 2 * pairs.count() <= MOST_SENT_IDS:
         docs = docs.join(F.broadcast(ids), "id", "left_semi")
-    sets = docs.select("id", "toks", "n")
-    both = pairs.join(sets.toDF("a", "toks_a", "n_a"), "a").join(sets.toDF("b", "toks_b", "n_b"), "b")
-    shared = F.size(F.array_intersect("toks_a", "toks_b"))
+    sets = docs.select("id", "toks", "n", (F.col(contained) if contained else F.lit(None)).alias("side"))
+    both = pairs.join(sets.toDF("a", "toks_a", "n_a", "side_a"), "a").join(sets.drop("side").toDF("b", "toks_b", "n_b"), "b")
+    both = both.withColumn("shared", F.size(F.array_intersect("toks_a", "toks_b")))
+    shared = F.col("shared")
     least, of = sketches.ALIKE
+    if contained:
+        both = both.where(of * shared >= least * F.when(F.col("side_a") == 0, F.col("n_a")).otherwise(F.col("n_b")))
     return both.where(of * shared >= least * (F.col("n_a") + F.col("n_b") - shared)).select("a", "b")
 
 
@@ -63,9 +69,10 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
 
     Exact copies of a word set become one document first, so copies cost one row each however many there are.
     Its bottom-k sketch is listed under each retained value (see :mod:`loomscope.llm.sketches`), the lists
-    generate pairs, the union-sketch bound filters them and the exact similarity verifies them. Entries of a very
+    generate pairs, the union-sketch bound filters them and the exact similarity verifies them. Entries of a
     long list first try the same few partners; only pairs that are not connected by then are tried afterwards, so
-    no pair is lost and a large group never expands into all its pairs.
+    no pair is lost and a large group never expands into all its pairs. Word sets are compared by the 57-bit hashes of
+    their words and named by 64-bit hashes: "exact" is up to a collision of those.
 
     Null, empty and wordless texts and null keys belong to no group. A key that comes several times counts once
     (with different texts: it connects them). Ties have no influence. Other columns are ignored; an empty table
@@ -78,10 +85,10 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
     mixed = F.aggregate("toks", F.lit(0).cast("bigint"), lambda s, t: s.bitwiseXOR(F.xxhash64(t)))
     docs = written(docs.withColumn("id", F.xxhash64(folded, mixed, F.size("toks"))), "texts")
     members = docs.select("field_name", "key", "id")
-    sets = docs.select("id", "toks").dropDuplicates(["id"]).withColumn("n", F.size("toks"))
-    sets = written(sets, "sets")
+    sets = sketches.ranked(docs.select("id", "toks").dropDuplicates(["id"]), sketches.word_classes(docs))
+    sets = written(sets.withColumn("n", F.size("toks")), "sets")
 
-    found = written(sketches.candidates(sketches.entries(sets)), "candidates")
+    found = written(sketches.candidates(*sketches.entries(sets)), "candidates")
     keys = members.select("key", "field_name", "id").distinct()
     one_key = keys.groupBy("field_name", "key").agg(F.min("id").alias("a"), F.max("id").alias("b")).where("a <> b")
     same_key = keys.join(one_key, ["field_name", "key"]).where("id <> a").select("a", F.col("id").alias("b"))

@@ -71,9 +71,9 @@ def make_texts(seed, n):
     return out
 
 
-@pytest.mark.parametrize("seed, least_hot, goal, partners, small", [(1, 64, 4096, 16, 64), (2, 5, 20, 2, 4), (3, 3, 2, 1, 2), (4, 8, 1000, 1, 3)])
-def test_near_duplicates_equal_brute_force(spark, monkeypatch, seed, least_hot, goal, partners, small):
-    for name, value in (("LEAST_HOT", least_hot), ("LIST_GOAL", goal), ("PARTNERS", partners), ("SMALL_LIST", small)):
+@pytest.mark.parametrize("seed, rare, goal, partners, small, sent", [(1, 4096, 4096, 16, 64, 1 << 21), (2, 100, 20, 2, 4, 1 << 21), (3, 1, 5, 1, 2, 0), (4, 20, 40, 1, 3, 12)])
+def test_near_duplicates_equal_brute_force(spark, monkeypatch, seed, rare, goal, partners, small, sent):
+    for name, value in (("RARE", rare), ("LIST_GOAL", goal), ("PARTNERS", partners), ("SMALL_LIST", small), ("MOST_SENT_KEYS", sent)):
         monkeypatch.setattr(S, name, value)
     texts = make_texts(seed, 220)
     texts |= {2: None, 5: "", 8: " .. <b> ", 11: "long " * 20000 + "text", 14: "text long"}
@@ -198,11 +198,11 @@ def test_long_sided_lists_are_split(spark, monkeypatch):
     marks = means.view(np.int64).ravel().copy()
     marks[::85] = -1
     side = (np.arange(900) % 3 > 0).astype(int)
-    rows = [(5, i, 0, int(m), 10, 0, 0, int(x), True) for i, (m, x) in enumerate(zip(marks, side))]
-    rows += [(6, i, 0, int(marks[i]), 10, 0, 0, int(side[i]), True) for i in range(20)]
-    listed = spark.createDataFrame(rows, S.ENTRY)
-    split = S.split_lists(listed, 10)
-    pairs = {(min(r.a, r.b), max(r.a, r.b)) for r in S.candidates(listed, True, 10).collect()}
+    rows = [(5, i, 0, int(m), 10, 0, int(x)) for i, (m, x) in enumerate(zip(marks, side))]
+    rows += [(6, i, 0, int(marks[i]), 10, 0, int(side[i])) for i in range(20)]
+    listed, long = spark.createDataFrame(rows, S.ENTRY), spark.createDataFrame([(5, 900)], "key BIGINT, length BIGINT")
+    split = S.split_lists(listed, long, 10)
+    pairs = {(min(r.a, r.b), max(r.a, r.b)) for r in S.candidates(listed, long, 10).collect()}
     zero, ones = np.flatnonzero(side == 0), np.flatnonzero(side == 1)
     a, b = (x.ravel() for x in np.meshgrid(zero, ones))
     near = S.marks_near(marks[a], marks[b], 10)
@@ -213,6 +213,27 @@ def test_long_sided_lists_are_split(spark, monkeypatch):
     assert once.where("count > 1").count() <= 20 * 20  # only pairs of the second list meet twice
 
 
+def test_a_family_of_a_third_of_all_rows_is_split(spark, monkeypatch):
+    """Near copies that share all frequent words: no list in one task, one group, few pairs."""
+    monkeypatch.setattr(S, "LIST_GOAL", 50)
+    draw = random.Random(8)
+    family = [" ".join([f"w{i}" for i in range(20)] + [f"x{draw.randrange(40)}", f"y{draw.randrange(40)}"]) for _ in range(1000)]
+    others = [" ".join(f"z{draw.randrange(3000)}" for _ in range(12)) for _ in range(2000)]
+    df = spark.createDataFrame([("f", i, t) for i, t in enumerate(family + others)], "field_name STRING, key BIGINT, text STRING")
+    sizes = []
+    scan = S.candidates
+
+    def candidates(listed, long):
+        hub = S.hub_lists(listed, long)
+        sizes.append((hub.groupBy("key").count().agg(F.max("count")).first()[0], scan(listed, long).where("a IS NOT NULL").count()))
+        return scan(listed, long)
+
+    monkeypatch.setattr(S, "candidates", candidates)
+    got = {r.member_key: r.group_key for r in N.near_duplicates(df).collect()}
+    assert all(got.get(i) == 0 for i in range(1, 1000))
+    assert sizes[0][0] <= 4 * 50 and sizes[0][1] < 1000 * 999 / 4
+
+
 def test_cross_split_of_nothing(spark):
     assert X.cross_split_overlaps(spark.createDataFrame([], "rec_id BIGINT, split STRING, func STRING, image BINARY")).count() == 0
 
