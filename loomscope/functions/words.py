@@ -16,11 +16,16 @@ def without_tags(text: Column) -> Column:
     return F.regexp_replace(F.regexp_replace(F.lower(text), IMAGE_TAG, " "), ANY_TAG, " ")
 
 
+def all_words(text: Column) -> Column:
+    """The lower-case runs of letters and digits of ``text`` in order; null gives an empty array."""
+    return F.regexp_extract_all(F.coalesce(without_tags(text), F.lit("")), F.lit(WORD), F.lit(0))
+
+
 def words(text: Column) -> Column:
-    """Distinct lower-case runs of letters and digits of ``text``; null gives an empty array."""
-    return F.array_distinct(F.regexp_extract_all(F.coalesce(without_tags(text), F.lit("")), F.lit(WORD), F.lit(0)))
+    """The distinct :func:`all_words` of ``text``."""
+    return F.array_distinct(all_words(text))
 
 
-def word_hashes(text: Column) -> Column:
-    """:func:`words` as 64-bit hashes."""
-    return F.transform(words(text), lambda w: F.xxhash64(w))
+def word_hashes(text: Column, *salt: Column) -> Column:
+    """:func:`words` as 64-bit hashes, each together with ``salt``."""
+    return F.array_distinct(F.transform(all_words(text), lambda w: F.xxhash64(w, *salt)))
