@@ -99,9 +99,9 @@ def cross_split_overlaps(records: DataFrame) -> DataFrame:
     """
     picture = F.pandas_udf(_pictures, PICTURE)
     rows = records.where("rec_id IS NOT NULL AND split IS NOT NULL AND func IS NOT NULL AND image IS NOT NULL")
-    rows = rows.select("rec_id", "split", F.col("split").eqNullSafe("train").cast("int").alias("side"), word_hashes(F.col("func")).alias("toks"), picture("image").alias("p"))
-    rows = rows.where("p.grey IS NOT NULL AND size(toks) > 0").select("rec_id", "split", "side", "p.*", F.transform("toks", lambda t: F.xxhash64(t, F.col("p.aspect"))).alias("toks"))
-    rows = rows.withColumn("toks", F.array_sort("toks")).withColumn("id", F.xxhash64("toks", "grey", "width", "side"))
+    rows = rows.select("rec_id", "split", F.col("split").eqNullSafe("train").cast("int").alias("side"), F.col("func"), picture("image").alias("p"))
+    rows = rows.where("p.grey IS NOT NULL").select("rec_id", "split", "side", "p.*", F.sort_array(word_hashes(F.col("func"), F.col("p.aspect"))).alias("toks"))
+    rows = rows.where("size(toks) > 0").withColumn("id", F.xxhash64("toks", "grey", "width", "side"))
     rows = written(rows.dropDuplicates(["rec_id"]), "records")
     members = rows.select("rec_id", "split", "id")
     classes = rows.drop("rec_id", "split").dropDuplicates(["id"])

@@ -78,12 +78,9 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
     (with different texts: it connects them). Ties have no influence. Other columns are ignored; an empty table
     gives an empty result.
     """
-    docs = docs.select("field_name", "key", F.transform(word_hashes(F.col("text")), lambda t: F.xxhash64(t, F.col("field_name"))).alias("toks"))
+    docs = docs.select("field_name", "key", F.sort_array(word_hashes(F.col("text"), F.col("field_name"))).alias("toks"))
     docs = docs.where("key IS NOT NULL AND size(toks) > 0")
-    # A set's id: the sum and the xor of its hashes do not depend on the order of its words.
-    folded = F.aggregate("toks", F.lit(0).cast("bigint"), lambda s, t: s.bitwiseXOR(t))
-    mixed = F.aggregate("toks", F.lit(0).cast("bigint"), lambda s, t: s.bitwiseXOR(F.xxhash64(t)))
-    docs = written(docs.withColumn("id", F.xxhash64(folded, mixed, F.size("toks"))), "texts")
+    docs = written(docs.withColumn("id", F.xxhash64("toks")), "texts")
     members = docs.select("field_name", "key", "id")
     sets = sketches.ranked(docs.select("id", "toks").dropDuplicates(["id"]), sketches.word_classes(docs))
     sets = written(sets.withColumn("n", F.size("toks")), "sets")

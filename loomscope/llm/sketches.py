@@ -256,7 +256,7 @@ def _scan(a: dict, b: dict, sided: bool, mark_apart: int | None, most: int | Non
         for start in range(0, min(len(sig_a), lo + 128) if a is b else len(sig_a), 2048):
             cols = slice(start, start + 2048)
             bits = np.bitwise_count(sig_b[rows, None] ^ sig_a[None, cols]).view(np.int8)
-            i, j = np.nonzero(bits <= room_b[rows, None] + room_a[None, cols])
+            i, j = divmod(np.flatnonzero(bits <= room_b[rows, None] + room_a[None, cols]), bits.shape[1])
             if a is b:  # each pair once
                 once = j + start < i + lo
                 i, j = i[once], j[once]
