@@ -101,8 +101,8 @@ def cross_split_overlaps(records: DataFrame) -> DataFrame:
     rows = records.where("rec_id IS NOT NULL AND split IS NOT NULL AND func IS NOT NULL AND image IS NOT NULL")
     rows = rows.select("rec_id", "split", F.col("split").eqNullSafe("train").cast("int").alias("side"), F.col("func"), picture("image").alias("p"))
     rows = rows.where("p.grey IS NOT NULL").select("rec_id", "split", "side", "p.*", F.sort_array(word_hashes(F.col("func"), F.col("p.aspect"))).alias("toks"))
-    rows = rows.where("size(toks) > 0").withColumn("id", F.xxhash64("toks", "grey", "width", "side"))
-    rows = written(rows.dropDuplicates(["rec_id"]), "records")
+    rows = rows.withColumn("id", F.xxhash64("toks", "grey", "width", "side"))
+    rows = written(rows.dropDuplicates(["rec_id"]), "records").where("size(toks) > 0")  # not before: the words would be read twice
     members = rows.select("rec_id", "split", "id")
     classes = rows.drop("rec_id", "split").dropDuplicates(["id"])
     classes = written(sketches.ranked(classes, sketches.word_classes(classes)).withColumn("n", F.size("toks")), "classes")

@@ -79,8 +79,8 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
     gives an empty result.
     """
     docs = docs.select("field_name", "key", F.sort_array(word_hashes(F.col("text"), F.col("field_name"))).alias("toks"))
-    docs = docs.where("key IS NOT NULL AND size(toks) > 0")
-    docs = written(docs.withColumn("id", F.xxhash64("toks")), "texts")
+    docs = written(docs.where("key IS NOT NULL").withColumn("id", F.xxhash64("toks")), "texts")
+    docs = docs.where("size(toks) > 0")  # not before: the words would be read twice
     members = docs.select("field_name", "key", "id")
     sets = sketches.ranked(docs.select("id", "toks").dropDuplicates(["id"]), sketches.word_classes(docs))
     sets = written(sets.withColumn("n", F.size("toks")), "sets")
