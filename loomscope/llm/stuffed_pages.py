@@ -3,108 +3,211 @@
 from __future__ import annotations
 
 import re
-from collections import Counter
+from collections.abc import Iterator
+from itertools import chain
 
+import numpy as np
 import pandas as pd
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from loomscope.llm.languages import FUNCTION_WORDS
 from loomscope.session import table, written
 
 WORD = re.compile(r"[^\W_]+")
 #: A segment is a sentence or a line.
-SEGMENT_END = re.compile(r"(?<=[.!?])[\"'”»)]*\s+|\n+")
+SEGMENT_END = re.compile(r"(?<=[.!?])[\"'”»)]*\s+|(?<=[。！？])|\n+")
 LINK = re.compile(r"(?:https?://|www\.)[^\s)\">|]+")
 TAG_OR_LINK = re.compile(r"<[^>]*>|(?:https?://|www\.)[^\s)\">|]+")
 SEPARATOR = re.compile(r"[|,;/*»•·–]")
 
+#: A language has a profile if so many pages state it; a page's language is looked for among so many languages at most.
+LEAST_PAGES, MOST_LANGUAGES = 30, 200
+#: Function words are in this share of the pages of a language; its profile has the most frequent words besides.
+FUNCTION_PAGES, PROFILE_WORDS, PROFILE_PAGES = 0.45, 2000, 0.005
+#: A page without a stated language needs this share of its words in the profile of a language.
+KNOWN_WORDS = 0.15
 #: A segment says something if its share of function words is at least this part of the language's usual share.
 FUNCTION_PART = 0.25
-#: A phrase of two words in a row that are no function words and make up this share of a page is a key phrase.
-KEY_PHRASE_SHARE = 0.2
-#: A line that comes this often in a page is a duplicate line.
-DUPLICATE_LINES = 3
+#: Least limits of a segment's separators a word and link characters a character, of a page's share of the top word and of key
+#: phrases. A limit rises to CALIBRATED times the value that nine of ten segments (pages) of the language stay under.
+SEPARATORS, LINKS, TOP_WORD, KEY_PHRASES, CALIBRATED = 0.5, 0.5, 0.2, 0.35, 2.0
+#: A phrase of two words that are no function words counts for the key phrases of a page if it has this share of the page.
+PHRASE_SHARE = 0.1
+#: A word, phrase or line comes so often in a page before it counts as repeated.
+REPEATED = 3
 #: A page is stuffed if more than this share of its words stands in segments that say nothing.
 STUFFED_SHARE = 0.5
+#: Steps of the histograms that limits are read from.
+STEPS = 100
 
 PAGE = (
-    "lang STRING, n_words INT, top_word_share DOUBLE, top_phrase_share DOUBLE, duplicate_line_share DOUBLE, link_text_ratio DOUBLE, "
-    "separator_density DOUBLE, function_share DOUBLE, seg_words ARRAY<INT>, seg_function ARRAY<INT>"
+    "doc_id BIGINT, lang STRING, profiled BOOLEAN, n_words INT, top_word_share DOUBLE, key_phrase_share DOUBLE, duplicate_line_share DOUBLE, link_text_ratio DOUBLE, "
+    "separator_density DOUBLE, function_share DOUBLE, segments ARRAY<STRUCT<words: INT, function: INT, separators: DOUBLE, links: DOUBLE, repeats: BOOLEAN, phrase: BOOLEAN, top: BOOLEAN>>"
 )
 
 
-def _page(text: str, lang: str | None) -> tuple:
-    """The statistics of one page. Its language is the one with most function words, else the stated one."""
-    cut = [(s.strip(), len(WORD.findall(s))) for s in SEGMENT_END.split(text.lower())]
-    cut = [(s, size) for s, size in cut if size]
-    # Words of links and markup count for the size of a segment, but they say nothing.
-    segments = [(s, WORD.findall(TAG_OR_LINK.sub(" ", s))) for s, _ in cut]
-    counts = Counter(w for _, ws in segments for w in ws)
-    n = sum(size for _, size in cut)
-    by_lang = {k: sum(counts[w] for w in ws) for k, ws in FUNCTION_WORDS.items()}
-    best = max(by_lang, key=lambda k: by_lang[k])
-    if not by_lang[best]:
-        best = (lang or "").lower()
-    function = FUNCTION_WORDS.get(best, FUNCTION_WORDS["en"])
-
-    phrases: Counter = Counter()
-    own = []
-    for _, ws in segments:
-        pairs = [p for p in zip(ws, ws[1:]) if p[0] not in function and p[1] not in function]
-        own.append(pairs)
-        phrases.update(pairs)
-    top_phrase, times = phrases.most_common(1)[0] if phrases else (None, 0)
-    key = top_phrase if times > 2 and 2 * times >= KEY_PHRASE_SHARE * n else None
-    lines = Counter(s for s, _ in segments)
-    seg_words, seg_function, duplicate = [], [], 0
-    for (s, ws), (_, size), pairs in zip(segments, cut, own):
-        copies = lines[s] >= DUPLICATE_LINES
-        duplicate += copies
-        within = len(pairs) - len(set(pairs)) > 0 or (key is not None and key in pairs)
-        seg_words.append(size)
-        seg_function.append(-1 if within or copies else sum(w in function for w in ws))
-    links = sum(len(x) for x in LINK.findall(text))
-    top_word = max((c for w, c in counts.items() if w not in function), default=0)
-    least = max(n, 1)
-    return (
-        best or None, n, top_word / least, 2 * times / least, duplicate / max(len(segments), 1), links / max(len(text), 1),
-        len(SEPARATOR.findall(text)) / least, by_lang.get(best, 0) / least, seg_words, seg_function,
-    )
-
+def language_profiles(docs: DataFrame) -> dict[str, dict[str, bool]]:
+    """The most frequent words of each language, and whether each is a function word, counted over all pages that state it.
 
-def page_statistics(text: str, lang: str) -> Column:
-    """The struct :data:`PAGE` of the columns ``text`` and ``lang``; a repeated segment has -1 function words."""
+    docs: ``text, lang``. At most ``MOST_LANGUAGES * PROFILE_WORDS`` words reach the driver.
+    """
+    stated = docs.select(F.lower(F.trim("lang")).alias("lang"), "text").where("lang IS NOT NULL AND lang NOT IN ('und', '') AND text IS NOT NULL")
+    words = F.array_distinct(F.regexp_extract_all(F.lower("text"), F.lit(r"[\p{L}\p{N}]+"), F.lit(0)))
+    pages = stated.groupBy("lang").agg(F.count("*").alias("pages")).where(F.col("pages") >= LEAST_PAGES).orderBy(F.desc("pages"), "lang").limit(MOST_LANGUAGES)
+    counts = stated.select("lang", F.explode(words).alias("word")).groupBy("lang", "word").agg(F.count("*").alias("n"))
+    top = counts.join(F.broadcast(pages), "lang").where(F.col("n") >= PROFILE_PAGES * F.col("pages"))
+    rank = F.row_number().over(Window.partitionBy("lang").orderBy(F.desc("n"), "word"))  # words that frequent are few
+    out: dict[str, dict[str, bool]] = {}
+    for r in top.withColumn("rank", rank).where(F.col("rank") <= PROFILE_WORDS).collect():
+        out.setdefault(r["lang"], {})[r["word"]] = r["n"] >= FUNCTION_PAGES * r["pages"]
+    return out
+
+
+def _counted(page: np.ndarray, code: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """For each item how often its code comes in its page, and the first item of each page and code."""
+    order = np.lexsort((code, page))
+    new = np.r_[True, (page[order][1:] != page[order][:-1]) | (code[order][1:] != code[order][:-1])] if len(order) else np.empty(0, bool)
+    run = np.cumsum(new) - 1
+    times, first = np.empty(len(order), np.int64), np.zeros(len(order), bool)
+    times[order], first[order] = np.bincount(run, minlength=0)[run], new
+    return times, first
+
+
+def page_statistics(batch: pd.DataFrame, profiles: dict[str, dict[str, bool]]) -> pd.DataFrame:
+    """The statistics (:data:`PAGE`) of the pages of a batch (``doc_id, text, lang``)."""
+    texts = [(t or "").lower() for t in batch["text"]]
+    n_pages = len(texts)
+    cut = [[s for s in SEGMENT_END.split(t) if s] for t in texts]
+    page_of = np.repeat(np.arange(n_pages), [len(c) for c in cut])
+    segments = list(chain.from_iterable(cut))
+    linked = ["<" in s or "://" in s or "www." in s for s in segments]
+    every = [len(WORD.findall(s)) for s in segments]
+    own = [WORD.findall(TAG_OR_LINK.sub(" ", s) if x else s) for s, x in zip(segments, linked)]
+    size = np.array(every, np.int64)
+    chars = np.array([max(len(s), 1) for s in segments], np.int64)
+    separators = np.array([len(SEPARATOR.findall(s)) for s in segments], np.int64)
+    link_chars = np.array([sum(map(len, LINK.findall(s))) if x else 0 for s, x in zip(segments, linked)], np.int64)
+
+    seg = np.repeat(np.arange(len(segments)), [len(w) for w in own])
+    code, known = pd.factorize(np.array(list(chain.from_iterable(own)), object)) if len(seg) else (np.empty(0, np.int64), [])
+    page = page_of[seg]
+    names = sorted(profiles)
+    in_profile = np.array([[profiles[k].get(w) is not None for w in known] for k in names], bool).reshape(len(names), len(known))
+    function = np.array([[bool(profiles[k].get(w)) for w in known] for k in names], bool).reshape(len(names), len(known))
+    of_profile, of_function = (np.array([np.bincount(page, x[k][code], n_pages) for k in range(len(names))]).reshape(len(names), n_pages) for x in (in_profile, function))
+    words = np.bincount(page_of, size, n_pages).astype(np.int64)
+
+    stated = [(g or "").strip().lower() for g in batch["lang"]]
+    lang, at = [], np.full(n_pages, -1)
+    for i, g in enumerate(stated):
+        known_lang = g not in ("", "und")
+        if known_lang and g not in profiles or not names:
+            lang.append(g if known_lang else None)
+            continue
+        best = max(range(len(names)), key=lambda k: (of_function[k, i], names[k] == g)) if known_lang else int(np.argmax(of_profile[:, i]))
+        if known_lang or of_profile[best, i] >= KNOWN_WORDS * max(words[i], 1):
+            at[i] = best
+        lang.append(names[best] if at[i] >= 0 else None)
+    padded = np.vstack([function, np.zeros((1, len(known)), bool)])
+    is_function = padded[at[page], code] if len(code) else np.empty(0, bool)
+
+    times, first = _counted(page, code)
+    content = first & ~is_function
+    top_times = np.zeros(n_pages, np.int64)
+    np.maximum.at(top_times, page[content], times[content])
+    is_top = ~is_function & (times == top_times[page]) & (times >= REPEATED)
+
+    pair = np.flatnonzero((seg[1:] == seg[:-1]) & ~is_function[1:] & ~is_function[:-1])
+    bigram = code[pair] * np.int64(len(known) + 1) + code[pair + 1]
+    within, _ = _counted(seg[pair], bigram)
+    times, first = _counted(page[pair], bigram)
+    is_key = (times >= REPEATED) & (2 * times >= PHRASE_SHARE * words[page[pair]])
+    in_key = np.zeros(len(code), bool)
+    in_key[pair[is_key]] = in_key[pair[is_key] + 1] = True
+    key_words = np.bincount(page, in_key, n_pages)
+    single = pd.factorize(np.array([s.strip() for s in segments], object))[0] if segments else np.empty(0, np.int64)
+    copies = _counted(page_of, single)[0] >= REPEATED
+
+    of_seg = lambda rows, flags: np.bincount(rows, flags, len(segments))
+    out = {
+        "words": size, "function": of_seg(seg, is_function), "separators": separators / np.maximum(size, 1), "links": link_chars / chars,
+        "repeats": (of_seg(seg[pair], within > 1) > 0) | copies, "phrase": of_seg(seg[pair], is_key) > 0, "top": of_seg(seg, is_top) > 0,
+    }
+    kinds = {"words": int, "function": int, "separators": float, "links": float, "repeats": bool, "phrase": bool, "top": bool}
+    columns = [np.asarray(out[k]).astype(kind).tolist() for k, kind in kinds.items()]
+    rows = [dict(zip(kinds, r)) for r in zip(*columns)]
+    ends = np.cumsum([len(c) for c in cut])
+    least = np.maximum(words, 1)
+    of_page = lambda x: np.bincount(page_of, x, n_pages)
+    return pd.DataFrame(
+        {
+            "doc_id": batch["doc_id"].to_numpy(), "lang": lang, "profiled": at >= 0, "n_words": words.astype(np.int32), "top_word_share": top_times / least, "key_phrase_share": key_words / least,
+            "duplicate_line_share": of_page(copies) / np.maximum(of_page(np.ones(len(segments))), 1), "link_text_ratio": of_page(link_chars) / np.maximum(of_page(chars), 1),
+            "separator_density": of_page(separators) / least, "function_share": np.bincount(page, is_function, n_pages) / least, "segments": [rows[b - len(c) : b] for b, c in zip(ends, cut)],
+        }
+    )
 
-    def run(text: pd.Series, lang: pd.Series) -> pd.DataFrame:
-        names = [x.split(" ")[0] for x in PAGE.split(", ")]
-        return pd.DataFrame([_page(t or "", g) for t, g in zip(text, lang)], columns=names)
 
-    return F.pandas_udf(run, PAGE)(text, lang)
+def _limit(values: DataFrame, value: Column, least: float, name: str) -> DataFrame:
+    """``lang`` and the limit of ``value`` in it: a multiple of what nine of ten rows stay under, but at least ``least`` and at most twice that."""
+    counts = values.select("lang", F.least(F.ceil(value * STEPS), F.lit(2 * STEPS)).alias("step")).groupBy("lang", "step").agg(F.count("*").alias("n"))
+    w = Window.partitionBy("lang")  # at most 2 * STEPS rows of a language
+    below = counts.withColumn("below", F.sum("n").over(w.orderBy("step"))).withColumn("all", F.sum("n").over(w))
+    tenth = below.groupBy("lang").agg(F.min(F.when(F.col("below") >= 0.9 * F.col("all"), F.col("step"))).alias("step"))
+    return tenth.select("lang", F.least(F.lit(2 * least), F.greatest(F.lit(least), F.col("step") / STEPS * CALIBRATED)).alias(name))
 
 
 def stuffed_pages(docs: DataFrame) -> DataFrame:
     """The statistics of every page of ``docs`` (``doc_id BIGINT, text STRING, lang STRING``) and whether it is stuffed.
 
-    A page is cut into sentences and lines. A segment says nothing if it has too few function words, repeats a
-    phrase within itself, holds the key phrase that a large share of the page consists of, or is a line that
-    comes again and again. How many function words are too few is calibrated for each language over all pages.
-    ``stuffed`` if most words of the page stand in such segments. The other columns (share of the top word and
-    phrase, duplicate-line share, link-text ratio, separator density, share of function words) say why.
+    A page is cut into sentences and lines. A segment says nothing if
+
+    * it has far fewer function words than segments of the language usually have,
+    * it has too many separators, or too much of it is links,
+    * it repeats a phrase within itself or is a line that comes again and again,
+    * it holds a key phrase or the top word of a page in which these have too large a share.
+
+    Limits are calibrated for each language over all pages, and function words are those that most pages of a language hold.
+    ``stuffed`` if most words of the page stand in such segments. The shares in the result say why.
 
-    Null, empty and wordless texts give ``stuffed`` false; a null, unknown or wrong ``lang`` is replaced by the
-    language whose function words the text holds. Every row counts by itself: repeated rows, mirrored texts and
-    ties change nothing. Other columns are ignored; an empty table gives an empty result.
+    A page that states a language without a profile (fewer than ``LEAST_PAGES`` pages) is not judged by function words; one that
+    states none is judged by the language whose profile holds most of its words, if any does. Null, empty and wordless texts
+    give ``stuffed`` false. Every row counts by itself: repeated rows, mirrored texts and ties change nothing. Other columns
+    are ignored; an empty table gives an empty result.
     """
-    pages = docs.select("doc_id", page_statistics("text", "lang").alias("page")).select("doc_id", "page.*")
-    pages = written(pages, "pages")
-    one = pages.select("lang", F.explode(F.arrays_zip("seg_words", "seg_function")).alias("s")).where("s.seg_function > 0")
-    usual = one.groupBy("lang").agg((F.sum("s.seg_function") / F.sum("s.seg_words")).alias("usual_share"))
-    least = F.coalesce("usual_share", F.lit(0.3)) * FUNCTION_PART
-    pages = pages.join(F.broadcast(usual), "lang", "left")  # a handful of languages
-    empty = F.aggregate(F.zip_with("seg_words", "seg_function", lambda w, f: F.when(f < least * w, w).otherwise(0)), F.lit(0), lambda n, x: n + x)
+    docs = docs.select("doc_id", "text", "lang")
+    sent = docs.sparkSession.sparkContext.broadcast(language_profiles(docs))
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for batch in batches:
+            for start in range(0, len(batch), 1000):
+                yield page_statistics(batch.iloc[start : start + 1000], sent.value)
+
+    pages = written(docs.mapInPandas(run, PAGE), "pages")
+    one = pages.select("lang", "profiled", F.explode("segments").alias("s")).select("lang", "profiled", "s.*").where("words > 0")
+    usual = one.where("profiled AND function > 0 AND NOT repeats").groupBy("lang").agg((F.sum("function") / F.sum("words")).alias("usual_share"))
+    limits = [
+        _limit(one, F.col("separators"), SEPARATORS, "most_separators"), _limit(one, F.col("links"), LINKS, "most_links"),
+        _limit(pages, F.col("top_word_share"), TOP_WORD, "most_top_word"), _limit(pages, F.col("key_phrase_share"), KEY_PHRASES, "most_key_phrases"),
+    ]
+    of = usual
+    for x in limits:
+        of = of.join(x, "lang", "full")
+    of = written(of, "limits")
+    of = of.select(F.coalesce("lang", F.lit("")).alias("of"), *(c for c in of.columns if c != "lang"))
+    pages = pages.join(F.broadcast(of), F.coalesce("lang", F.lit("")) == F.col("of"), "left").drop("of")  # a row a language
+    limit = lambda name, least: F.coalesce(name, F.lit(least))
+
+    def says_nothing(s: Column) -> Column:
+        few = F.col("profiled") & (s["function"] < F.coalesce("usual_share", F.lit(0.0)) * FUNCTION_PART * s["words"])
+        key = s["phrase"] & (F.col("key_phrase_share") > limit("most_key_phrases", KEY_PHRASES))
+        top = s["top"] & (F.col("top_word_share") > limit("most_top_word", TOP_WORD))
+        return few | (s["separators"] > limit("most_separators", SEPARATORS)) | (s["links"] > limit("most_links", LINKS)) | s["repeats"] | key | top
+
+    empty = F.aggregate("segments", F.lit(0), lambda n, s: n + F.when(says_nothing(s), s["words"]).otherwise(0))
     pages = pages.withColumn("empty_share", empty / F.greatest("n_words", F.lit(1)))
-    return pages.withColumn("stuffed", F.col("empty_share") > STUFFED_SHARE).drop("seg_words", "seg_function", "usual_share")
+    shares = [c.split(" ")[0] for c in PAGE.split(", ")[:10] if not c.startswith("profiled")]
+    return pages.select(*shares, "empty_share", (F.col("empty_share") > STUFFED_SHARE).alias("stuffed"))
 
 
 def p7_found(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -324,21 +324,32 @@ def test_mixing(spark):
 
 
 def test_stuffed_pages(spark):
-    things = ["order", "list", "icon", "page", "card", "map", "note", "timer", "badge", "panel"]
-    tell = lambda n: "".join(f"The {things[i % 10]} in row {i} shows what was sent to {things[i * 7 % 10]} {i * 13}. " for i in range(n))
+    things = "order list icon page card map note timer badge panel lamp sofa desk rug vase bed chair tray shelf clock hat coat scarf glove boot belt ring bag purse tie".split()
+    tell = lambda n, k=0: "".join(f"The {things[(i + k) % 30]} in row {i} shows what was sent to the {things[(i * 7 + k) % 30]} {i * 13}. " for i in range(n))
+    sachen = "Karte Liste Notiz Anzeige Tafel Uhr Lampe Vase Kanne Tasse Gabel Schere Nadel Leiter Kiste Truhe Kette Brille Jacke Hose".split()
+    sagen = lambda n, k=0: "".join(f"Die {sachen[(i + k) % 20]} zeigt, was an die {sachen[(i * 7 + k) % 20]} {i * 17} zu der Seite gesendet wird. " for i in range(n))
     prose = tell(6)
+    russian = "Эта кнопка открывает список заказов, который был отправлен вчера. После нажатия появляется окно с данными пользователя. Если поле остаётся пустым, сначала проверьте настройки."
+    chinese = "这个按钮会打开昨天发送的订单列表。点击之后会出现一个带有用户数据的窗口。如果该字段为空,请先检查设置。"
+    italian = "Questo pulsante apre la lista degli ordini che sono stati inviati ieri. Dopo il tocco compare una finestra con i dati. Se il campo resta vuoto, bisogna prima controllare le impostazioni."
+    dutch = "Deze knop opent de lijst met bestellingen die gisteren zijn verzonden. Na het tikken verschijnt een venster met gegevens. Als het veld leeg blijft, controleer dan eerst de instellingen."
     cases = [
-        (prose, False), ("cheap lamp buy lamp\n" * 20, True), ("Tags: lamp, sofa, best chair, cheap desk, red rug, blue vase, top bed", True),
-        ('<a href="http://x.test/a">Red Lamp</a>\n[Blue Sofa](http://y.test/p)\nwww.z.test/b' * 5, True), (prose + "Home | Shop | Help", False),
-        ("Why green lamp? Because green lamp means green lamp! Get the green lamp, the only green lamp for all who need a green lamp. " * 4, True),
-        ("Die Liste zeigt alle Karten, die an der Seite zu sehen sind. Sie wird mit dem Symbol auf der Seite geöffnet.", False),
-        (None, False), ("", False), (" \n ", False), (tell(40000), False), (prose + "\nMineral Blue, Visa Coral, Rating Teal", False),
+        (prose, "en", False), ("cheap lamp buy lamp\n" * 20, "en", True), ("Tags: lamp, sofa, best chair, cheap desk, red rug, blue vase, top bed", "EN", True),
+        ('<a href="http://x.test/a">Red Lamp</a>\n[Blue Sofa](http://y.test/p)\nwww.z.test/b' * 5, None, True), (prose + "Home | Shop | Help", None, False),
+        ("Why green lamp? Because green lamp means green lamp! Get the green lamp, the only green lamp for all who need a green lamp. " * 4, "en", True),
+        (sagen(1), "de", False), (None, "en", False), ("", None, False), (" \n ", "und", False), (tell(40000), "en", False), (prose + "\nMineral Blue, Visa Coral, Rating Teal", "und", False),
+        ("order list icon page card map note timer badge panel order badge map icon card list", "en", True), ("list icon page card map note timer badge panel order badge map icon card list", "und", True),
+        (russian, "ru", False), (chinese, "zh", False), (italian, "it", False), (dutch, "nl", False), (russian, None, False), (chinese, "und", False), (italian, None, False),
+        ("купить лампу дёшево, лампа цена, лампа скидка, купить лампу, лампа отзывы, лампа онлайн, купить лампу, лампа" , "ru", True),
+        ("http://x.test/a http://y.test/bcd\n" * 4 + "目录", "zh", True),
     ]
-    df = spark.createDataFrame([(i, t, (None, "en", "UND")[i % 3]) for i, (t, _) in enumerate(cases)], "doc_id BIGINT, text STRING, lang STRING")
-    df = clash(df)
+    rows = [(i, t, g) for i, (t, g, _) in enumerate(cases)]
+    rows += [(1000 + i, tell(2 + i % 9, i) if i % 3 else sagen(2 + i % 7, i), "en" if i % 3 else "de") for i in range(240)]
+    df = clash(spark.createDataFrame(rows, "doc_id BIGINT, text STRING, lang STRING"))
     got = {r.doc_id: r.stuffed for r in U.stuffed_pages(df).collect()}
-    assert got == {i: s for i, (_, s) in enumerate(cases)}
-    assert U.stuffed_pages(df.union(df)).where("stuffed").count() == 2 * sum(s for _, s in cases)
+    assert {i: got[i] for i in range(len(cases))} == {i: s for i, (_, _, s) in enumerate(cases)}
+    assert not any(s for i, s in got.items() if i >= 1000)
+    assert U.stuffed_pages(df.union(df)).where("stuffed").count() == 2 * sum(s for _, _, s in cases)
     assert U.stuffed_pages(df.limit(0)).count() == 0
 
 
