@@ -184,17 +184,17 @@ def stuffed_pages(docs: DataFrame) -> DataFrame:
                 yield page_statistics(batch.iloc[start : start + 1000], sent.value)
 
     pages = written(docs.mapInPandas(run, PAGE), "pages")
-    one = pages.select("lang", "profiled", F.explode("segments").alias("s")).select("lang", "profiled", "s.*").where("words > 0")
+    named = pages.withColumn("lang", F.coalesce("lang", F.lit("")))
+    one = named.select("lang", "profiled", F.explode("segments").alias("s")).select("lang", "profiled", "s.*").where("words > 0")
     usual = one.where("profiled AND function > 0 AND NOT repeats").groupBy("lang").agg((F.sum("function") / F.sum("words")).alias("usual_share"))
     limits = [
         _limit(one, F.col("separators"), SEPARATORS, "most_separators"), _limit(one, F.col("links"), LINKS, "most_links"),
-        _limit(pages, F.col("top_word_share"), TOP_WORD, "most_top_word"), _limit(pages, F.col("key_phrase_share"), KEY_PHRASES, "most_key_phrases"),
+        _limit(named, F.col("top_word_share"), TOP_WORD, "most_top_word"), _limit(named, F.col("key_phrase_share"), KEY_PHRASES, "most_key_phrases"),
     ]
     of = usual
     for x in limits:
         of = of.join(x, "lang", "full")
-    of = written(of, "limits")
-    of = of.select(F.coalesce("lang", F.lit("")).alias("of"), *(c for c in of.columns if c != "lang"))
+    of = written(of.withColumnRenamed("lang", "of"), "limits")
     pages = pages.join(F.broadcast(of), F.coalesce("lang", F.lit("")) == F.col("of"), "left").drop("of")  # a row a language
     limit = lambda name, least: F.coalesce(name, F.lit(least))
 
