@@ -104,10 +104,29 @@ def talk(*messages):
     return [(s, c) for s, c in messages]
 
 
+THINGS = ["lamp", "sofa", "chart", "route", "novel", "ticket", "kettle", "puzzle"]
+ASK = ("user", "Please describe what the element in the upper corner of the page does.")
+FRAGE = ("user", "Was bewirkt das Element, das oben auf der Seite zu sehen ist?")
+
+
+def labelled(spark):
+    """Texts of two languages."""
+    en = [f"The button in the upper corner opens the list of all {a}s that are on the page, and what the {b} in the middle does is shown to the user with this element." for a in THINGS for b in THINGS]
+    de = [f"Die Schaltfläche öffnet die Liste der {a}, und danach wird die Karte mit den Angaben gezeigt. Was bewirkt das Element, das oben auf der Seite zu sehen ist? Bestellungen {b}" for a in ("Lampen", "Reise", "Bücher") for b in ("Uhr", "Zug")]
+    return spark.createDataFrame([(t, "en") for t in en] + [(t, "DE") for t in de * 8] + [(None, "en"), ("x", None), ("y", "und")], "text STRING, lang STRING")
+
+
+def fillers():
+    """Sound pairs, and refusals in many wordings."""
+    german = [FRAGE, ("assistant", "Es öffnet die Liste, und danach wird die Karte mit den Angaben gezeigt.")]
+    sound = [f"It opens the list of all the {a}s that are in the {b}." for a in THINGS for b in THINGS] + [f"I can find the {a} when I press it, says the label of the {b}." for a in THINGS for b in THINGS[:3]] + [f"Tap the {a} icon beside the {b} to open it." for a in THINGS for b in THINGS]
+    short = [f"{v} {t}" for v in ("Save", "Open", "Print") for t in THINGS] + [f"Call Mr {n}" for n in ("Adams", "Brown", "Clark", "Davis")]
+    fahrt = [FRAGE, ("assistant", "Die Karte zeigt, wann der nächste Zug nach Berlin fährt.")]
+    refusing = [f"{a} {b}." for a in ("I'm sorry, but", "Unfortunately,", "My apologies, but") for b in ("I cannot help with that request", "I can't answer this", "I am unable to look at pictures", "I must decline to respond to this", "this request is not something I can help with")]
+    return [talk(ASK, ("assistant", t)) for t in sound + short] + [german] * 12 + [fahrt] * 9 + [talk(ASK, ("assistant", t)) for t in refusing], len(refusing)
+
+
 def test_broken_pairs(spark):
-    fill = [("user", "Please describe what the element in the upper corner of the page does."), ("assistant", "It opens the list of all the orders that are in the basket.")]
-    german = [("user", "Was bewirkt das Element, das oben auf der Seite zu sehen ist?"), ("assistant", "Es öffnet die Liste, und danach wird die Karte mit den Angaben gezeigt.")]
-    caption = [("user", "Which words are on this element?"), ("assistant", "Send copy")]
     cases = [
         (talk(("user", "What is it?")), "empty"),
         (talk(("user", "What is it?"), ("assistant", None)), "empty"),
@@ -117,44 +136,50 @@ def test_broken_pairs(spark):
         (talk(("human", "Where is it?"), ("gpt", "<box>(1,2),(3,4)</bo")), "truncated"),
         (talk(("human", "Where is it?"), ("gpt", "<point>(1,2)</point>")), None),
         (talk(("user", "What should I do with it now?"), ("assistant", "1. Open the page.\n2.")), "truncated"),
-        (talk(("user", "What is it for?"), ("assistant", "It opens the list of all the orders that")), "truncated"),
+        (talk(("user", "What is it for?"), ("assistant", "It opens the list of all the lamps that")), "truncated"),
         (talk(("user", "What is it for?"), ("assistant", "I'm sorry, but I cannot help with that request.")), "refusal"),
         (talk(("user", "What is it for?"), ("assistant", 'It opens the help page "I can\'t sign in" of the site.')), None),
         (talk(("user", "What is it for?"), ("assistant", "The card declines the offer and closes the page without saving it.")), None),
         (talk(("user", "<image>\nTell me what the green button on the left side does."), ("assistant", "Tell me what the green button on the left does.")), "copy"),
         (talk(("user", "Where is this one: the green button on the left side of the page."), ("assistant", "The green button on the left side of the page: (3,4)")), None),
-        (talk(("user", "Please say what the element in the middle of the page is for."), ("assistant", "Es öffnet die Liste, und danach wird die Karte mit den Angaben gezeigt.")), "language"),
+        (talk(ASK, ("assistant", "Es öffnet die Liste, und danach wird die Karte mit den Angaben gezeigt.")), "language"),
         (talk(("user", "Write a German notice for the element in the middle of the page."), ("assistant", "Es öffnet die Liste, und danach wird die Karte mit den Angaben gezeigt.")), None),
-        (talk(("user", "Which words are on this element?"), ("assistant", "Send copy")), None),
+        (talk(ASK, ("assistant", "Save copy")), None),
         (talk(("user", "Say it all."), ("assistant", "It is long. " * 20000)), None),
+        (talk(ASK, ("assistant", "Es öffnet Bestellungen.")), "language"),
+        (talk(ASK, ("assistant", "Эта кнопка открывает список.")), "language"),
+        (talk(("user", "Что делает эта кнопка?"), ("assistant", "Эта кнопка открывает список.")), None),
+        (talk(("user", "Che cosa fa questo pulsante nella parte alta dello schermo?"), ("assistant", "Apre la lista degli ordini che sono stati inviati ieri.")), None),
+        (talk(ASK, ("assistant", "Blue button with white label in the upper right corner")), None),
+        (talk(ASK, ("assistant", "I won't be charged when I press it, says the label of the lamp that is in the list on the page.")), None),
+        (talk(ASK, ("assistant", "Sadly I am unable to respond, as this is not something to help with.")), "refusal"),
     ]
-    rows = [(1000 + i, (fill, german, caption)[i % 3]) for i in range(90)] + [(i, c) for i, (c, _) in enumerate(cases)] + [(500, None), (501, []), (None, cases[0][0])]
+    fill, refusing = fillers()
+    rows = [(1000 + i, c) for i, c in enumerate(fill)] + [(i, c) for i, (c, _) in enumerate(cases)] + [(500, None), (501, []), (None, cases[0][0])]
     df = spark.createDataFrame(rows, "sample_id BIGINT, conversations ARRAY<STRUCT<sender: STRING, content: STRING>>")
     got = {}
-    for r in B.broken_pairs(clash(df.union(df))).collect():
+    for r in B.broken_pairs(clash(df.union(df)), clash(labelled(spark))).collect():
         assert (r.sample_id, r.msg_index) not in got
         got[(r.sample_id, r.msg_index)] = r.defect
-    want = {(i, 0): d for i, (_, d) in enumerate(cases) if d}
+    want = {(i, 0): d for i, (_, d) in enumerate(cases) if d} | {(1000 + len(fill) - 1 - i, 0): "refusal" for i in range(refusing)}
     want[(3, 1)] = "empty"
     assert got == want
 
 
 def test_broken_pairs_judges_short_ends(spark):
-    things = ["lamp", "sofa", "chart", "route", "novel", "ticket", "kettle", "puzzle"]
-    ask = ("user", "What does the element in the upper corner of the page do?")
-    fill = [f"Tap the {a} icon beside the {b} to open it." for a in things for b in things]
-    fill += [f"{v} {t}" for v in ("Save", "Open", "Print") for t in things] + [f"Call Mr {n}" for n in ("Adams", "Brown", "Clark", "Davis")]
-    fill += ["Die Karte zeigt, wann der nächste Zug nach Berlin fährt."] * 9
     cases = [("Tap the carpet icon beside", "truncated"), ("Tap the sofa icon beside", "truncated"), ("Die Karte", "truncated"), ("Tap the", "truncated"),
              ("Save carpet", None), ("Call Mr Evans", None), ("Open lamp", None)]
-    rows = [(1000 + i, talk(ask, ("assistant", t))) for i, t in enumerate(fill)] + [(i, talk(ask, ("assistant", t))) for i, (t, _) in enumerate(cases)]
+    rows = [(1000 + i, c) for i, c in enumerate(fillers()[0])] + [(i, talk(FRAGE if t == "Die Karte" else ASK, ("assistant", t))) for i, (t, _) in enumerate(cases)]
     df = spark.createDataFrame(rows, "sample_id BIGINT, conversations ARRAY<STRUCT<sender: STRING, content: STRING>>")
-    got = {r.sample_id: r.defect for r in B.broken_pairs(df).collect() if r.defect == "truncated"}
+    got = {r.sample_id: r.defect for r in B.broken_pairs(df, labelled(spark)).collect() if r.defect == "truncated"}
     assert got == {i: d for i, (_, d) in enumerate(cases) if d}
 
 
 def test_broken_pairs_of_nothing(spark):
-    assert B.broken_pairs(spark.createDataFrame([], "sample_id BIGINT, conversations ARRAY<STRUCT<sender: STRING, content: STRING>>")).count() == 0
+    nothing = spark.createDataFrame([], "sample_id BIGINT, conversations ARRAY<STRUCT<sender: STRING, content: STRING>>")
+    some = spark.createDataFrame([(1, talk(ASK))], nothing.schema)
+    assert B.broken_pairs(nothing, labelled(spark)).count() == 0
+    assert [tuple(r) for r in B.broken_pairs(some, labelled(spark).limit(0)).collect()] == [(1, 0, "empty")]
 
 
 def picture(grey, comment=False, plain=False):
