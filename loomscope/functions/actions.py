@@ -7,11 +7,11 @@ from pyspark.sql import functions as F
 
 from loomscope.functions.geometry import centre, tap_match
 
-# Names of the user-interface object types and ids of the actions.
+# Names of the types of user-interface objects by their numbers from 0, and numbers of actions and swipes.
 OBJECT_TYPES = (
-    "unknown", "button", "checkbox", "combobox", "date", "header", "icon", "image", "input", "label", "list", "menu", "radio", "slider", "text",
+    "UNKNOWN", "BUTTON", "CHECKBOX", "CHECKEDTEXTVIEW", "EDITTEXT", "IMAGEBUTTON", "IMAGEVIEW", "RADIOBUTTON", "SLIDINGDRAWER", "SPINNER", "SWITCH", "TABWIDGET", "TEXTVIEW", "TOGGLEBUTTON", "VIDEOVIEW",
 )
-ACTION_IDS = {"type": 3, "click": 4, "swipe": 5}
+ACTION_IDS = {"type": 3, "click": 4, "swipe": 0}
 SWIPES = {0: "up", 1: "down", 8: "right", 9: "left"}
 
 
@@ -51,14 +51,16 @@ def text_match(a: Column, b: Column) -> Column:
 def actions_match(gold: dict[str, Column], predicted: dict[str, Column], boxes: Column) -> tuple[Column, Column]:
     """Whether the types match, and whether the whole actions match.
 
-    Both have ``kind``, ``box``, ``text`` and ``direction``. Clicks match as taps, texts by containment, swipes
-    by direction, other kinds by kind.
+    Both have ``kind``, ``box``, ``text`` and ``direction``, and may have ``goal_status``. Clicks match as taps, texts by
+    containment, swipes by direction, statuses by what they state, other kinds by kind.
     """
+    none = F.lit(None).cast("string")
     same = F.coalesce(gold["kind"] == predicted["kind"], F.lit(False))
     full = (
         F.when(gold["kind"] == "click", tap_match(centre(gold["box"]), centre(predicted["box"]), boxes))
         .when(gold["kind"].isin("type", "input_text"), text_match(gold["text"], predicted["text"]))
         .when(gold["kind"] == "swipe", gold["direction"].eqNullSafe(predicted["direction"]))
+        .when(gold["kind"] == "status", gold.get("goal_status", none).eqNullSafe(predicted.get("goal_status", none)))
         .otherwise(True)
     )
     return same, same & full

@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import random
 from collections.abc import Iterator
 
 import numpy as np
@@ -10,12 +9,10 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from loomscope.functions.text import sided_ngrams
+from loomscope.functions.text import ngram_counts
+from loomscope.operators.requests import numbered
 from loomscope.session import written
 
-#: Values of a metric that a bootstrap task holds; beyond it the resampling needs the closed form.
-MOST_BOOTSTRAP_VALUES = 1_000_000
-
 
 def perplexity(ll: Column) -> Column:
     """Mean of exp, not exp of the mean."""
@@ -56,16 +53,52 @@ def matthews(pairs: DataFrame, keys: list[str], gold: str, predicted: str) -> Da
 
 
 def middle_in_order(values: DataFrame, keys: list[str], order: str, value: str) -> DataFrame:
-    """The value at position n // 2 in the order of ``order`` (not of the values), for each key."""
-    w = Window.partitionBy(*keys)
-    ranked = values.withColumn("i", F.row_number().over(w.orderBy(order)) - 1).withColumn("n", F.count("*").over(w))
-    return ranked.where("i = floor(n / 2)").select(*keys, F.col(value).alias("middle"))
+    """The value at position n // 2 in the order of ``order`` (not of the values), for each key. No task sorts a whole key."""
+    rows = values.select(F.struct(*keys).alias("_k"), F.struct(order).alias("_order"), F.col(value).alias("middle"))
+    sizes = rows.groupBy(F.col("_k").alias("_of")).agg(F.floor(F.count("*") / 2).alias("_half"))
+    ranked = numbered(rows, "_order", "_k", number="_i").join(sizes, F.col("_k").eqNullSafe(F.col("_of")))
+    return ranked.where("_i = _half").select(*(F.col("_k")[k].alias(k) for k in keys), "middle")
+
+
+def medians(values: DataFrame, keys: list[str], value: str, name: str = "median", steps: int = 1024) -> DataFrame:
+    """``keys, name``: the exact median of each key (the mean of the middle two of an even number), nulls left out.
+
+    Values are counted in ``steps`` equal steps between a key's least and largest; only those of the one or two steps that
+    hold the middle are ranked, so that no task sorts a whole key.
+    """
+    rows = values.where(F.col(value).isNotNull()).select(*keys, F.col(value).cast("double").alias("_v"))
+    key = F.struct(*keys) if keys else F.lit(0)
+    rows = rows.withColumn("_k", key)
+    ends = rows.groupBy(F.col("_k").alias("_of")).agg(F.min("_v").alias("_lo"), F.max("_v").alias("_hi"), F.count("*").alias("_n"))
+    part = F.coalesce(F.try_divide(F.col("_v") - F.col("_lo"), F.col("_hi") - F.col("_lo")), F.lit(0.0))
+    rows = rows.join(ends, F.col("_k").eqNullSafe(F.col("_of"))).withColumn("_step", F.least(F.floor(part * steps), F.lit(steps - 1)))
+    counts = rows.groupBy("_k", "_n", "_step").agg(F.count("*").alias("_c"))
+    before = F.coalesce(F.sum("_c").over(Window.partitionBy("_k").orderBy("_step").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))  # at most steps rows
+    counts = counts.withColumn("_before", before)
+    low, high = F.floor((F.col("_n") - 1) / 2), F.floor(F.col("_n") / 2)
+    holds = lambda at: (at >= F.col("_before")) & (at < F.col("_before") + F.col("_c"))
+    middle = counts.where(holds(low) | holds(high)).select(F.col("_k").alias("_mk"), F.col("_step").alias("_ms"), "_before")
+    inner = rows.join(middle, F.col("_k").eqNullSafe(F.col("_mk")) & (F.col("_step") == F.col("_ms")))
+    inner = inner.groupBy("_k", "_n", "_step", "_before", "_v").agg(F.count("*").alias("_c"))
+    upto = F.col("_before") + F.sum("_c").over(Window.partitionBy("_k", "_step").orderBy("_v"))
+    inner = inner.withColumn("_upto", upto)
+    at = lambda i: (i < F.col("_upto")) & (i >= F.col("_upto") - F.col("_c"))
+    out = inner.groupBy("_k").agg(((F.max(F.when(at(low), F.col("_v"))) + F.max(F.when(at(high), F.col("_v")))) / 2).alias(name))
+    return out.select(*(F.col("_k")[k].alias(k) for k in keys), name)
 
 
 def all_correct(answers: DataFrame, keys: list[str], label: Column, predicted: Column) -> DataFrame:
     """The share of groups of ``keys`` in which every answer is right."""
-    groups = answers.groupBy(*keys).agg(F.every(label == predicted).alias("ok"))
-    return groups.agg(F.avg(F.col("ok").cast("double")).alias("acc_all"))
+    return _all_right(answers, keys, label, predicted).agg(F.avg("ok").alias("acc_all"))
+
+
+def all_correct_stderr(answers: DataFrame, keys: list[str], label: Column, predicted: Column) -> DataFrame:
+    """The standard error of :func:`all_correct`; the keys may be fewer (the question without its paragraph)."""
+    return _all_right(answers, keys, label, predicted).agg(mean_stderr(F.col("ok")).alias("acc_all_stderr"))
+
+
+def _all_right(answers: DataFrame, keys: list[str], label: Column, predicted: Column) -> DataFrame:
+    return answers.groupBy(*keys).agg(F.every(label == predicted).cast("double").alias("ok"))
 
 
 def pooled(results: Column) -> Column:
@@ -87,25 +120,20 @@ def pooled(results: Column) -> Column:
 
 
 def corpus_bleu(pairs: DataFrame, keys: list[str], reference: Column, predicted: Column, most: int = 4) -> DataFrame:
-    """Corpus BLEU (0-100) of word arrays: clipped n-gram counts summed over all rows, geometric mean, brevity penalty.
+    """Corpus BLEU (0-100) of texts of words with blanks between: clipped n-gram counts summed over all rows, geometric mean, brevity penalty.
 
-    An order without a match counts as a half, a quarter and so on of one match.
+    An order without a match counts as a half, a quarter and so on of one match. n-grams are counted within their row; only counts are shuffled.
     """
-    keyed = pairs.select(*keys, F.monotonically_increasing_id().alias("row"), reference.alias("r"), predicted.alias("p"))
-    total = [F.sum(F.greatest(F.size("p") - (n - 1), F.lit(0))).alias(f"total{n}") for n in range(1, most + 1)]
-    lengths = keyed.groupBy(*keys).agg(F.sum(F.size("r")).alias("ref_len"), F.sum(F.size("p")).alias("sys_len"), *total)
-    grams = F.concat(*(sided_ngrams(F.col(side), range(1, most + 1), side) for side in "rp"))
-    rows = keyed.select(*keys, "row", F.explode(grams).alias("x")).select(*keys, "row", "x.*")
-    counts = rows.groupBy(*keys, "row", "n", "g").agg(F.least(F.count_if(F.col("side") == "r"), F.count_if(F.col("side") == "p")).alias("hit"))
-    hits = counts.groupBy(*keys).agg(*(F.sum(F.when(F.col("n") == n, F.col("hit")).otherwise(0)).alias(f"hit{n}") for n in range(1, most + 1)))
-    joined = lengths.join(hits, keys, "left") if keys else lengths.join(F.broadcast(hits))  # one row each
+    one = pairs.select(*keys, ngram_counts(reference, predicted, most).alias("x"))
+    at = lambda c, n: F.coalesce(F.sum(F.col(f"x.{c}")[n]), F.lit(0)).alias(f"{c}{n + 1}")
+    joined = one.groupBy(*keys).agg(*(at(c, n) for c in ("hits", "r", "p") for n in range(most)))
     logs, half = F.lit(0.0), F.lit(1.0)
     for n in range(1, most + 1):
-        hit, of = F.coalesce(F.col(f"hit{n}"), F.lit(0)), F.col(f"total{n}")
+        hit, of = F.col(f"hits{n}"), F.col(f"p{n}")
         half = F.when(hit == 0, half / 2).otherwise(half)
         logs = logs + F.ln(F.when(hit == 0, half).otherwise(hit) / of) / most
-    penalty = F.when(F.col("sys_len") >= F.col("ref_len"), 1.0).otherwise(F.exp(1 - F.col("ref_len") / F.col("sys_len")))
-    bleu = F.when((F.col("sys_len") > 0) & (F.col(f"total{most}") > 0), 100 * penalty * F.exp(logs)).otherwise(0.0)
+    penalty = F.when(F.col("p1") >= F.col("r1"), 1.0).otherwise(F.exp(1 - F.col("r1") / F.col("p1")))
+    bleu = F.when((F.col("p1") > 0) & (F.col(f"p{most}") > 0), 100 * penalty * F.exp(logs)).otherwise(0.0)
     return joined.select(*keys, bleu.alias("bleu"))
 
 
@@ -150,26 +178,25 @@ def corpus_ter(pairs: DataFrame, keys: list[str], reference: Column, predicted:
     return one.groupBy(*keys).agg(F.coalesce(F.try_divide(F.sum("x.edits"), F.sum("x.ref_words")), F.lit(0.0)).alias("ter"))
 
 
-def bootstrap_stderr(values: DataFrame, value: str, statistic, iterations: int = 1000, chunk: int = 100) -> DataFrame:
-    """Standard error of ``statistic(list)`` over resamples with replacement; each chunk has its own seed.
+def bootstrap_mean_stderr(values: DataFrame, value: str, transform=lambda mean: mean, iterations: int = 1000, seed: int = 0) -> DataFrame:
+    """Standard error of ``transform(mean)`` over resamples: of a mean, or of what is a function of one (a perplexity).
 
-    The chunks are spread over the cluster and reproducible whatever the partitions. The values go to all tasks:
-    their number is checked.
+    Each value has a weight drawn from a Poisson distribution of mean 1 for each resample, seeded by the value, its number and the
+    resample: what resampling with replacement tends to, and a sum of partial sums. Equal values are counted first and
+    weighted together, so that no task or the driver holds all values; the number of values has no limit.
     """
-    spark = values.sparkSession
-    held = [r[0] for r in values.select(value).where(F.col(value).isNotNull()).orderBy(value).limit(MOST_BOOTSTRAP_VALUES + 1).collect()]
-    if len(held) > MOST_BOOTSTRAP_VALUES:
-        raise ValueError(f"more than {MOST_BOOTSTRAP_VALUES} values")
-    sent = spark.sparkContext.broadcast(held)
+    counts = values.where(F.col(value).isNotNull()).groupBy(F.col(value).cast("double").alias("v")).agg(F.count("*").alias("n"))
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        total = np.zeros((2, iterations))
         for batch in batches:
-            for seed in batch["id"]:
-                draw = random.Random(int(seed))
-                yield pd.DataFrame({"stat": [statistic(draw.choices(sent.value, k=len(sent.value))) for _ in range(chunk)]})
+            for v, n in zip(batch["v"].to_numpy(), batch["n"].to_numpy()):
+                draw = np.random.default_rng([seed, int(n), int(np.float64(v).view(np.uint64))]).poisson(n, iterations)
+                total += draw * np.array([[v], [1.0]])
+        yield pd.DataFrame({"resample": np.arange(iterations), "s": total[0], "w": total[1]})
 
-    chunks = spark.range(iterations // chunk).repartition(min(iterations // chunk, 64))
-    return chunks.mapInPandas(run, "stat DOUBLE").agg(F.stddev_samp("stat").alias("stderr"), F.count("*").alias("resamples"))
+    sums = counts.mapInPandas(run, "resample INT, s DOUBLE, w DOUBLE").groupBy("resample").agg((F.sum("s") / F.sum("w")).alias("mean"))
+    return sums.select(transform(F.col("mean")).alias("stat")).agg(F.stddev_samp("stat").alias("stderr"), F.count("stat").alias("resamples"))
 
 
 def bootstrap_median_stderr(values: DataFrame, value: str, iterations: int = 1000) -> DataFrame:

@@ -12,9 +12,9 @@ def long(values: DataFrame, keys: list[str], metrics: list[str]) -> DataFrame:
 
 
 def results(values: DataFrame) -> DataFrame:
-    """``task, metric, filter, shown, stderr, n`` of long values; a mean is shown times 100, its standard error as it is."""
+    """``task, metric, filter, shown, stderr, n`` of long values; a mean of 0 to 1 is shown times 100, its standard error as it is."""
     out = values.groupBy("task", "metric").agg(F.avg("value").alias("mean"), (F.stddev_samp("value") / F.sqrt(F.count("value"))).alias("se"), F.count("value").alias("n"))
-    return out.select("task", "metric", F.lit("none").alias("filter"), F.round(F.col("mean") * 100, 4).alias("shown"), F.round("se", 4).alias("stderr"), "n")
+    return out.select("task", "metric", F.lit("none").alias("filter"), F.round(F.when(F.col("mean").between(0, 1), F.col("mean") * 100).otherwise(F.col("mean")), 4).alias("shown"), F.round("se", 4).alias("stderr"), "n")
 
 
 def grouped(results_: DataFrame, groups: DataFrame) -> DataFrame:

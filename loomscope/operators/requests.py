@@ -7,19 +7,28 @@ import re
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from loomscope.session import written
 
-def numbered(docs: DataFrame, key: str) -> DataFrame:
-    """``docs`` with ``doc_id``, the 0-based position in the order of the unique ``key``.
 
-    The order is global but no task sees all rows: rows are range partitioned and each partition's start is the
-    number of rows before it.
+def numbered(docs: DataFrame, key: str, group: str | None = None, descending: bool = False, number: str = "doc_id") -> DataFrame:
+    """``docs`` with ``doc_id``, the 0-based position in the order of the unique ``key``, or in that of each ``group``.
+
+    The order is global but no task sees all rows, nor all of a group: rows are range partitioned and written with their
+    partition, so that it stays the same, and the rows of the partitions before give each partition's start.
     """
-    parts = docs.repartitionByRange(key).withColumn("_part", F.spark_partition_id())
-    w = Window.partitionBy("_part").orderBy(key)
-    parts = parts.withColumn("_in", F.row_number().over(w))
-    counts = parts.groupBy("_part").agg(F.count("*").alias("_n"))  # a row a partition
-    before = counts.withColumn("_before", F.coalesce(F.sum("_n").over(Window.orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)))
-    return parts.join(F.broadcast(before), "_part").withColumn("doc_id", F.col("_before") + F.col("_in") - 1).drop("_part", "_in", "_n", "_before")
+    order = F.desc(key) if descending else F.asc(key)
+    groups = [group] if group else []
+    parts = int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    ranged = written(docs.repartitionByRange(parts, *groups, order).withColumn("_part", F.spark_partition_id()), "ranges")
+    w = Window.partitionBy("_part", *groups).orderBy(order)
+    counts = ranged.groupBy("_part", *groups).agg(F.count("*").alias("_n"))
+    earlier = Window.partitionBy(*groups).orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)  # a row a partition
+    starts = counts.select("_part", *(F.col(g).alias("_group") for g in groups), F.coalesce(F.sum("_n").over(earlier), F.lit(0)).alias("_start"))
+    on = F.col("_part") == F.col("_of")
+    if group:
+        on = on & F.col(group).eqNullSafe(F.col("_group"))
+    rows = ranged.withColumn("_in", F.row_number().over(w)).join(starts.withColumnRenamed("_part", "_of"), on)
+    return rows.withColumn(number, F.col("_start") + F.col("_in") - 1).select(*docs.columns, number)
 
 
 def limited(docs: DataFrame, limit: float) -> DataFrame:
@@ -51,22 +60,26 @@ def hashed_choice(key: Column, options: list[str]) -> Column:
     return F.element_at(F.array(*(F.lit(o) for o in options)), (F.pmod(F.xxhash64(key), F.lit(len(options))) + 1).cast("int"))
 
 
-def few_shot(docs: DataFrame, pool: DataFrame, k: int, group: str, key: str, text: Column, description: str = "", joined: str = "\n\n", seed: int = 1234) -> DataFrame:
-    """``docs`` with ``context``: a description, the texts of ``k`` examples of ``pool`` of the same ``group``, and the own text.
+def few_shot(docs: DataFrame, pool: DataFrame, k: int, group: str, key: str, text: Column, description: str = "", joined: str = "\n\n", delimiter: str = " ", target: Column | None = None, seed: int = 1234) -> DataFrame:
+    """``docs`` with ``context``: a description, ``k`` examples of ``pool`` of the same ``group``, and the own text.
 
-    Examples are the ``k + 1`` rows of the group with the least hash; a document's own row is left out.
+    An example is its text, the delimiter and its target, where one is given. Each document has its own draw: examples of a group are numbered in the
+    order of their hash, and it takes the ``k`` behind the place that its own hash names (around the end), without itself. Each
+    of the ``k + 1`` places is a join of its own, so that no list of a group is built; a smaller group gives what it has.
     """
-    w = Window.partitionBy(group).orderBy(F.xxhash64(key, F.lit(seed)), key)
-    best = pool.withColumn("_rank", F.row_number().over(w)).where(F.col("_rank") <= k + 1)
-    shots = best.groupBy(group).agg(F.array_sort(F.collect_list(F.struct("_rank", F.col(key).alias("_key"), text.alias("_text")))).alias("_shots"))  # k + 1 items
-    own = F.slice(F.filter("_shots", lambda s: s["_key"] != F.col(key)), 1, k)
-    shown = F.transform(F.coalesce(own, F.array().cast(own_type(shots))), lambda s: s["_text"])
-    full = F.concat(F.array(F.lit(description)), shown, F.array(text)) if description else F.concat(shown, F.array(text))
-    return docs.join(shots, group, "left").withColumn("context", F.array_join(full, joined)).drop("_shots")
-
-
-def own_type(shots: DataFrame) -> str:
-    return shots.schema["_shots"].dataType.simpleString()
+    shown = F.concat(text, F.lit(delimiter), target) if target is not None else text
+    items = pool.select(F.col(group).alias("_g"), F.col(key).alias("_key"), shown.alias("_text"), F.struct(F.xxhash64(key, F.lit(seed)).alias("h"), F.col(key).alias("k")).alias("_order"))
+    items = written(numbered(items, "_order", "_g", number="_i").drop("_order"), "examples")
+    sizes = items.groupBy("_g").agg(F.count("*").alias("_n"))
+    rows = docs.join(sizes, F.col(group) == F.col("_g"), "left").drop("_g")
+    place = F.transform(F.sequence(F.lit(0), F.least(F.lit(k + 1).cast("bigint"), F.col("_n")).cast("int") - 1), lambda j: F.pmod(F.xxhash64(key, F.lit(seed + 1)), F.col("_n")) + j)
+    wanted = rows.where("_n > 0").select(F.col(key).alias("_doc"), F.col(group).alias("_of"), F.posexplode(F.transform(place, lambda i: i % F.col("_n"))).alias("_rank", "_at"))
+    found = wanted.join(items, (F.col("_of") == F.col("_g")) & (F.col("_at") == F.col("_i"))).where("_key <> _doc")
+    shots = found.groupBy("_doc").agg(F.slice(F.array_sort(F.collect_list(F.struct("_rank", "_text"))), 1, k).alias("_shots"))  # k + 1 items
+    out = docs.join(shots, F.col(key) == F.col("_doc"), "left")
+    own = F.transform(F.coalesce("_shots", F.array().cast("array<struct<_rank:int,_text:string>>")), lambda s: s["_text"])
+    parts = [F.array(F.lit(description))] if description else []
+    return out.withColumn("context", F.array_join(F.concat(*parts, own, F.array(text)), joined)).drop("_doc", "_shots")
 
 
 def request_hash(method: str, *arguments: Column) -> Column:
@@ -80,14 +93,19 @@ def misses(requests: DataFrame, cache: DataFrame, key: str) -> DataFrame:
 
 
 def batches(requests: DataFrame, group: str, length: Column, size: int, key: str) -> DataFrame:
-    """``requests`` with ``batch``: those of a group in order of falling length, ``size`` to a batch."""
-    w = Window.partitionBy(group).orderBy(length.desc(), key)
-    return requests.withColumn("batch", F.floor((F.row_number().over(w) - 1) / size))
+    """``requests`` with ``batch``: those of a group in order of falling length (ties by key), ``size`` to a batch."""
+    rows = numbered(requests.withColumn("_order", F.struct((-length).alias("l"), F.col(key))), "_order", group, number="_i")
+    return rows.withColumn("batch", F.floor(F.col("_i") / size)).drop("_order", "_i")
 
 
 def near_equal(docs: DataFrame, group: str, parts: int, key: str) -> DataFrame:
     """``docs`` with ``part``: each group in contiguous parts, the first ones larger by one."""
-    return docs.withColumn("part", F.ntile(parts).over(Window.partitionBy(group).orderBy(key)))
+    sizes = docs.groupBy(F.col(group).alias("_group")).agg(F.count("*").alias("_n"))
+    rows = numbered(docs, key, group, number="_i").join(sizes, F.col(group).eqNullSafe(F.col("_group")))
+    least, more = F.floor(F.col("_n") / parts), F.col("_n") % parts
+    edge = more * (least + 1)
+    part = F.when(F.col("_i") < edge, F.floor(F.col("_i") / (least + 1))).otherwise(more + F.floor((F.col("_i") - edge) / F.greatest(least, F.lit(1))))
+    return rows.withColumn("part", part + 1).drop("_i", "_n", "_group")
 
 
 def resolved(spec: str, columns: list[str]) -> Column:

@@ -12,7 +12,8 @@ from loomscope.session import table
 
 
 def samples(spark, d):
-    return table(spark, d, "train_samples").select("sample_id", "id", "image", "site", "wxh", "conversations").distinct().withColumn("messages", C.chat(F.col("conversations")))
+    """The conversation of each sample; rows of a sample are alike."""
+    return table(spark, d, "train_samples").select("sample_id", "conversations").dropDuplicates(["sample_id"]).withColumn("messages", C.chat(F.col("conversations")))
 
 
 V_SQL = """
@@ -39,7 +40,8 @@ def picture_of_first_message(spark, d):
 @query(f"WITH {V_SQL} SELECT site, CAST(sum(floor(len(messages) / 2)) AS BIGINT) qa_pairs, count(*) n FROM g GROUP BY site")
 def qa_pair_count(spark, d):
     """Question and answer pairs by site."""
-    return samples(spark, d).groupBy("site").agg(F.sum(F.floor(F.size("messages") / 2)).alias("qa_pairs"), F.count("*").alias("n"))
+    s = table(spark, d, "train_samples").select("sample_id", "site", F.size("conversations").alias("messages")).distinct()
+    return s.groupBy("site").agg(F.sum(F.floor(F.when(F.col("messages") >= 0, F.col("messages")) / 2)).alias("qa_pairs"), F.count("*").alias("n"))
 
 
 @query(f"""WITH {V_SQL} SELECT sample_id, turn, CASE WHEN ((NOT starts_with(following, '(') AND NOT ends_with(following, ')')) OR length(following) >= 8) AND instr(content, '(') > 0
@@ -86,7 +88,7 @@ def union_sources(spark, d):
 @query()
 def hash_shuffled_sample(spark, d):
     """128 samples in a hashed order (Spark's hash has no SQL form)."""
-    return C.sample(samples(spark, d).select("sample_id", "site"), "sample_id", 128)
+    return C.sample(table(spark, d, "train_samples").select("sample_id", "site").distinct(), "sample_id", 128)
 
 
 P_SQL = """r AS (SELECT DISTINCT rec_id, func, elem_tag, site FROM func_records WHERE func IS NOT NULL)"""

@@ -17,24 +17,24 @@ SCALES, DEFAULT_SCALE = {"grounder_a": 100, "grounder_b": 1000}, 100
 MAX_BINS = 30
 
 
-def records(spark: SparkSession, d: str) -> DataFrame:
-    """The distinct records without pictures, their box in parts of the picture's size."""
-    cols = ["rec_id", "split", "source", "site", "func", "unnormalized_box", "image_size", "elem_text", "elem_role", "elem_tag", "device"]
-    r = table(spark, d, "func_records").select(*cols).distinct()
-    return r.withColumns({"box": G.normalised(F.col("unnormalized_box"), F.col("image_size")), "device": F.lower(F.trim("device"))})
+def records(spark: SparkSession, d: str, *columns: str) -> DataFrame:
+    """The distinct records with some columns, their box in parts of the picture's size."""
+    r = table(spark, d, "func_records").select("rec_id", "unnormalized_box", "image_size", *columns).distinct()
+    r = r.withColumn("box", G.normalised(F.col("unnormalized_box"), F.col("image_size"))).drop("unnormalized_box", "image_size")
+    return r.withColumn("device", F.lower(F.trim("device"))) if "device" in columns else r
 
 
 def responses(spark: SparkSession, d: str) -> DataFrame:
     """The distinct responses with the coordinates they name."""
-    r = table(spark, d, "eval_responses").select("response_id", "rec_id", "model", "prompt", "response").distinct()
+    r = table(spark, d, "eval_responses").select("response_id", "rec_id", "model", "response").distinct()
     scales = F.create_map(*(F.lit(x) for kv in SCALES.items() for x in kv))
     scale = F.coalesce(F.try_element_at(scales, F.col("model")), F.lit(DEFAULT_SCALE))
     return r.withColumn("coords", P.coordinates(F.col("response"), scale))
 
 
-def scored(spark: SparkSession, d: str) -> DataFrame:
-    """Responses with their record, the hit flag and the distance from the middle of the record's box."""
-    s = responses(spark, d).join(records(spark, d), "rec_id").where("box IS NOT NULL")
+def scored(spark: SparkSession, d: str, *columns: str) -> DataFrame:
+    """Responses with some columns of their record, the hit flag and the distance from the middle of the record's box."""
+    s = responses(spark, d).drop("response").join(records(spark, d, *columns), "rec_id").where("box IS NOT NULL")
     return s.withColumns(
         {
             "hit": G.centre_hit(F.col("box"), F.col("coords")).cast("int"),
@@ -43,6 +43,15 @@ def scored(spark: SparkSession, d: str) -> DataFrame:
     )
 
 
+def with_medians(groups: DataFrame, s: DataFrame, keys: list[str]) -> DataFrame:
+    """``groups`` with the exact median distance of each group of ``s``."""
+    m = A.medians(s, keys, "dist", "median_dist").select(*(F.col(k).alias(f"of_{k}") for k in keys), F.round("median_dist", 6).alias("median_dist"))
+    on = F.lit(True)
+    for k in keys:
+        on = on & F.col(k).eqNullSafe(F.col(f"of_{k}"))
+    return groups.join(m, on, "left").select(*groups.columns, "median_dist")
+
+
 R_SQL = """
 r0 AS (SELECT DISTINCT rec_id, split, source, site, func, unnormalized_box, image_size, elem_text, elem_role, elem_tag, device FROM func_records),
 r1 AS (SELECT rec_id, split, source, site, func, image_size, elem_text, elem_role, elem_tag, lower(trim(device)) device, unnormalized_box b,
@@ -88,7 +97,7 @@ i AS (SELECT *, CASE WHEN len(coords) = 4 THEN inter / nullif(areas - inter, 0)
 @query(f"WITH {S_SQL} SELECT model, device, round(avg(hit), 6) center_acc, count(*) n FROM s GROUP BY GROUPING SETS ((model), (model, device))")
 def center_acc_by_device(spark, d):
     """Centre accuracy of each model, overall and by device."""
-    s = scored(spark, d)
+    s = scored(spark, d, "device")
     out = s.groupingSets([["model"], ["model", "device"]], "model", "device")
     return out.agg(F.round(F.avg("hit"), 6).alias("center_acc"), F.count("*").alias("n"))
 
@@ -121,7 +130,7 @@ def parse_dialects(spark, d):
 def status_by_role(spark, d):
     """Correct, wrong and unreadable responses by device and role."""
     status = F.when(F.col("coords").isNull(), "invalid").when(F.col("hit") == 1, "correct").otherwise("wrong")
-    return scored(spark, d).groupBy("device", "elem_role", status.alias("status")).agg(F.count("*").alias("n"))
+    return scored(spark, d, "device", "elem_role").groupBy("device", "elem_role", status.alias("status")).agg(F.count("*").alias("n"))
 
 
 ACC_SQL = ", ".join(f"round(avg(CASE WHEN iou >= 0.{k} THEN 1.0 ELSE 0.0 END), 6) acc_{k}" for k in (1, 3, 5, 7, 9))
@@ -140,7 +149,7 @@ def iou_thresholds(spark, d):
 @query(f"WITH {S_SQL} SELECT device, round(avg(CASE WHEN iou >= 0.5 THEN 1.0 ELSE 0.0 END), 6) iou_acc, count(*) n FROM i GROUP BY GROUPING SETS ((), (device))")
 def region_iou_acc(spark, d):
     """Share of responses whose box covers the region (IoU of 0.5 or more), overall and by device."""
-    s = scored(spark, d).withColumn("ok", (F.coalesce(G.iou(F.col("coords"), F.col("box")), F.lit(0.0)) >= 0.5).cast("double"))
+    s = scored(spark, d, "device").withColumn("ok", (F.coalesce(G.iou(F.col("coords"), F.col("box")), F.lit(0.0)) >= 0.5).cast("double"))
     return s.groupingSets([[], ["device"]], "device").agg(F.round(F.avg("ok"), 6).alias("iou_acc"), F.count("*").alias("n"))
 
 
@@ -157,7 +166,7 @@ def platform_slices(spark, d):
     source = F.col("source")
     platform = F.when(source.rlike("ios|android"), "mobile").when(source.rlike("macos|windows"), "desktop").otherwise("web")
     kind = F.when(F.col("elem_text").isNotNull(), "text").otherwise("icon")
-    s = scored(spark, d).groupBy(platform.alias("platform"), kind.alias("kind")).agg(F.sum("hit").alias("hits"), F.count("*").alias("n"))
+    s = scored(spark, d, "source", "elem_text").groupBy(platform.alias("platform"), kind.alias("kind")).agg(F.sum("hit").alias("hits"), F.count("*").alias("n"))
     fixed = spark.createDataFrame(SLICES, "platform STRING, kind STRING")
     n = F.coalesce("n", F.lit(0))
     each = fixed.join(s, ["platform", "kind"], "left").select("platform", "kind", F.coalesce(F.round(F.col("hits") / F.col("n"), 6), F.lit(0.0)).alias("acc"), n.alias("n"))
@@ -168,7 +177,9 @@ def platform_slices(spark, d):
 @query(f"WITH {S_SQL} SELECT device, elem_role, round(avg(hit), 6) acc, count(*) n, round(median(dist), 6) median_dist FROM s GROUP BY device, elem_role")
 def elem_type_acc(spark, d):
     """Accuracy and median distance by device and role."""
-    return scored(spark, d).groupBy("device", "elem_role").agg(F.round(F.avg("hit"), 6).alias("acc"), F.count("*").alias("n"), F.round(F.median("dist"), 6).alias("median_dist"))
+    s = scored(spark, d, "device", "elem_role")
+    one = s.groupBy("device", "elem_role").agg(F.round(F.avg("hit"), 6).alias("acc"), F.count("*").alias("n"))
+    return with_medians(one, s, ["device", "elem_role"])
 
 
 @query(f"""WITH {S_SQL}, a AS (SELECT hit, (box[3] - box[1]) * (box[4] - box[2]) area FROM s)
@@ -195,7 +206,7 @@ def distance_histogram(spark, d):
 def task_rollup_acc(spark, d):
     """Accuracy by split and role, by split, and overall."""
     level = (F.grouping("split") + F.grouping("elem_role")).cast("bigint")
-    return scored(spark, d).rollup("split", "elem_role").agg(F.round(F.avg("hit"), 6).alias("acc"), F.count("*").alias("n"), level.alias("level"))
+    return scored(spark, d, "split", "elem_role").rollup("split", "elem_role").agg(F.round(F.avg("hit"), 6).alias("acc"), F.count("*").alias("n"), level.alias("level"))
 
 
 @query(f"""WITH {S_SQL}, m AS (SELECT rec_id, model, max(hit) hit FROM s GROUP BY rec_id, model)
@@ -212,10 +223,11 @@ def model_compare(spark, d):
 @query(f"WITH {S_SQL} SELECT model, round(avg(hit), 6) mean, round(stddev_samp(hit) / sqrt(count(*)), 6) stderr, round(stddev_pop(hit), 6) pop, round(median(dist), 6) median_dist, count(*) n FROM s GROUP BY model")
 def mean_stderr_by_model(spark, d):
     """Mean, standard error and deviation of the hits, true median of the distances."""
-    return scored(spark, d).groupBy("model").agg(
-        F.round(F.avg("hit"), 6).alias("mean"), F.round(A.mean_stderr(F.col("hit")), 6).alias("stderr"), F.round(F.stddev_pop("hit"), 6).alias("pop"),
-        F.round(F.median("dist"), 6).alias("median_dist"), F.count("*").alias("n"),
+    s = scored(spark, d)
+    one = s.groupBy("model").agg(
+        F.round(F.avg("hit"), 6).alias("mean"), F.round(A.mean_stderr(F.col("hit")), 6).alias("stderr"), F.round(F.stddev_pop("hit"), 6).alias("pop"), F.count("*").alias("n"),
     )
+    return with_medians(one, s, ["model"])
 
 
 @query(f"""WITH {S_SQL}, t AS (SELECT model, split, avg(hit) m, stddev_samp(hit) / sqrt(count(*)) se, CAST(count(*) AS DOUBLE) n FROM s GROUP BY model, split),
@@ -225,13 +237,13 @@ x AS (SELECT model, m1, n1, s1, coalesce(m2, m1) m2, coalesce(n2, 0) n2, s2 FROM
 SELECT model, round((m1 * n1 + m2 * n2) / (n1 + n2), 6) mean, round(CASE WHEN n2 = 0 THEN s1 ELSE sqrt(((n1 - 1) * s1 * s1 + (n2 - 1) * s2 * s2) / (n1 + n2 - 1) + n1 * n2 / ((n1 + n2) * (n1 + n2 - 1)) * power(m1 - m2, 2)) END, 6) stderr, n1 + n2 n FROM x""")
 def group_pooled_stderr(spark, d):
     """Splits of a model pooled to one mean and standard error, in the order of their names."""
-    one = scored(spark, d).groupBy("model", "split").agg(F.avg("hit").alias("m"), A.mean_stderr(F.col("hit")).alias("se"), F.count("*").alias("n"))
+    one = scored(spark, d, "split").groupBy("model", "split").agg(F.avg("hit").alias("m"), A.mean_stderr(F.col("hit")).alias("se"), F.count("*").alias("n"))
     pool = one.groupBy("model").agg(A.pooled(F.collect_list(F.struct(F.col("split").alias("ord"), "m", "se", "n"))).alias("p"))  # a row a split
     return pool.select("model", F.round("p.mean", 6).alias("mean"), F.round("p.stderr", 6).alias("stderr"), F.col("p.n").alias("n"))
 
 
 @query(f"""WITH {S_SQL}, v AS (SELECT model task, 'center_acc' metric, CAST(hit AS DOUBLE) v FROM s UNION ALL SELECT model, 'center_dist', dist FROM s WHERE dist IS NOT NULL)
-SELECT task, metric, 'none' AS "filter", round(avg(v) * 100, 4) shown, round(stddev_samp(v) / sqrt(count(v)), 4) stderr, count(v) n FROM v GROUP BY task, metric""")
+SELECT task, metric, 'none' AS "filter", round(CASE WHEN avg(v) BETWEEN 0 AND 1 THEN avg(v) * 100 ELSE avg(v) END, 4) shown, round(stddev_samp(v) / sqrt(count(v)), 4) stderr, count(v) n FROM v GROUP BY task, metric""")
 def report_long(spark, d):
     """The result table: a row for each task and metric."""
     s = scored(spark, d).select(F.col("model").alias("task"), F.col("hit").cast("double").alias("center_acc"), F.col("dist").alias("center_dist"))

@@ -13,16 +13,16 @@ from loomscope.session import table
 
 
 def pairs(spark, d, column):
-    """Pairs of texts, ASCII letters, digits and blanks only."""
+    """Pairs of texts, letters, digits and blanks only."""
     r = table(spark, d, "func_records").select("rec_id", "source", column).distinct().where(f"{column} IS NOT NULL")
-    clean = F.trim(F.regexp_replace(F.regexp_replace(F.lower(column), "[^a-z0-9 ]", " "), " +", " "))
+    clean = F.trim(F.regexp_replace(F.lower(column), r"[^\p{L}\p{N}]+", " "))
     r = r.select("rec_id", "source", clean.alias("gold"))
     after = r.select((F.col("rec_id") - 1).alias("rec_id"), F.col("gold").alias("pred"))
     return r.join(after, "rec_id")
 
 
 def _p(column: str) -> str:
-    return f"""p0 AS (SELECT DISTINCT rec_id, source, trim(regexp_replace(regexp_replace(lower({column}), '[^a-z0-9 ]', ' ', 'g'), ' +', ' ', 'g')) gold FROM func_records WHERE {column} IS NOT NULL),
+    return f"""p0 AS (SELECT DISTINCT rec_id, source, trim(regexp_replace(lower({column}), '[^\\p{{L}}\\p{{N}}]+', ' ', 'g')) gold FROM func_records WHERE {column} IS NOT NULL),
 p AS (SELECT a.rec_id, a.source, a.gold, b.gold pred FROM p0 a JOIN p0 b ON b.rec_id = a.rec_id + 1)"""
 
 
@@ -76,18 +76,19 @@ SELECT source, round(100 * CASE WHEN any_value(sl) >= any_value(rl) THEN 1.0 ELS
 def bleu(spark, d):
     """Corpus BLEU of function texts by source."""
     p = pairs(spark, d, "func")
-    out = A.corpus_bleu(p, ["source"], F.split("gold", " "), F.split("pred", " "))
+    out = A.corpus_bleu(p, ["source"], F.col("gold"), F.col("pred"))
     return out.select("source", F.round("bleu", 6).alias("bleu"))
 
 
 @query(f"""WITH {_p("elem_text")}, w AS (SELECT rec_id, source, side, regexp_extract_all(replace(t, ' ', ''), '.') w FROM (SELECT rec_id, source, 'r' side, gold t FROM p UNION ALL SELECT rec_id, source, 'p', pred FROM p)),
 {GRAMS.replace("[1, 2, 3, 4]", "[1, 2, 3, 4, 5, 6]")}, c AS (SELECT rec_id, source, n, g, count(*) FILTER (WHERE side = 'r') r, count(*) FILTER (WHERE side = 'p') p FROM g GROUP BY ALL),
-o AS (SELECT source, n, CAST(sum(least(r, p)) AS DOUBLE) h, CAST(sum(r) AS DOUBLE) r, CAST(sum(p) AS DOUBLE) p FROM c GROUP BY ALL)
-SELECT source, round(100 * avg(coalesce(5 * (h / p) * (h / r) / nullif(4 * (h / p) + h / r, 0), 0)), 6) chrf FROM o WHERE r > 0 AND p > 0 GROUP BY source""")
+o AS (SELECT source, n, CAST(sum(least(r, p)) AS DOUBLE) h, CAST(sum(r) AS DOUBLE) r, CAST(sum(p) AS DOUBLE) p FROM c GROUP BY ALL),
+m AS (SELECT source, avg(h / p) pr, avg(h / r) re FROM o WHERE r > 0 AND p > 0 GROUP BY source)
+SELECT source, round(100 * coalesce(5 * pr * re / nullif(4 * pr + re, 0), 0), 6) chrf FROM m""")
 def chrf(spark, d):
     """Corpus chrF of captions by source."""
     p = pairs(spark, d, "elem_text")
-    return C.corpus_chrf(p, ["source"], "rec_id", F.col("gold"), F.col("pred")).select("source", F.round("chrf", 6).alias("chrf"))
+    return C.corpus_chrf(p, ["source"], F.col("gold"), F.col("pred")).select("source", F.round("chrf", 6).alias("chrf"))
 
 
 @query(f"""WITH {_p("elem_text")}, w AS (SELECT rec_id, source, 'r' side, string_split(gold, ' ') w FROM p UNION ALL SELECT rec_id, source, 'p', string_split(pred, ' ') FROM p), {GRAMS},

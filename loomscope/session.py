@@ -2,12 +2,16 @@
 
 from __future__ import annotations
 
+import functools
+import re
 import tempfile
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 
 CHECKPOINT_CONF = "spark.checkpoint.dir"
+#: Folders that :func:`written` made in this process, for :func:`release`.
+_WRITTEN: list[str] = []
 
 
 def get_spark(cores: int | str = 8, app: str = "loomscope", shuffle_partitions: int = 8) -> SparkSession:
@@ -25,13 +29,20 @@ def get_spark(cores: int | str = 8, app: str = "loomscope", shuffle_partitions:
     )
 
 
+@functools.cache
+def _local_dir() -> str:
+    return tempfile.mkdtemp(prefix="spark-")
+
+
 def shared_dir(spark: SparkSession) -> str:
-    """The folder for intermediate tables: the one the cluster names, else (tests) a new local one."""
+    """The folder for intermediate tables, which the cluster names in ``spark.checkpoint.dir``.
+
+    Where all tasks run in this process (a local master) and none is named, a new one on this machine; on a cluster that is an error.
+    """
     path = spark.conf.get(CHECKPOINT_CONF, None) or spark.sparkContext.getConf().get(CHECKPOINT_CONF)
-    if not path:
-        path = tempfile.mkdtemp(prefix="spark-")
-        spark.conf.set(CHECKPOINT_CONF, path)
-    return path.rstrip("/")
+    if not path and not re.match(r"local(\[|$)", spark.sparkContext.master):
+        raise ValueError(f"no shared folder for intermediate tables: set {CHECKPOINT_CONF}")
+    return (path or _local_dir()).rstrip("/")
 
 
 def written(df: DataFrame, name: str) -> DataFrame:
@@ -39,9 +50,20 @@ def written(df: DataFrame, name: str) -> DataFrame:
     spark = df.sparkSession
     path = f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
     df.write.option("compression", "zstd").parquet(path)
+    _WRITTEN.append(path)
     return spark.read.schema(df.schema).parquet(path)
 
 
+def release(spark: SparkSession) -> int:
+    """Deletes the intermediate tables written so far and gives their number; call it when results that were built on them are stored."""
+    paths = [_WRITTEN.pop() for _ in range(len(_WRITTEN))]
+    jvm = spark.sparkContext._jvm
+    for path in paths:
+        target = jvm.org.apache.hadoop.fs.Path(path)
+        target.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(target, True)
+    return len(paths)
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     """One table of a data folder."""
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")

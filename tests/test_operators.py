@@ -55,13 +55,17 @@ def test_positional_median_is_not_the_median(spark):
 
 
 def test_bootstrap_is_reproducible(spark):
-    df = spark.createDataFrame([(float(i % 7),) for i in range(60)], "v DOUBLE")
-    run = lambda d: A.bootstrap_stderr(d, "v", statistics.mean, 60, 10).first()
-    assert run(df)[0] == run(df.repartition(5))[0] and run(df).resamples == 60
+    draw = random.Random(6)
+    held = [round(draw.gauss(2, 1), 1) for _ in range(500)]
+    df = spark.createDataFrame([(v,) for v in [*held, None]], "v DOUBLE")
+    a, b = (A.bootstrap_mean_stderr(d, "v", iterations=1000).first() for d in (df, df.repartition(5)))
+    assert a.stderr == pytest.approx(b.stderr) and a.resamples == 1000
+    assert a.stderr == pytest.approx(statistics.stdev(held) / len(held) ** 0.5, rel=0.1)
+    assert A.bootstrap_mean_stderr(df, "v", F.exp, iterations=200).first().stderr > a.stderr
+    assert A.bootstrap_mean_stderr(df.limit(0), "v", iterations=10).first().resamples == 0
 
 
-def test_bootstrap_of_the_median_has_no_limit(spark, monkeypatch):
-    monkeypatch.setattr(A, "MOST_BOOTSTRAP_VALUES", 100)
+def test_bootstrap_of_the_median_has_no_limit(spark):
     draw = random.Random(4)
     held = [round(draw.gauss(0, 1), 2) for _ in range(400)] + [0.5] * 101
     df = spark.createDataFrame([(v,) for v in [*held, None]], "v DOUBLE")
@@ -72,19 +76,38 @@ def test_bootstrap_of_the_median_has_no_limit(spark, monkeypatch):
     assert A.bootstrap_median_stderr(df.limit(0), "v", 10).first().resamples == 0
 
 
-def test_bootstrap_query_has_no_limit(spark, monkeypatch):
-    from loomscope.queries import grounding
+@pytest.mark.parametrize("steps", [1, 3, 1024])
+def test_medians_are_exact(spark, steps):
+    draw = random.Random(2)
+    rows = [(k, draw.choice([None, 0.5, draw.random(), draw.random()])) for k in ("a", "b", None) for _ in range(draw.randint(30, 61))] + [("one", 3.0), ("none", None)]
+    got = {r.k: r["m"] for r in A.medians(spark.createDataFrame(rows, "k STRING, v DOUBLE"), ["k"], "v", "m", steps).collect()}
+    want = {k: statistics.median(v for x, v in rows if x == k and v is not None) for k in ("a", "b", None, "one")}
+    assert got == pytest.approx(want)
+
+
+def test_numbering_keeps_every_row(spark):
+    """Three million rows, several columns, two groups of very different size, partitions that are merged while the query runs."""
+    assert spark.conf.get("spark.sql.adaptive.enabled") == "true"
+    df = spark.range(3_000_000).select(F.xxhash64("id").alias("k"), F.when(F.col("id") % 100 == 0, "b").otherwise("a").alias("g"), F.col("id").cast("string").alias("t"), "id")
+    check = lambda d, c: d.agg(F.count("*"), F.count_distinct(c), F.min(c), F.max(c)).first()
+    assert tuple(check(requests.numbered(df, "k"), "doc_id")) == (3_000_000, 3_000_000, 0, 2_999_999)
+    inner = requests.numbered(df, "k", "g")
+    assert tuple(check(inner.where("g = 'b'"), "doc_id")) == (30_000, 30_000, 0, 29_999)
+    assert tuple(check(inner.where("g = 'a'"), "doc_id")) == (2_970_000, 2_970_000, 0, 2_969_999)
+
 
-    monkeypatch.setattr(A, "MOST_BOOTSTRAP_VALUES", 10)
-    assert grounding.bootstrap_stderr(spark, "/root/testdata/sf0.001").first().resamples == 200
+def test_all_correct_stderr(spark):
+    df = spark.createDataFrame([(1, 1, 1, 1), (1, 1, 0, 0), (2, 2, 1, 0), (3, 2, 1, 1), (4, 3, 0, 0)], "p INT, q INT, label INT, pred INT")
+    assert A.all_correct(df, ["p", "q"], F.col("label"), F.col("pred")).first().acc_all == 0.75
+    assert A.all_correct_stderr(df, ["q"], F.col("label"), F.col("pred")).first().acc_all_stderr == pytest.approx(statistics.stdev([1, 0, 1]) / 3**0.5)
 
 
 def test_text_corpora(spark):
     df = spark.createDataFrame([(1, 1, "a b c d e", "a b c d e"), (1, 2, "f g h i j", "f g h i j")], "k INT, i INT, r STRING, p STRING")
     r, p = F.split("r", " "), F.split("p", " ")
-    assert A.corpus_bleu(df, ["k"], r, p).first().bleu == pytest.approx(100)
+    assert A.corpus_bleu(df, ["k"], F.col("r"), F.col("p")).first().bleu == pytest.approx(100)
     assert A.corpus_ter(df, ["k"], F.col("r"), F.col("p")).first().ter == 0
-    assert captions.corpus_chrf(df, ["k"], "i", F.col("r"), F.col("p")).first().chrf == pytest.approx(100)
+    assert captions.corpus_chrf(df, ["k"], F.col("r"), F.col("p")).first().chrf == pytest.approx(100)
     assert captions.cider(df, "i", r, p).first().cider == pytest.approx(10)
     moved = spark.createDataFrame([(1, "a b c d", "c d a b")], "k INT, r STRING, p STRING")
     assert A.corpus_ter(moved, ["k"], F.col("r"), F.col("p")).first().ter == pytest.approx(0.25)
