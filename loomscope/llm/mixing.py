@@ -71,6 +71,8 @@ def mix_rates(sizes: DataFrame, targets: DataFrame) -> DataFrame:
                 nxt = sum(ends) / 2 if all(map(math.isfinite, ends)) else r["tilt"] + math.copysign(1.0 + abs(r["tilt"]), -off)
             r["tilt"] = r["tilt"] if r["done"] else nxt
         left = [r for r in left if not r["done"]]
+    if left:
+        raise ValueError(f"no rates found in {ITERATIONS} iterations: {[(r['plan_name'], r['source']) for r in left]}")
     return spark.createDataFrame([(r["plan_name"], r["source"], r["share"], r["cap"], r["wanted"], float(r["mean"]), r["tilt"]) for r in plan], TARGETS)
 
 

@@ -13,13 +13,13 @@ from loomscope.session import table
 
 #: Rows of the target table that the driver rounds at once; the table is small by nature and this is checked.
 MOST_CATEGORIES = 100_000
-#: Parts in which the random keys of one category are ranked first, so that a hot category is not one task.
-RANK_PARTS = 64
+#: Leading bits of the random keys by which those of a category are counted; only keys that share the bits of the last one drawn are ranked.
+PREFIX_BITS = 12
 SAMPLE_PART = Decimal("0.05")
 
 PLAN = (
     "device STRING, elem_tag STRING, target_share DOUBLE, min_count INT, available BIGINT, quota BIGINT, "
-    "wanted DOUBLE, rounded BIGINT, taken BIGINT, short BIGINT"
+    "wanted DOUBLE, rounded BIGINT, taken BIGINT, short BIGINT, overrun BIGINT"
 )
 
 
@@ -75,17 +75,32 @@ def controlled_rounding(cells: dict[tuple, Decimal]) -> dict[tuple, int]:
     return {(r, c): math.floor(x) + flow[(("row", r), ("col", c))] for (r, c), x in cells.items()}
 
 
-def _wanted(share: dict[tuple, Decimal], least: dict[tuple, int], size: int) -> dict[tuple, Decimal]:
-    """Fractional quotas: the minimum where the share gives less, and the rest of the sample by share."""
-    fixed: set = set()
-    while True:
-        rest = Decimal(size) - sum(least[k] for k in fixed)
-        free = sum((x for k, x in share.items() if k not in fixed), Decimal(0))
-        scale = max(rest, Decimal(0)) / free if free else Decimal(0)
-        more = {k for k, x in share.items() if k not in fixed and x * scale < least[k]}
-        if not more:
-            return {k: Decimal(least[k]) if k in fixed else x * scale for k, x in share.items()}
-        fixed |= more
+def _wanted(share: dict[tuple, Decimal], least: dict[tuple, int], most: dict[tuple, int], size: int) -> dict[tuple, Decimal]:
+    """Fractional quotas that fill ``size``: by share, but at least the minimum and at most what there is.
+
+    What a category lacks goes to the others by their shares. Where the minima alone exceed ``size`` they are the quotas, and where all
+    categories together are smaller, everything is.
+    """
+    low = {k: Decimal(min(least[k], most[k])) for k in share}
+    out = {k: Decimal(most[k]) for k in share}
+    if sum(low.values()) >= size:
+        return low
+    if sum(out.values()) <= size:
+        return out
+    scale = lambda s: {k: min(max(share[k] * s, low[k]), out[k]) for k in share}
+    below, above = Decimal(0), Decimal(size)
+    while sum(scale(above).values()) < size and above < Decimal(size) * 10**18:
+        above *= 2
+    for _ in range(120):
+        middle = (below + above) / 2
+        below, above = (middle, above) if sum(scale(middle).values()) < size else (below, middle)
+    found = scale(above)
+    free = [k for k in share if low[k] < found[k] < out[k]]
+    rest = size - sum(x for k, x in found.items() if k not in free)
+    shares = sum(share[k] for k in free)
+    if not free or not shares:
+        return found
+    return found | {k: min(max(share[k] * rest / shares, low[k]), out[k]) for k in free}
 
 
 def _name(c: str) -> Column:
@@ -98,9 +113,10 @@ def target_plan(records: DataFrame, targets: DataFrame) -> DataFrame:
     records: ``rec_id, device, elem_tag``; a record counts once however often it comes. targets: ``device,
     elem_tag, target_share, min_count``. The sample has 5 % of the distinct records, rounded down. ``quota`` is
     the share of that in exact decimals, rounded up, or the minimum if that is larger; ``wanted`` the fractional
-    quotas that fill the sample exactly and keep every minimum; ``rounded`` these made integer by controlled
-    rounding over the table of devices and tags; ``taken`` is at most what is ``available``; ``short`` is what is
-    missing to ``quota``. Device and tag compare trimmed and in lower case.
+    quotas that fill the sample exactly, keep every minimum and take no more than is ``available`` (what one category
+    lacks, the others give by their shares); ``rounded`` these made integer by controlled rounding over the table of
+    devices and tags, which is what is ``taken``; ``short`` is what is missing to ``quota``. Where the minima alone exceed the
+    sample they are drawn nevertheless, and ``overrun`` says by how many records in all. Device and tag compare trimmed and in lower case.
 
     Null device or tag matches nothing (such a target has nothing available), a null share or minimum is 0, a
     repeated category is one with the sum of the shares and the largest minimum. Empty records leave every
@@ -122,33 +138,43 @@ def target_plan(records: DataFrame, targets: DataFrame) -> DataFrame:
     there = {(r["d"], r["t"]): r["count"] for r in counts}
 
     key = {(r["device"], r["elem_tag"]): r for r in want}
-    wanted = _wanted({k: r["share"] for k, r in key.items()}, {k: r["least"] for k, r in key.items()}, size)
+    # Targets that differ only in case or blanks draw from the same records, which the first of them gets.
+    most, left = {}, dict(there)
+    for device, tag in key:
+        at = (device.strip().lower(), tag.strip().lower()) if device is not None and tag is not None else None
+        most[(device, tag)] = left.pop(at, 0)
+    wanted = _wanted({k: r["share"] for k, r in key.items()}, {k: r["least"] for k, r in key.items()}, most, size)
     rounded = controlled_rounding(wanted)
+    overrun = max(sum(rounded.values()) - size, 0)
     rows = []
     for (device, tag), r in key.items():
         known = device is not None and tag is not None
         available = there.get((device.strip().lower(), tag.strip().lower()), 0) if known else 0
-        quota = max(math.ceil(r["share"] * size), r["least"])
-        whole = rounded[(device, tag)]
-        rows.append((device, tag, float(r["share"]), r["least"], available, quota, float(wanted[(device, tag)]), whole, min(whole, available), max(quota - available, 0)))
+        quota, whole = max(math.ceil(r["share"] * size), r["least"]), rounded[(device, tag)]
+        rows.append((device, tag, float(r["share"]), r["least"], available, quota, float(wanted[(device, tag)]), whole, whole, max(quota - available, 0), overrun))
     return spark.createDataFrame(rows, PLAN)
 
 
 def target_sample(records: DataFrame, plan: DataFrame, seed: int = 7) -> DataFrame:
     """``rec_id, device, elem_tag`` of the sample: in each category of ``plan`` the ``taken`` records with the least random key.
 
-    The key is a hash of ``rec_id`` and ``seed``, so that the sample doesn't depend on partitions or order. Keys are ranked
-    in parts of a category first; only the best of each part are ranked against each other. Null ids, devices
-    and tags are never drawn, a repeated record is drawn once.
+    The key is a hash of ``rec_id`` and ``seed``, so that the sample doesn't depend on partitions or order. Keys of a category are
+    counted by their leading bits; those before the bits of the last one drawn are in, and only those with the same bits are
+    ranked, so that no task sorts a category. Null ids, devices and tags are never drawn, a repeated record is drawn once.
     """
-    cells = plan.select(_name("device").alias("d"), _name("elem_tag").alias("t"), "taken")
+    cells = plan.select(_name("device").alias("d"), _name("elem_tag").alias("t"), "taken").where("taken > 0")
     rows = records.select("rec_id", _name("device").alias("d"), _name("elem_tag").alias("t")).where("rec_id IS NOT NULL")
     rows = rows.groupBy("rec_id").agg(F.min(F.struct("d", "t")).alias("x")).select("rec_id", "x.d", "x.t")
-    rows = rows.join(F.broadcast(cells), ["d", "t"]).withColumn("random", F.xxhash64("rec_id", F.lit(seed)))
-    part = Window.partitionBy("d", "t", F.pmod(F.hash("rec_id"), F.lit(RANK_PARTS))).orderBy("random", "rec_id")
-    rows = rows.withColumn("rank", F.row_number().over(part)).where("rank <= taken")
-    rows = rows.withColumn("rank", F.row_number().over(Window.partitionBy("d", "t").orderBy("random", "rec_id"))).where("rank <= taken")
-    return rows.select("rec_id", F.col("d").alias("device"), F.col("t").alias("elem_tag"))
+    rows = rows.join(F.broadcast(cells), ["d", "t"]).withColumn("random", F.xxhash64("rec_id", F.lit(seed)))  # at most MOST_CATEGORIES
+    rows = rows.withColumn("bits", F.shiftright("random", 64 - PREFIX_BITS))
+    counts = rows.groupBy("d", "t", "taken", "bits").agg(F.count("*").alias("n"))
+    before = F.sum("n").over(Window.partitionBy("d", "t").orderBy("bits")) - F.col("n")  # a row for each of the bits
+    counts = counts.withColumn("before", before).where("before < taken")
+    rows = rows.join(counts.select("d", "t", "bits", "before", "n"), ["d", "t", "bits"])
+    sure = rows.where("before + n <= taken")
+    last = Window.partitionBy("d", "t").orderBy("random", "rec_id")
+    border = rows.where("before + n > taken").withColumn("rank", F.row_number().over(last)).where("rank <= taken - before").drop("rank")
+    return sure.unionByName(border).select("rec_id", F.col("d").alias("device"), F.col("t").alias("elem_tag"))
 
 
 def _train(spark: SparkSession, sf_dir: str) -> DataFrame:

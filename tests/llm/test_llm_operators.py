@@ -300,6 +300,26 @@ def test_target_sample(spark):
     assert T.target_plan(df, targets.limit(0)).count() == 0
 
 
+def test_target_sample_of_a_hot_category(spark):
+    """One category with nearly all of 200,000 rows: the drawn keys are the least ones and few are ranked."""
+    df = spark.range(200_000).select(F.col("id").alias("rec_id"), F.lit("web").alias("device"), F.when(F.col("id") % 1000 == 0, "b").otherwise("a").alias("elem_tag"))
+    targets = spark.createDataFrame([("web", "a", 0.5, 1), ("web", "b", 0.5, 1)], "device STRING, elem_tag STRING, target_share DOUBLE, min_count INT")
+    plan = T.target_plan(df, targets)
+    assert {r.elem_tag: r.taken for r in plan.collect()} == {"a": 9800, "b": 200}  # what b lacks, a gives
+    drawn = T.target_sample(df, plan).where("elem_tag = 'a'")
+    least = df.where("elem_tag = 'a'").orderBy(F.xxhash64("rec_id", F.lit(7))).limit(9800)
+    assert drawn.count() == 9800 and drawn.join(least, "rec_id").count() == 9800
+    ranges = df.where("elem_tag = 'a'").groupBy(F.shiftright(F.xxhash64("rec_id", F.lit(7)), 64 - T.PREFIX_BITS)).count()
+    assert ranges.agg(F.max("count")).first()[0] < 200
+
+
+def test_target_plan_says_when_minima_are_too_many(spark):
+    df = spark.range(100).select(F.col("id").alias("rec_id"), F.lit("web").alias("device"), F.when(F.col("id") < 50, "a").otherwise("b").alias("elem_tag"))
+    targets = spark.createDataFrame([("web", "a", 0.9, 6), ("web", "b", 0.1, 7)], "device STRING, elem_tag STRING, target_share DOUBLE, min_count INT")
+    got = {r.elem_tag: (r.taken, r.overrun) for r in T.target_plan(df, targets).collect()}
+    assert got == {"a": (6, 8), "b": (7, 8)}
+
+
 def test_hilbert_neighbours():
     side = np.array([(x, y, z) for x in range(8) for y in range(8) for z in range(8)])
     key = hilbert(side, 3)
