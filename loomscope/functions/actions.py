@@ -31,15 +31,72 @@ def action_text(kind: Column, point: Column, typed: Column) -> Column:
     )
 
 
-def action_of_id(number: Column) -> Column:
-    """The action type and direction of a numeric action id; null for an unknown one."""
-    kinds = {3: "input_text", 4: "click", 5: "navigate_back", 6: "navigate_home", 7: "enter", 10: "status", 11: "status"}
-    kind, way = F.lit(None).cast("string"), F.lit(None).cast("string")
-    for k, v in kinds.items():
-        kind = F.when(number == k, v).otherwise(kind)
-    for k, v in SWIPES.items():
-        kind, way = F.when(number == k, "swipe").otherwise(kind), F.when(number == k, v).otherwise(way)
-    return F.struct(kind.alias("action_type"), way.alias("direction"))
+#: Members of an action as all formats give them; a point is (y, x).
+ACTION = "struct<action_type:string,target:array<double>,direction:string,text:string,goal_status:string>"
+
+# What the numbers of actions mean besides clicks and swipes.
+NUMBERED = {3: "input_text", 5: "navigate_back", 6: "navigate_home", 7: "enter", 10: "status", 11: "status"}
+GOAL_STATUS = {10: "successful", 11: "infeasible"}
+
+
+def _action(kind: Column, target: Column, direction: Column, text: Column, goal_status: Column) -> Column:
+    return F.struct(
+        kind.alias("action_type"), F.when(kind == "click", target).cast("array<double>").alias("target"), F.when(kind == "swipe", direction).alias("direction"),
+        F.when(kind == "input_text", text).alias("text"), F.when(kind == "status", goal_status).alias("goal_status"),
+    )
+
+
+def _named(number: Column, names: dict[int, str]) -> Column:
+    out = F.lit(None).cast("string")
+    for k, v in names.items():
+        out = F.when(number == k, v).otherwise(out)
+    return out
+
+
+def action_of_id(number: Column, click_point: Column | None = None, typed: Column | None = None) -> Column:
+    """A predicted action with a number as :data:`ACTION`: numbers of swipes name their direction; null type for an unknown number."""
+    kind = F.when(number == ACTION_IDS["click"], "click").when(number.isin(*SWIPES), "swipe").otherwise(_named(number, NUMBERED))
+    none = F.lit(None)
+    point = F.reverse(click_point) if click_point is not None else none
+    return _action(kind, point, _named(number, SWIPES), F.lower(typed) if typed is not None else none.cast("string"), _named(number, GOAL_STATUS))
+
+
+def action_of_row(number: Column, kind: Column, touch: Column, addition: Column, typed: Column) -> Column:
+    """A labelled action as :data:`ACTION`: number 4 is a click or, by its kind, a swipe in the direction that ends ``addition``."""
+    tap = number == ACTION_IDS["click"]
+    name = F.when(tap & (kind == "click"), "click").when(tap, "swipe").otherwise(_named(number, NUMBERED))
+    words = F.filter(F.split(addition, r"\s+"), lambda w: w != "")
+    return _action(name, F.reverse(touch), F.try_element_at(words, F.lit(-1)), typed, _named(number, GOAL_STATUS))
+
+
+def action_of_fields(fields: Column, scale: float) -> Column:
+    """A predicted action with members (of ``parse.action_fields``) as :data:`ACTION`; its target is in parts of ``scale``."""
+    target = F.transform(F.reverse(fields["target"]), lambda x: x / scale)
+    return _action(fields["action_type"], target, fields["direction"], F.lower(fields["text"]), fields["goal_status"])
+
+
+#: Accuracies by the kind of the labelled action: which actions each is over.
+BY_KIND = {
+    "click_acc": ("click", None), "text_acc": ("input_text", None), "swipe_acc": ("swipe", None), "enter_acc": ("enter", None), "home_acc": ("navigate_home", None),
+    "back_acc": ("navigate_back", None), "complete_acc": ("status", "successful"), "infeasible_acc": ("status", "infeasible"),
+}
+
+
+def accuracy_by_kind(gold: Column, matched: Column) -> list[Column]:
+    """Aggregates: for each name of :data:`BY_KIND` the share of matched actions, 0 without any."""
+    out = []
+    for name, (kind, status) in BY_KIND.items():
+        of = (gold["action_type"] == kind) & (gold["goal_status"].eqNullSafe(F.lit(status)) if status else F.lit(True))
+        share = F.try_divide(F.count_if(of & matched).cast("double"), F.count_if(of))
+        out.append(F.round(F.coalesce(share, F.lit(0.0)), 6).alias(name))
+    return out
+
+
+def formats_match(gold: Column, predicted: Column, boxes: Column) -> tuple[Column, Column]:
+    """:func:`actions_match` of two actions of :data:`ACTION`; ``boxes`` as x1, y1, x2, y2 like the points' mirrored axes."""
+    point = lambda a: F.reverse(a["target"])
+    one = lambda a: {"kind": a["action_type"], "box": point(a), "text": a["text"], "direction": a["direction"], "goal_status": a["goal_status"]}
+    return actions_match(one(gold), one(predicted), boxes)
 
 
 def text_match(a: Column, b: Column) -> Column:

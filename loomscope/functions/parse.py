@@ -52,9 +52,22 @@ def float_list(text: Column) -> Column:
     return F.when(text.rlike(pattern), F.array(*(F.regexp_extract(text, pattern, g).cast("double") for g in range(1, 5)))).otherwise(F.array(*[F.lit(0.0)] * 4))
 
 
-def loc_tokens(text: Column, most: float = 999.0) -> Column:
-    """The numbers of location tokens in parts of ``most``."""
-    return F.transform(_all(text, LOC, 1), lambda v: v.cast("double") / most)
+def loc_tokens(text: Column, most: float = 999.0, count: int = 4) -> Column:
+    """The first ``count`` location tokens that follow each other, in parts of ``most``; zeros without so many."""
+    run = "".join([LOC] * count)
+    return F.when(text.rlike(run), F.array(*(F.regexp_extract(text, run, g).cast("double") / most for g in range(1, count + 1)))).otherwise(F.array(*[F.lit(0.0)] * count))
+
+
+def box_text_numbers(text: Column) -> Column:
+    """A box given as text, ``[x1, y1, x2, y2]``, as whole numbers; null if one isn't."""
+    numbers = F.transform(F.split(F.trim(F.translate(text, "[]", "  ")), r"\s*,\s*"), lambda x: x.try_cast("int"))
+    return F.when((F.size(numbers) == 4) & ~F.exists(numbers, lambda x: x.isNull()), numbers)
+
+
+def scaled_to(coords: Column, scale: Column, width: Column, height: Column) -> Column:
+    """Coordinates in parts of ``scale``; a scale of -1 means pixels, which are divided by the picture's size."""
+    side = lambda i: F.when(i % 2 == 0, width).otherwise(height)
+    return F.transform(coords, lambda x, i: x / F.when(scale == -1, side(i)).otherwise(scale))
 
 
 def coordinates(text: Column, scale: Column | int = 1000, keep_box: bool = True) -> Column:
@@ -67,8 +80,6 @@ def coordinates(text: Column, scale: Column | int = 1000, keep_box: bool = True)
     """
     scale = F.lit(scale).cast("double") if isinstance(scale, int) else scale.cast("double")
     act = F.trim(F.try_element_at(F.split(text, "action"), F.lit(2)), F.lit(" \t\n\r\x0b\x0c"))
-    t = F.when(text.contains("action"), act).otherwise(text)
-
     return let(F.when(text.contains("action"), act).otherwise(text), lambda t: _coordinates(t, scale, keep_box))
 
 

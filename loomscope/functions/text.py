@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 import string
 from itertools import chain
 
@@ -145,3 +146,22 @@ def tokenised_13a(text: Column) -> Column:
     for pattern, by in SPLIT_13A:
         text = F.regexp_replace(text, pattern, by)
     return F.trim(F.regexp_replace(text, " +", " "))
+
+
+def escaped_split(text: Column, separator: str) -> Column:
+    """``text`` split at every ``separator`` that has no backslash before it; of those that have one the backslash goes."""
+    parts = F.split(text, r"(?<!\\)" + re.escape(separator), -1)
+    return F.transform(parts, lambda p: F.replace(p, F.lit("\\" + separator), F.lit(separator)))
+
+
+def argument_map(text: Column) -> Column:
+    """``k=v,k=v`` as a map of names to the kind and the text of the value: bool, int, float or str."""
+    parts = F.filter(F.split(F.trim(text), ","), lambda p: F.trim(p) != "")
+
+    def kind(v: Column) -> Column:
+        number = F.when(v.rlike(r"^[0-9]+$"), "int").when(v.try_cast("double").isNotNull(), "float")
+        return F.struct(F.when(F.lower(v).isin("true", "false"), "bool").otherwise(F.coalesce(number, F.lit("str"))).alias("kind"), v.alias("value"))
+
+    value = lambda p: F.trim(F.substring(p, F.locate("=", p) + 1, F.length(p)))
+    entries = F.transform(parts, lambda p: F.struct(F.trim(F.substring_index(p, "=", 1)).alias("key"), kind(value(p)).alias("value")))
+    return F.map_from_entries(entries)

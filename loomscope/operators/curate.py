@@ -5,13 +5,34 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-# Roles of senders, and prompts of model families in the order in which names are tried.
+# Roles of senders.
 ROLES = {"human": "user", "gpt": "assistant"}
+
+# Prompts that ask for an element, as models of each family are asked.
+_AXES = " Output the normalized X and Y coordinates, ranging from 0.00 to 1.00. Note that the X-axis runs horizontally from left (0.00) to right (1.00), and the Y-axis runs vertically from top (0.00) to bottom (1.00). Your should carefully view the image before finally predicting the required"
+_ONLY = " Your answer MUST only include the coordiniates withou any explanations."
+POSITION_PROMPT = 'In this UI screenshot, what is the position of the element corresponding to the description "{}"?' + _AXES + " position in the format [X, Y] (two decimal places)." + _ONLY
+BOX_PROMPT = 'In this UI screenshot, what are the bounding box coordinates of the element corresponding to the command "{}"?' + _AXES + " bounding box coordinates in the format [X_topleft, Y_topleft, X_bottomright, Y_bottomright]." + _ONLY
+THOUSANDTHS_PROMPT = BOX_PROMPT.replace("from 0.00 to 1.00", "from 0 to 1000").replace("(0.00)", "(0)").replace("(1.00)", "(999)")
+FUNCTION_BOX_PROMPT = 'What are the bounding box coordinates of the element corresponding to the functionality "{}" in this UI screenshot?'
+COMMAND_BOX_PROMPT = "Can you point out the element specified by the command {} in the UI screenshot and provide the bounding box of its location?"
+SEE_POINT_PROMPT = 'In this UI screenshot, what is the position of the element corresponding to the command "{}" (with point)?'
+SEE_BOX_PROMPT = 'In this UI screenshot, what is the position of the element corresponding to the command "{}" (with bbox)?'
+DETECT_PROMPT = 'detect the region targeted by the command "{}"'
+WEB_PROMPTS = (
+    "In the screenshot of this web page, please give me the coordinates of the element I want to click on according to my instructions (with point).",
+    "Based on the screenshot of the page, I give a text description and you give its corresponding location (with point).",
+    "In the image above, I will give a series of descriptions of the element to be clicked. Please predict where you want to click (with point).",
+    "I will give textual descriptions of a certain element in the screenshot. Please predict the location of the corresponding element (with point).",
+)
+#: Families in the order in which their names are looked for in a model's name: names, prompt for a point, prompt for a box.
 FAMILIES = (
-    (("gpt", "claude"), "{} Give the point as [x, y]."), (("llava",), "{} Answer with [x1, y1, x2, y2]."), (("qwen",), "{} Answer with a box."),
-    (("grounder_a",), "Locate (with point): {}."), (("grounder_b",), "Locate (with bbox): {}."),
+    (("gpt", "claude"), POSITION_PROMPT, BOX_PROMPT), (("llava-1.6", "llava1.6", "llava-v1.6"), f"[INST] <image>{POSITION_PROMPT} [/INST]", f"[INST] <image>{BOX_PROMPT} [/INST]"),
+    (("llava",), f"USER: <image>{POSITION_PROMPT}\nASSISTANT:", f"USER: <image>{BOX_PROMPT}\nASSISTANT:"), (("llama",), BOX_PROMPT, BOX_PROMPT), (("uipro",), None, None), (("minicpm",), FUNCTION_BOX_PROMPT, FUNCTION_BOX_PROMPT),
+    (("deepseek",), f"<image_placeholder>{POSITION_PROMPT}", f"<image_placeholder>{BOX_PROMPT}"), (("cogagent",), COMMAND_BOX_PROMPT, COMMAND_BOX_PROMPT), (("qwen2",), THOUSANDTHS_PROMPT, THOUSANDTHS_PROMPT),
+    (("qwen", "slime"), POSITION_PROMPT, FUNCTION_BOX_PROMPT), (("monkey",), FUNCTION_BOX_PROMPT, FUNCTION_BOX_PROMPT), (("seeclick",), SEE_POINT_PROMPT, SEE_BOX_PROMPT), (("pali",), DETECT_PROMPT, DETECT_PROMPT),
 )
-OTHER_FAMILY = "Where is this? {}."
+QA_PROMPT = "Answer the question using a single word or phrase."
 
 
 def chat(conversations: Column) -> Column:
@@ -71,17 +92,57 @@ def union(*frames: DataFrame) -> DataFrame:
     return out
 
 
-def prompt_for(model: Column, instruction: Column) -> Column:
-    """The prompt of a model's family; the first family whose name occurs in the model's counts."""
-    text = F.trim(instruction, F.lit(" ."))
+def prompt_for(model: Column, instruction: Column, choice: Column, box: bool = False, prompts: tuple[str, ...] = WEB_PROMPTS) -> Column:
+    """The prompt of a model's family; the first family whose name occurs in the model's counts, in lower case.
+
+    Models of no family get one of ``prompts``, the one that ``choice`` (a whole number, such as a key's hash) names, and the instruction as the use of the
+    element, unless it says so itself.
+    """
+    text, name = F.trim(instruction, F.lit(".")), F.lower(model)
     fill = lambda t: F.concat(F.lit(t.split("{}")[0]), text, F.lit(t.split("{}")[1]))
-    out = None
-    for names, t in FAMILIES:
+    general = F.element_at(F.array(*(F.lit(p.replace("with point", "with bbox") if box else p) for p in prompts)), (F.pmod(choice, F.lit(len(prompts))) + 1).cast("int"))
+    plain = F.concat(general, F.lit(" "), text)
+    out = F.when(F.lit(False), "")
+    for names, point, whole in FAMILIES:
         test = F.lit(False)
         for n in names:
-            test = test | model.contains(n)
-        out = F.when(test, fill(t)) if out is None else out.when(test, fill(t))
-    return out.otherwise(fill(OTHER_FAMILY))
+            test = test | name.contains(n)
+        template = whole if box else point
+        out = out.when(test, fill(template) if template else plain)
+    used = F.when(instruction.startswith("This element"), plain).otherwise(F.concat(general, F.lit(' This element is used for "'), text, F.lit('"')))
+    return out.otherwise(used)
+
+
+def goal_prompt(before: str, after: str, goal: Column) -> Column:
+    """A task's prompt: ``before`` and ``after`` with the goal in place of ``{goal_info}``, ended by one full stop."""
+    ended = F.concat(F.trim(goal, F.lit(" .")), F.lit("."))
+    head, tail = after.split("{goal_info}")
+    return F.concat(F.lit(before + head), ended, F.lit(tail))
+
+
+def region_prompt(box: Column) -> Column:
+    """The prompt that asks for the instruction which leads to a region."""
+    shown = F.array_join(F.transform(box, lambda x: F.format_string("%.2f", x)), ", ")
+    return F.when(box.isNotNull(), F.concat(F.lit("Direct a user to interact with the highlighted region ["), shown, F.lit("].")))
+
+
+def question_prompt(question: Column) -> Column:
+    return F.concat(F.lit(QA_PROMPT + "\n"), question)
+
+
+def rewritten(messages: Column, image: Column) -> Column:
+    """Messages (``role, content``) as grounding data: image marks out, a ref tag before the point of a question, the picture in front of the first."""
+    bare = lambda t: F.trim(F.replace(t, F.lit("<image>"), F.lit("")), F.lit(" \n\t"))
+    following = lambda i: F.coalesce(F.try_element_at(messages, i + 2)["content"], F.lit(""))
+    text = lambda m, i: F.when(m["role"] == "user", ref_tagged(bare(m["content"]), following(i))).otherwise(bare(m["content"]))
+    front = lambda i: F.when(i == 0, F.concat(F.lit("Picture 1: <img>"), image, F.lit("</img>\n"))).otherwise("")
+    return F.transform(messages, lambda m, i: F.struct(m["role"].alias("role"), F.concat(front(i), text(m, i)).alias("content")))
+
+
+def without_ref_tags(messages: Column) -> Column:
+    """Messages without ref tags."""
+    bare = lambda t: F.replace(F.replace(t, F.lit("<ref>"), F.lit("")), F.lit("</ref>"), F.lit(""))
+    return F.transform(messages, lambda m: F.struct(m["role"].alias("role"), bare(m["content"]).alias("content")))
 
 
 def spaced(n: Column, k: int) -> Column:

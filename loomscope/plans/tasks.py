@@ -11,6 +11,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from loomscope.operators import filters, report, requests
+from loomscope.session import written
 
 Metric = Callable[[DataFrame], Column]
 METRICS: dict[str, Metric] = {}
@@ -58,8 +59,8 @@ def metric(name: str) -> Callable[[Metric], Metric]:
 
 def register(task: Task, group: str | None = None) -> Task:
     TASKS[task.name] = task
-    if group:
-        GROUPS.setdefault(group, []).append(task.name)
+    if group and task.name not in GROUPS.setdefault(group, []):
+        GROUPS[group].append(task.name)
     return task
 
 
@@ -97,7 +98,12 @@ def evaluate_all(patterns: list[str], answered: dict[str, DataFrame]) -> DataFra
     """The results of all matching tasks that have answers, then the weighted means of their groups."""
     names = [n for p in matching(patterns) for n in GROUPS.get(p, [p])]
     results = functools.reduce(DataFrame.union, [evaluate(TASKS[n], answered[n]) for n in dict.fromkeys(names) if n in answered])
-    spark = results.sparkSession
-    bridge = spark.createDataFrame([(g, t) for g, ts in GROUPS.items() for t in ts], "group STRING, task STRING")
+    results = written(results, "results")  # a row a task and metric
+    return results.unionByName(pooled_groups(results, GROUPS))
+
+
+def pooled_groups(results: DataFrame, groups: dict[str, list[str]]) -> DataFrame:
+    """The size-weighted means of each group's tasks, as rows of a result table."""
+    bridge = results.sparkSession.createDataFrame([(g, t) for g, ts in groups.items() for t in ts], "group STRING, task STRING")
     pooled = report.grouped(results, bridge)
-    return results.union(pooled.select(F.col("group").alias("task"), "metric", F.lit("none").alias("filter"), "shown", F.lit(None).cast("double").alias("stderr"), "n"))
+    return pooled.select(F.col("group").alias("task"), "metric", F.lit("none").alias("filter"), "shown", F.lit(None).cast("double").alias("stderr"), "n")

@@ -94,16 +94,6 @@ def hash_shuffled_sample(spark, d):
 P_SQL = """r AS (SELECT DISTINCT rec_id, func, elem_tag, site FROM func_records WHERE func IS NOT NULL)"""
 
 
-@query(f"""WITH {P_SQL}, e AS (SELECT DISTINCT response_id, rec_id, model FROM eval_responses), x AS (SELECT response_id, model, trim(func, ' .') f FROM e JOIN r USING (rec_id))
-SELECT response_id, CASE WHEN model LIKE '%gpt%' OR model LIKE '%claude%' THEN f || ' Give the point as [x, y].' WHEN model LIKE '%llava%' THEN f || ' Answer with [x1, y1, x2, y2].' WHEN model LIKE '%qwen%' THEN f || ' Answer with a box.'
-WHEN model LIKE '%grounder_a%' THEN 'Locate (with point): ' || f || '.' WHEN model LIKE '%grounder_b%' THEN 'Locate (with bbox): ' || f || '.' ELSE 'Where is this? ' || f || '.' END prompt FROM x""")
-def prompts_by_family(spark, d):
-    """The prompt of each request in the form of its model's family."""
-    r = table(spark, d, "func_records").select("rec_id", "func").distinct().where("func IS NOT NULL")
-    e = table(spark, d, "eval_responses").select("response_id", "rec_id", "model").distinct()
-    return e.join(r, "rec_id").select("response_id", C.prompt_for(F.col("model"), F.col("func")).alias("prompt"))
-
-
 @query(f"WITH {P_SQL} SELECT rec_id, 'Tag ' || elem_tag || ' on ' || site || ': ' || func prompt FROM r")
 def prompt_template(spark, d):
     """A text with the values of columns in its places."""

@@ -67,7 +67,7 @@ def exact_match(spark, d):
 GRAMS = """g AS (SELECT rec_id, source, side, n, array_to_string(w[i:i + n - 1], ' ') g FROM (SELECT rec_id, source, side, w, n, unnest(range(1, greatest(len(w) - n + 2, 1))) i FROM w, (SELECT unnest([1, 2, 3, 4]) n)))"""
 
 
-@query(f"""WITH {_p("func")}, w AS (SELECT rec_id, source, 'r' side, string_split(gold, ' ') w FROM p UNION ALL SELECT rec_id, source, 'p', string_split(pred, ' ') FROM p), {GRAMS},
+@query(f"""WITH {_p("func")}, w AS (SELECT rec_id, source, 'r' side, list_filter(string_split(gold, ' '), lambda x: x <> '') w FROM p UNION ALL SELECT rec_id, source, 'p', list_filter(string_split(pred, ' '), lambda x: x <> '') FROM p), {GRAMS},
 c AS (SELECT rec_id, source, n, g, count(*) FILTER (WHERE side = 'r') r, count(*) FILTER (WHERE side = 'p') p FROM g GROUP BY ALL),
 o AS (SELECT source, n, CAST(sum(least(r, p)) AS DOUBLE) hit, CAST(sum(p) AS DOUBLE) total FROM c GROUP BY ALL),
 l AS (SELECT source, CAST(sum(len(w)) FILTER (WHERE side = 'r') AS DOUBLE) rl, CAST(sum(len(w)) FILTER (WHERE side = 'p') AS DOUBLE) sl FROM w GROUP BY source),

@@ -167,12 +167,13 @@ def test_curation(spark):
     assert tuple(x.x) == ("p.png", "hi (x)") and x.t.endswith("hi <ref>(x)")
     assert list(x[3]) == [-100, -100, 1, 4, 6, -100, -100, -100]
     assert spark.range(1).select(curate.spaced(F.lit(9), 5)).first()[0] == [0, 2, 4, 6, 8]
-    got = spark.createDataFrame([("qwen-gpt",), ("qwen2",), ("other",)], "m STRING").select(curate.prompt_for(F.col("m"), F.lit("Tap. "))).collect()
-    assert [r[0] for r in got] == ["Tap Give the point as [x, y].", "Tap Answer with a box.", "Where is this? Tap."]
+    got = spark.createDataFrame([("Qwen-GPT",), ("SeeClick",), ("other",)], "m STRING").select(curate.prompt_for(F.col("m"), F.lit("Tap."), F.lit(0))).collect()
+    assert 'the description "Tap"?' in got[0][0] and got[1][0].endswith('the command "Tap" (with point)?') and got[2][0].endswith('(with point). This element is used for "Tap"')
 
 
-def test_tasks(spark):
-    tasks.METRICS.clear(), tasks.TASKS.clear(), tasks.GROUPS.clear()
+def test_tasks(spark, monkeypatch):
+    for known in (tasks.METRICS, tasks.TASKS, tasks.GROUPS):
+        monkeypatch.setattr(tasks, next(n for n, v in vars(tasks).items() if v is known), {})
     tasks.metric("hit")(lambda df: F.col("response") == F.col("target"))
     base = tasks.Task("one_test", "Q: {{q}}", "a", metrics={"hit": "mean"}, filters=(("lowercase", {}), ("take_first", {})))
     tasks.register(base, "all"), tasks.register(base.extended(name="two_test", where="k > 1"), "all")
