@@ -74,21 +74,33 @@ def majority_vote() -> Filter:
     return vote
 
 
+def extended(x: Column, ignore_case: bool, ignore_punctuation: bool, ignored: tuple[str, ...]) -> Column:
+    """``x`` without what the extended filters don't look at: patterns, case, punctuation and surrounding blanks."""
+    for pattern in ignored:
+        x = F.regexp_replace(x, pattern, "")
+    x = F.lower(x) if ignore_case else x
+    return F.trim(F.regexp_replace(x, r"\p{P}", "") if ignore_punctuation else x)
+
+
 @register("multi_choice_regex")
-def multi_choice_regex(choices: str = "choices", pattern: str = r"\(([A-Z])\)", fallback: str = "[invalid]") -> Filter:
-    """The letter of the chosen option: a letter in brackets, else the first option whose text occurs, else a letter after a colon.
+def multi_choice_regex(
+    choices: str = "choices", pattern: str = r"\(([A-Z])\)", fallback: str = "[invalid]", group_select: int = 0, ignore_case: bool = True, ignore_punctuation: bool = True, ignored: tuple[str, ...] = ()
+) -> Filter:
+    """The letter of the chosen option: what ``pattern`` finds (match number ``group_select``), else the first option whose text
+    occurs, else a letter after a colon that is one of the options' letters.
 
-    choices: the column with the options' texts. Case, punctuation and surrounding blanks don't count.
+    choices: the column with the options' texts. Case, punctuation and ``ignored`` patterns don't count where it is said so.
     """
-    plain = lambda x: F.trim(F.regexp_replace(F.lower(x), r"[\p{P}]", ""))
+    plain = lambda x: extended(x, ignore_case, ignore_punctuation, tuple(ignored))
+    at = F.lit(group_select + 1 if group_select >= 0 else group_select)
+    bracketed = lambda letter: F.concat(F.lit("("), F.nullif(letter, F.lit("")), F.lit(")"))
 
     def one(x: Column) -> Column:
         options = F.transform(F.col(choices), lambda c, i: F.struct(F.nullif(F.position(plain(c), plain(x)), F.lit(0)).alias("at"), i.alias("i"), plain(c).alias("text")))
         seen = F.array_min(F.filter(options, lambda o: o["at"].isNotNull() & (o["text"] != "")))
-        letter = F.concat(F.lit("("), F.chr(seen["i"] + 65), F.lit(")"))
-        letters = F.nullif(F.regexp_extract(x, r":\s*([A-Z])\b", 1), F.lit(""))
-        bracketed = F.nullif(F.regexp_extract(x, pattern, 1), F.lit(""))
-        return F.coalesce(F.concat(F.lit("("), bracketed, F.lit(")")), letter, F.concat(F.lit("("), letters, F.lit(")")), F.lit(fallback))
+        direct = F.trim(F.try_element_at(F.regexp_extract_all(x, F.lit(pattern), F.lit(1)), at))
+        letters = F.filter(F.regexp_extract_all(x, F.lit(r":\s*([A-Z])\b"), F.lit(1)), lambda v: F.ascii(v) - 65 < F.size(F.col(choices)))
+        return F.coalesce(bracketed(direct), bracketed(F.chr(seen["i"] + 65)), bracketed(F.try_element_at(letters, F.lit(1))), F.lit(fallback))
 
     return lambda r: F.transform(r, one)
 

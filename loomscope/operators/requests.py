@@ -39,6 +39,18 @@ def limited(docs: DataFrame, limit: float) -> DataFrame:
     return docs.join(F.broadcast(total)).where(F.col("doc_id") < F.floor(F.col("_total") * limit)).drop("_total")  # one row
 
 
+def selected(docs: DataFrame, indices: DataFrame) -> DataFrame:
+    """The documents whose ``doc_id`` is in the table ``indices``."""
+    return docs.join(indices.select("doc_id").distinct(), "doc_id", "left_semi")
+
+
+def first(docs: DataFrame, n: int) -> DataFrame:
+    """The first ``n`` documents by ``doc_id``; fewer documents than that are an error."""
+    if docs.where(F.col("doc_id") == n - 1).isEmpty():
+        raise ValueError(f"fewer than {n} documents")
+    return docs.where(F.col("doc_id") < n)
+
+
 def shard(docs: DataFrame, rank: int, of: int) -> DataFrame:
     """Every ``of``-th document from ``rank`` on."""
     return docs.where(F.col("doc_id") % of == rank)
@@ -92,6 +104,14 @@ def misses(requests: DataFrame, cache: DataFrame, key: str) -> DataFrame:
     return requests.join(cache, key, "left_anti")
 
 
+def filled(requests: DataFrame, cache: DataFrame, fresh: DataFrame, key: str, response: str = "response") -> DataFrame:
+    """``requests`` with the response of the cache, or of ``fresh`` for those it misses."""
+    known = cache.select(key, F.col(response).alias("_old")).dropDuplicates([key])
+    new = fresh.select(key, F.col(response).alias("_new")).dropDuplicates([key])
+    out = requests.join(known, key, "left").join(new, key, "left")
+    return out.withColumn(response, F.coalesce("_old", "_new")).drop("_old", "_new")
+
+
 def batches(requests: DataFrame, group: str, length: Column, size: int, key: str) -> DataFrame:
     """``requests`` with ``batch``: those of a group in order of falling length (ties by key), ``size`` to a batch."""
     rows = numbered(requests.withColumn("_order", F.struct((-length).alias("l"), F.col(key))), "_order", group, number="_i")

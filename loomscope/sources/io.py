@@ -4,7 +4,6 @@ from __future__ import annotations
 
 import json
 from datetime import datetime
-from pathlib import Path
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -80,7 +79,11 @@ def write_results(results: DataFrame, path: str) -> None:
     out: dict[str, dict[str, float | None]] = {}
     for r in rows:
         out.setdefault(r["task"], {}).update({f"{r['metric']},{r['filter']}": r["shown"], f"{r['metric']}_stderr,{r['filter']}": r["stderr"]})
-    Path(path).write_text(json.dumps(out, indent=2, sort_keys=True))
+    jvm, sc = results.sparkSession._jvm, results.sparkSession.sparkContext
+    target = jvm.org.apache.hadoop.fs.Path(path)
+    stream = target.getFileSystem(sc._jsc.hadoopConfiguration()).create(target, True)  # any file system that Spark knows
+    stream.write(bytearray(json.dumps(out, indent=2, sort_keys=True), "utf-8"))
+    stream.close()
 
 
 def submission(samples: DataFrame, key: str, value: str, path: str) -> None:

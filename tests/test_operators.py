@@ -25,7 +25,9 @@ def test_filters(spark):
     assert apply(spark, ["k=, v=3"], [("regex", {"pattern": r"k=(\d*)|v=(\d*)", "group_select": 1, "groups": 2})]) == ["3"]
     assert apply(spark, ["a", "z"], [("map", {"mapping": {"a": "1"}, "default": "?"})]) == ["1", "?"]
     got = apply(spark, ["(B)", "it is the red one.", "answer: C", "none"], [("multi_choice_regex", {})], ", choices ARRAY<STRING>", (["Blue", "Red"],))
-    assert got == ["(B)", "(B)", "(C)", "[invalid]"]
+    assert got == ["(B)", "(B)", "[invalid]", "[invalid]"]  # there is no option C
+    got = apply(spark, ["(A) or (B)", "answer: B", "RED!"], [("multi_choice_regex", {"group_select": -1, "ignore_case": False})], ", choices ARRAY<STRING>", (["Blue", "Red"],))
+    assert got == ["(B)", "(B)", "[invalid]"]
 
 
 def test_majority_by_key_breaks_ties_by_order(spark):
@@ -210,3 +212,53 @@ def test_stream_equals_batch(spark, tmp_path):
     got = {(r.start, r.n, r["mean"]) for r in spark.table("scores_out").collect()}
     want = {(r.start, r.n, r["mean"]) for r in scores.windowed_scores(df, ["model"], "hit", "logged_at").collect()}
     assert got <= want and len(got) > len(want) / 2  # the last windows wait for the watermark
+
+
+def test_selection_and_cache(spark):
+    df = spark.range(10).withColumnRenamed("id", "doc_id")
+    assert requests.selected(df, df.where("doc_id IN (2, 5)")).count() == 2 and requests.first(df, 4).count() == 4
+    with pytest.raises(ValueError):
+        requests.first(df, 11)
+    cache, fresh = (spark.createDataFrame(rows, "doc_id BIGINT, response STRING") for rows in ([(1, "a"), (1, "a")], [(1, "z"), (2, "b")]))
+    got = {r.doc_id: r.response for r in requests.filled(df.limit(4), cache, fresh, "doc_id").collect()}
+    assert got == {0: None, 1: "a", 2: "b", 3: None}
+
+
+def test_few_shot_draws_for_each_document(spark):
+    df = spark.createDataFrame([(i, "g" if i < 40 else "h", f"t{i}") for i in range(42)], "k INT, g STRING, t STRING")
+    got = {r.k: r.context.split("|") for r in requests.few_shot(df, df, 2, "g", "k", F.col("t"), description="D", joined="|", target=F.lit("yes")).collect()}
+    assert all(c[0] == "D" and c[-1] == f"t{k}" and f"t{k} yes" not in c for k, c in got.items())
+    assert all(len(c) == (4 if k < 40 else 3) for k, c in got.items())
+    assert len({tuple(c[1:3]) for k, c in got.items() if k < 40}) > 10
+
+
+def test_reports(spark):
+    members = spark.createDataFrame([(None, "b"), (None, "a"), ("a", "y"), ("a", "x"), ("b", "x")], "parent STRING, name STRING")
+    rows = report.hierarchy(members).orderBy("position").collect()
+    assert [r.shown for r in rows] == ["a", " - x", " - y", "b", " - x"]
+    with pytest.raises(ValueError):
+        report.hierarchy(members.union(spark.createDataFrame([("x", "a")], members.schema)), 5)
+    text = spark.createDataFrame([("t", "one: 1\ntwo: 2 / 3")], "task STRING, v STRING")
+    assert [tuple(r) for r in report.lines_of(text, ["task"], "v").collect()] == [("t", "one", "1"), ("t", "two", "2 / 3")]
+
+
+def test_results_are_written(spark, tmp_path):
+    import json
+
+    df = spark.createDataFrame([("t", "acc", "none", 50.0, None)], "task STRING, metric STRING, filter STRING, shown DOUBLE, stderr DOUBLE")
+    io.write_results(df, str(tmp_path / "r.json"))
+    assert json.loads((tmp_path / "r.json").read_text()) == {"t": {"acc,none": 50.0, "acc_stderr,none": None}}
+
+
+def test_tables_are_released(spark):
+    from loomscope import session
+
+    t = session.written(spark.range(3), "some")
+    assert t.count() == 3 and session.release(spark) >= 1 and session.release(spark) == 0
+
+
+def test_words_as_translation_scores_split_them(spark):
+    from loomscope.functions import text
+
+    got = spark.range(1).select(text.tokenised_13a(F.lit('Hello, (world) 3.5 &quot;x&quot; end.'))).first()[0]
+    assert got == 'Hello , ( world ) 3.5 " x " end .'
