@@ -10,7 +10,7 @@ from loomscope.functions import parse as P
 from loomscope.operators import aggregates as A
 from loomscope.operators import filters, report
 from loomscope.queries.registry import query
-from loomscope.session import table
+from loomscope.session import table, written
 
 #: Scale of the coordinates of each model; other models have the default.
 SCALES, DEFAULT_SCALE = {"grounder_a": 100, "grounder_b": 1000}, 100
@@ -167,6 +167,7 @@ def platform_slices(spark, d):
     platform = F.when(source.rlike("ios|android"), "mobile").when(source.rlike("macos|windows"), "desktop").otherwise("web")
     kind = F.when(F.col("elem_text").isNotNull(), "text").otherwise("icon")
     s = scored(spark, d, "source", "elem_text").groupBy(platform.alias("platform"), kind.alias("kind")).agg(F.sum("hit").alias("hits"), F.count("*").alias("n"))
+    s = written(s, "slices")  # six rows
     fixed = spark.createDataFrame(SLICES, "platform STRING, kind STRING")
     n = F.coalesce("n", F.lit(0))
     each = fixed.join(s, ["platform", "kind"], "left").select("platform", "kind", F.coalesce(F.round(F.col("hits") / F.col("n"), 6), F.lit(0.0)).alias("acc"), n.alias("n"))
@@ -177,7 +178,7 @@ def platform_slices(spark, d):
 @query(f"WITH {S_SQL} SELECT device, elem_role, round(avg(hit), 6) acc, count(*) n, round(median(dist), 6) median_dist FROM s GROUP BY device, elem_role")
 def elem_type_acc(spark, d):
     """Accuracy and median distance by device and role."""
-    s = scored(spark, d, "device", "elem_role")
+    s = written(scored(spark, d, "device", "elem_role").select("device", "elem_role", "hit", "dist"), "scored")
     one = s.groupBy("device", "elem_role").agg(F.round(F.avg("hit"), 6).alias("acc"), F.count("*").alias("n"))
     return with_medians(one, s, ["device", "elem_role"])
 
@@ -223,7 +224,7 @@ def model_compare(spark, d):
 @query(f"WITH {S_SQL} SELECT model, round(avg(hit), 6) mean, round(stddev_samp(hit) / sqrt(count(*)), 6) stderr, round(stddev_pop(hit), 6) pop, round(median(dist), 6) median_dist, count(*) n FROM s GROUP BY model")
 def mean_stderr_by_model(spark, d):
     """Mean, standard error and deviation of the hits, true median of the distances."""
-    s = scored(spark, d)
+    s = written(scored(spark, d).select("model", "hit", "dist"), "scored")
     one = s.groupBy("model").agg(
         F.round(F.avg("hit"), 6).alias("mean"), F.round(A.mean_stderr(F.col("hit")), 6).alias("stderr"), F.round(F.stddev_pop("hit"), 6).alias("pop"), F.count("*").alias("n"),
     )

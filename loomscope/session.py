@@ -54,6 +54,12 @@ def written(df: DataFrame, name: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+def spread(df: DataFrame) -> DataFrame:
+    """``df`` in at least as many partitions as there are cores: a small table in few files before costly work on each row."""
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    return df.repartition(cores) if df.rdd.getNumPartitions() < cores else df
+
+
 def release(spark: SparkSession) -> int:
     """Deletes the intermediate tables written so far and gives their number; call it when results that were built on them are stored."""
     paths = [_WRITTEN.pop() for _ in range(len(_WRITTEN))]
