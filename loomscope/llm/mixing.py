@@ -8,7 +8,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from loomscope.llm.tokens import TOKENIZER, token_count
-from loomscope.session import table, written
+from loomscope.session import spread, table, written
 
 #: Rows of the plan table that the driver handles; the table is small by nature and this is checked.
 MOST_TARGETS = 10_000
@@ -87,7 +87,7 @@ def mixed(docs: DataFrame, targets: DataFrame, seed: int = 5, tokenizer: str = T
     ``max_repeats`` of 0 gets nothing and the others keep their proportions. A repeated plan row counts once with
     the sum of the shares and the least cap. A repeated ``doc_id`` is one document for each row. Other columns are ignored.
     """
-    sized = docs.where("text IS NOT NULL AND source IS NOT NULL").select("doc_id", "source", token_count("text", tokenizer).alias("n_tokens"))
+    sized = spread(docs.select("doc_id", "source", "text")).where("text IS NOT NULL AND source IS NOT NULL").select("doc_id", "source", token_count("text", tokenizer).alias("n_tokens"))
     sized = written(sized.where("n_tokens > 0"), "sizes")
     plan = mix_rates(written(sized.groupBy("source", "n_tokens").agg(F.count("*").alias("n")), "histogram"), targets)
     plan = written(plan.where("wanted > 0"), "plan")

@@ -12,7 +12,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from loomscope.llm.tokens import TOKENIZER, token_place
-from loomscope.session import table, written
+from loomscope.session import spread, table, written
 
 #: Items that are packed at once; containers with this much unused space stay open for the next ones.
 WINDOW, OPEN_SPACE = 8192, 0.02
@@ -63,7 +63,7 @@ def packed(docs: DataFrame, limits: DataFrame, tokenizer: str = TOKENIZER) -> Da
     Null texts are left out; an empty text is an item of 0 tokens. Plans without a capacity above 0 give nothing.
     A repeated ``doc_id`` is placed as often as it comes. Other columns are ignored; empty tables give no rows.
     """
-    placed = docs.where("text IS NOT NULL").select("doc_id", token_place("text", tokenizer).alias("p")).select("doc_id", "p.*")
+    placed = spread(docs.select("doc_id", "text")).where("text IS NOT NULL").select("doc_id", token_place("text", tokenizer).alias("p")).select("doc_id", "p.*")
     placed = written(placed, "places")
     plans = limits.where("capacity_tokens > 0").select("plan_name", "capacity_tokens").distinct().limit(MOST_PLANS + 1).collect()
     if len(plans) > MOST_PLANS:

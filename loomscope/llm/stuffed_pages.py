@@ -11,7 +11,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from loomscope.session import table, written
+from loomscope.session import spread, table, written
 
 WORD = re.compile(r"[^\W_]+")
 #: A segment is a sentence or a line.
@@ -183,7 +183,7 @@ def stuffed_pages(docs: DataFrame) -> DataFrame:
             for start in range(0, len(batch), 1000):
                 yield page_statistics(batch.iloc[start : start + 1000], sent.value)
 
-    pages = written(docs.mapInPandas(run, PAGE), "pages")
+    pages = written(spread(docs).mapInPandas(run, PAGE), "pages")
     named = pages.withColumn("lang", F.coalesce("lang", F.lit("")))
     one = named.select("lang", "profiled", F.explode("segments").alias("s")).select("lang", "profiled", "s.*").where("words > 0")
     usual = one.where("profiled AND function > 0 AND NOT repeats").groupBy("lang").agg((F.sum("function") / F.sum("words")).alias("usual_share"))
