@@ -103,7 +103,12 @@ def test_words(spark):
 
 def test_actions(spark):
     got = spark.range(12).select(X.action_of_id(F.col("id"))).collect()
-    assert got[0][0] == ("swipe", "up") and got[8][0] == ("swipe", "right") and got[4][0] == ("click", None) and got[2][0] == (None, None)
+    of = lambda i: (got[i][0].action_type, got[i][0].direction, got[i][0].goal_status)
+    assert of(0) == ("swipe", "up", None) and of(8) == ("swipe", "right", None) and of(4) == ("click", None, None) and of(2) == (None, None, None)
+    assert of(10) == ("status", None, "successful") and of(11) == ("status", None, "infeasible")
+    status = lambda k: X.action_of_id(F.lit(k))
+    same = spark.range(1).select(*(m for k in (10, 11) for m in X.formats_match(status(10), status(k), F.array(F.array(*[F.lit(0.0)] * 4))))).first()
+    assert tuple(same) == (True, True, True, False)
     assert spark.range(1).select(X.object_type(F.lit(1)), X.object_type(F.lit(99))).first() == ("BUTTON", None)
 
 
