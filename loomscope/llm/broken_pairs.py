@@ -270,7 +270,7 @@ def train(pairs: DataFrame) -> tuple[np.ndarray, DataFrame, float]:
 
     counts = pairs.select("response").where("response IS NOT NULL").mapInPandas(run, "kind INT, at BIGINT, n BIGINT, ended BIGINT")
     counts = counts.groupBy("kind", "at").agg(F.sum("n").alias("n"), F.sum("ended").alias("ended"))
-    counts = written(counts.where("kind >= 0 OR ended > 0 OR (kind = -1 AND n > 1)"), "counts")
+    counts = written(counts, "counts")
     of = counts.where("kind >= 0").groupBy("at").agg(*(F.sum(F.when(F.col("kind") == k, F.col("n")).otherwise(0)).alias(f"n{k}") for k in (0, 1)))
     of = of.where((F.col("n0") + F.col("n1") >= SEEN) | (F.col("at") == REFUSAL_GRAMS)).toPandas()
     grams = np.zeros((2, REFUSAL_GRAMS + 1))
