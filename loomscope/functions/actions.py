@@ -75,6 +75,43 @@ def action_of_fields(fields: Column, scale: float) -> Column:
     return _action(fields["action_type"], target, fields["direction"], F.lower(fields["text"]), fields["goal_status"])
 
 
+#: What :func:`element_action` gives; ``box`` is a box or a point.
+ELEMENT_ACTION = "struct<action_type:string,typed_text:string,box:array<double>>"
+
+
+def element_action(text: Column, dialect: str) -> Column:
+    """The click, text or swipe that a response names, as :data:`ELEMENT_ACTION` with coordinates in parts of one.
+
+    Dialects: ``named`` (JSON whose ``action_type`` holds the action's name, with ``bbox`` and ``typed_text``), ``numbered`` (nothing but a literal whose
+    ``action_type`` is a number, with ``click_point``, a point or a box, and ``typed_text``) and ``grounded`` (a sentence behind
+    "Grounded Operation:" with double brackets in thousandths). Whatever can't be read is a swipe, which is at the centre.
+    """
+    whole, nothing = F.array(*[F.lit(0.5)] * 4), F.lit("")
+    action = lambda kind, typed, box: F.struct(F.lit(kind).alias("action_type"), typed.alias("typed_text"), box.cast("array<double>").alias("box")).cast(ELEMENT_ACTION)
+    swipe = action("swipe", nothing, whole)
+    if dialect == "named":
+        read = F.from_json(F.regexp_extract(text, r"(?s)(\{.*?\})", 1), "action_type STRING, typed_text STRING, bbox ARRAY<DOUBLE>")
+        kind, typed, box = read["action_type"], read["typed_text"], read["bbox"]
+        found = F.when(kind.contains("click"), F.when(box.isNotNull(), action("click", nothing, box)))
+        found = found.when(kind.contains("type"), F.when(typed.isNotNull() & box.isNotNull(), action("type", typed, box)))
+    elif dialect == "numbered":
+        listed = F.regexp_replace(F.when(text.rlike(r"(?s)^\s*\{.*\}\s*$"), text), r"\(([\d\s.,]*)\)", "[$1]")
+        read = F.from_json(listed, "action_type INT, typed_text STRING, click_point ARRAY<DOUBLE>")
+        kind, typed, point = read["action_type"], read["typed_text"], read["click_point"]
+        found = F.when(kind == ACTION_IDS["click"], F.when(F.size(point).isin(2, 4), action("click", nothing, point)))
+        found = found.when(kind == ACTION_IDS["type"], F.when(typed.isNotNull(), action("type", typed, F.coalesce(point, F.array(F.lit(0.5), F.lit(0.5))))))
+    elif dialect == "grounded":
+        said = F.element_at(F.split(text, "Grounded Operation:", -1), -1)
+        numbers = lambda n: F.transform(F.split(F.nullif(F.regexp_extract(said, r"\[\[(" + ",".join([r"\d+"] * n) + r")\]\]", 1), F.lit("")), ","), lambda x: x.cast("double") / 1000)
+        box = F.coalesce(numbers(4), numbers(2))
+        typed = F.split_part(F.nullif(F.split_part(said, F.lit("typed_text:"), F.lit(2)), F.lit("")), F.lit(","), F.lit(1))
+        found = F.when(said.contains("tap"), F.when(box.isNotNull(), action("click", nothing, box)))
+        found = found.when(said.contains("type"), F.when(typed.isNotNull(), action("type", typed, whole)))
+    else:
+        raise ValueError(f"unknown dialect {dialect}")
+    return F.coalesce(found, swipe)
+
+
 #: Accuracies by the kind of the labelled action: which actions each is over.
 BY_KIND = {
     "click_acc": ("click", None), "text_acc": ("input_text", None), "swipe_acc": ("swipe", None), "enter_acc": ("enter", None), "home_acc": ("navigate_home", None),

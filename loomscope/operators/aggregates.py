@@ -2,12 +2,15 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+import math
+from collections.abc import Callable, Iterator
+from dataclasses import dataclass
 
 import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from loomscope.functions.text import ngram_counts
 from loomscope.operators.requests import numbered
@@ -41,9 +44,10 @@ def f1(gold: Column, predicted: Column) -> Column:
     return F.coalesce(F.try_divide(2.0 * hit, 2 * hit + extra + missed), F.lit(0.0))
 
 
-def matthews(pairs: DataFrame, keys: list[str], gold: str, predicted: str) -> DataFrame:
-    """Multiclass Matthews correlation ``mcc`` of each key, from the counts of class pairs."""
-    cells = pairs.groupBy(*keys, gold, predicted).agg(F.count("*").cast("double").alias("n"))
+def matthews(pairs: DataFrame, keys: list[str], gold: str, predicted: str, times: Column | None = None) -> DataFrame:
+    """Multiclass Matthews correlation ``mcc`` of each key, from the counts of class pairs; a row counts ``times`` times."""
+    n = F.count("*") if times is None else F.sum(times)
+    cells = pairs.groupBy(*keys, gold, predicted).agg(n.cast("double").alias("n"))
     rows = cells.groupBy(*keys, F.col(gold).alias("c")).agg(F.sum("n").alias("t"), F.sum(F.when(F.col(gold) == F.col(predicted), F.col("n")).otherwise(0)).alias("hit"))
     cols = cells.groupBy(*keys, F.col(predicted).alias("c")).agg(F.sum("n").alias("p"))
     both = rows.join(cols, [*keys, "c"], "full").na.fill(0.0, ["t", "hit", "p"])
@@ -119,22 +123,77 @@ def pooled(results: Column) -> Column:
     return F.aggregate(F.array_sort(results), start, merge, lambda a: F.struct(a["m"].alias("mean"), F.sqrt(a["v"]).alias("stderr"), a["n"].alias("n")))
 
 
-def corpus_bleu(pairs: DataFrame, keys: list[str], reference: Column, predicted: Column, most: int = 4) -> DataFrame:
-    """Corpus BLEU (0-100) of texts of words with blanks between: clipped n-gram counts summed over all rows, geometric mean, brevity penalty.
-
-    An order without a match counts as a half, a quarter and so on of one match. n-grams are counted within their row; only counts are shuffled.
-    """
-    one = pairs.select(*keys, ngram_counts(reference, predicted, most).alias("x"))
-    at = lambda c, n: F.coalesce(F.sum(F.col(f"x.{c}")[n]), F.lit(0)).alias(f"{c}{n + 1}")
-    joined = one.groupBy(*keys).agg(*(at(c, n) for c in ("hits", "r", "p") for n in range(most)))
+def _bleu(most: int = 4) -> Column:
     logs, half = F.lit(0.0), F.lit(1.0)
     for n in range(1, most + 1):
         hit, of = F.col(f"hits{n}"), F.col(f"p{n}")
         half = F.when(hit == 0, half / 2).otherwise(half)
         logs = logs + F.ln(F.when(hit == 0, half).otherwise(hit) / of) / most
     penalty = F.when(F.col("p1") >= F.col("r1"), 1.0).otherwise(F.exp(1 - F.col("r1") / F.col("p1")))
-    bleu = F.when((F.col("p1") > 0) & (F.col(f"p{most}") > 0), 100 * penalty * F.exp(logs)).otherwise(0.0)
-    return joined.select(*keys, bleu.alias("bleu"))
+    return F.when((F.col("p1") > 0) & (F.col(f"p{most}") > 0), 100 * penalty * F.exp(logs)).otherwise(0.0)
+
+
+def _chrf(orders: int = 6, beta: float = 2.0) -> Column:
+    occurs = [(F.col(f"r{n}") > 0) & (F.col(f"p{n}") > 0) for n in range(1, orders + 1)]
+    mean = lambda c: F.try_divide(sum((F.when(o, F.col(f"hits{n}") / F.col(f"{c}{n}")).otherwise(0.0) for n, o in enumerate(occurs, 1)), F.lit(0.0)), sum((o.cast("int") for o in occurs), F.lit(0)))
+    precision, recall = mean("p"), mean("r")
+    return 100 * F.coalesce(F.try_divide((1 + beta**2) * precision * recall, beta**2 * precision + recall), F.lit(0.0))
+
+
+def _row_grams(pairs: DataFrame, kept: list[str], reference: Column, predicted: Column, orders: int, characters: bool = False) -> DataFrame:
+    """``kept`` and, for each order, the n-grams of a row: ``hits1, r1, p1`` and so on."""
+    one = pairs.select(*kept, ngram_counts(reference, predicted, orders, characters).alias("x"))
+    return one.select(*kept, *(F.col(f"x.{c}")[n].alias(f"{c}{n + 1}") for c in ("hits", "r", "p") for n in range(orders)))
+
+
+def _row_edits(pairs: DataFrame, kept: list[str], reference: Column, predicted: Column) -> DataFrame:
+    one = pairs.select(*kept, F.pandas_udf(edit_rate, "edits INT, ref_words INT")(reference, predicted).alias("x"))
+    return one.select(*kept, "x.edits", "x.ref_words")
+
+
+@dataclass(frozen=True)
+class SummedMetric:
+    """A metric that is a function of sums over all rows: ``rows(pairs, kept, gold, predicted)`` gives ``kept`` and what each row
+    adds to the sums; ``value`` is the metric by the sums' names."""
+
+    rows: Callable[[DataFrame, list[str], Column, Column], DataFrame]
+    value: Callable[[], Column]
+
+
+def _row_value(transform: Callable[[Column], Column]) -> Callable[[DataFrame, list[str], Column, Column], DataFrame]:
+    return lambda pairs, kept, gold, predicted: pairs.where(predicted.isNotNull()).select(*kept, transform(predicted.cast("double")).alias("s"), F.lit(1.0).alias("w"))
+
+
+def _row_hits(pairs: DataFrame, kept: list[str], gold: Column, predicted: Column) -> DataFrame:
+    one = lambda c: F.coalesce(c, F.lit(False)).cast("int")
+    return pairs.select(*kept, one((gold == 1) & (predicted == 1)).alias("hit"), one((gold != 1) & (predicted == 1)).alias("extra"), one((gold == 1) & (predicted != 1)).alias("missed"))
+
+
+#: Metrics whose standard errors come from resamples of their sums; ``mean`` and ``perplexity`` are of the predicted column alone.
+SUMMED: dict[str, SummedMetric] = {
+    "mean": SummedMetric(_row_value(lambda x: x), lambda: F.try_divide("s", "w")),
+    "perplexity": SummedMetric(_row_value(F.exp), lambda: F.try_divide("s", "w")),
+    "f1": SummedMetric(_row_hits, lambda: F.coalesce(F.try_divide(2.0 * F.col("hit"), 2 * F.col("hit") + F.col("extra") + F.col("missed")), F.lit(0.0))),
+    "bleu": SummedMetric(lambda *x: _row_grams(*x, 4), _bleu),
+    "chrf": SummedMetric(lambda *x: _row_grams(*x, 6, True), _chrf),
+    "ter": SummedMetric(_row_edits, lambda: F.coalesce(F.try_divide("edits", "ref_words"), F.lit(0.0))),
+}
+
+
+def summed(metric: str, pairs: DataFrame, keys: list[str], gold: Column, predicted: Column) -> DataFrame:
+    """``keys`` and the metric of :data:`SUMMED` under its name; only what rows add to the sums is shuffled."""
+    how = SUMMED[metric]
+    rows = how.rows(pairs, keys, gold, predicted)
+    sums = rows.groupBy(*keys).agg(*(F.coalesce(F.sum(c), F.lit(0)).alias(c) for c in rows.columns if c not in keys))
+    return sums.select(*keys, how.value().alias(metric))
+
+
+def corpus_bleu(pairs: DataFrame, keys: list[str], reference: Column, predicted: Column) -> DataFrame:
+    """Corpus BLEU (0-100) of texts of words with blanks between: clipped n-gram counts summed over all rows, geometric mean, brevity penalty.
+
+    An order without a match counts as a half, a quarter and so on of one match. n-grams are counted within their row; only counts are shuffled.
+    """
+    return summed("bleu", pairs, keys, reference, predicted)
 
 
 def edit_rate(references: pd.Series, predicted: pd.Series) -> pd.DataFrame:
@@ -173,9 +232,71 @@ def edit_rate(references: pd.Series, predicted: pd.Series) -> pd.DataFrame:
 
 def corpus_ter(pairs: DataFrame, keys: list[str], reference: Column, predicted: Column) -> DataFrame:
     """Translation edit rate: edits over reference words, summed over all rows."""
-    rate = F.pandas_udf(edit_rate, "edits INT, ref_words INT")
-    one = pairs.select(*keys, rate(reference, predicted).alias("x"))
-    return one.groupBy(*keys).agg(F.coalesce(F.try_divide(F.sum("x.edits"), F.sum("x.ref_words")), F.lit(0.0)).alias("ter"))
+    return summed("ter", pairs, keys, reference, predicted)
+
+
+#: Rows that are drawn for all resamples at once.
+DRAWN = 2000
+
+
+def poisson_weights(keys: np.ndarray, iterations: int, seed: int = 0) -> np.ndarray:
+    """Weights of rows (64-bit hashes of their keys) in resamples: a row a key, each weight from a Poisson distribution of mean 1.
+
+    The weight is a function of key, resample and seed alone, so that it is the same whatever the partitions.
+    """
+    with np.errstate(over="ignore"):
+        z = keys.view(np.uint64)[:, None] ^ (np.arange(1, iterations + 1, dtype=np.uint64) * np.uint64(0xD1342543DE82EF95) + np.uint64(seed))[None, :]
+        for shift, factor in ((30, 0xBF58476D1CE4E5B9), (27, 0x94D049BB133111EB)):
+            z = (z ^ (z >> np.uint64(shift))) * np.uint64(factor)
+        z ^= z >> np.uint64(31)
+    uniform = (z >> np.uint64(11)).astype(np.float64) / (1 << 53)
+    below = np.cumsum([math.exp(-1) / math.factorial(k) for k in range(18)])
+    return np.searchsorted(below, uniform, "right").astype(np.float64)
+
+
+def bootstrap_summed_stderr(metric: str, pairs: DataFrame, keys: list[str], row: str, gold: Column, predicted: Column, iterations: int = 100, seed: int = 0) -> DataFrame:
+    """``keys, stderr, resamples``: the standard error of a metric of :data:`SUMMED` over resamples of the rows.
+
+    Each row has a Poisson weight for each resample (what resampling with replacement tends to), by its unique key ``row``. Tasks add up
+    the weighted sums of a batch, one line a key and resample, so that a hot key is summed before it is shuffled. Of the
+    ``keys`` there are few by nature; nulls in them are a key.
+    """
+    how = SUMMED[metric]
+    rows = how.rows(pairs.withColumn("_row", F.xxhash64(row)).withColumn("_key", F.struct(*keys) if keys else F.struct(F.lit(0).alias("one"))), ["_key", "_row"], gold, predicted)
+    names = [c for c in rows.columns if c not in ("_key", "_row")]
+    flat = rows.select(F.to_json("_key").alias("_of"), "_row", *(F.col(c).cast("double") for c in names))
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for whole in batches:
+            for start in range(0, len(whole), DRAWN):
+                batch = whole.iloc[start : start + DRAWN]
+                weights = poisson_weights(batch["_row"].to_numpy(np.int64), iterations, seed)
+                values = batch[names].to_numpy(np.float64)
+                for of, at in batch.groupby("_of").indices.items():
+                    yield pd.DataFrame(weights[at].T @ values[at], columns=names).assign(_of=of, resample=np.arange(iterations))[["_of", "resample", *names]]
+
+    drawn = flat.mapInPandas(run, "_of STRING, resample INT, " + ", ".join(f"{c} DOUBLE" for c in names))
+    sums = drawn.groupBy("_of", "resample").agg(*(F.sum(c).alias(c) for c in names))
+    out = sums.select("_of", how.value().alias("stat")).groupBy("_of").agg(F.stddev_samp("stat").alias("stderr"), F.count("stat").alias("resamples"))
+    schema = rows.schema["_key"].dataType
+    return out.withColumn("_key", F.from_json("_of", schema)).select(*(F.col("_key")[k].alias(k) for k in keys), "stderr", "resamples")
+
+
+def bootstrap_matthews_stderr(pairs: DataFrame, keys: list[str], gold: str, predicted: str, iterations: int = 100, seed: int = 0) -> DataFrame:
+    """``keys, stderr, resamples``: the standard error of :func:`matthews`; cells of class pairs are resampled by their counts."""
+    cells = pairs.groupBy(*keys, gold, predicted).agg(F.count("*").alias("_n")).withColumn("_cell", F.xxhash64(*keys, gold, predicted))
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for batch in batches:
+            for i in range(len(batch)):
+                one = batch.iloc[[i] * iterations]
+                draw = np.random.default_rng([seed, int(np.int64(batch["_cell"].iloc[i]).view(np.uint64))]).poisson(batch["_n"].iloc[i], iterations)
+                yield one.assign(_resample=np.arange(iterations, dtype=np.int32), _n=draw.astype(np.int64))
+
+    schema = T.StructType([*cells.schema.fields, T.StructField("_resample", T.IntegerType())])
+    drawn = cells.mapInPandas(run, schema).where("_n > 0")
+    stats = matthews(drawn, [*keys, "_resample"], gold, predicted, F.col("_n"))
+    return stats.groupBy(*keys).agg(F.stddev_samp("mcc").alias("stderr"), F.count("mcc").alias("resamples"))
 
 
 def bootstrap_mean_stderr(values: DataFrame, value: str, transform=lambda mean: mean, iterations: int = 1000, seed: int = 0) -> DataFrame:

@@ -5,7 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from loomscope.functions.text import ngram_counts, sided_ngrams
+from loomscope.functions.text import sided_ngrams
+from loomscope.operators.aggregates import summed
 
 
 def _gram_rows(pairs: DataFrame, keys: list[str], sides: dict[str, Column], orders: range) -> DataFrame:
@@ -15,19 +16,12 @@ def _gram_rows(pairs: DataFrame, keys: list[str], sides: dict[str, Column], orde
     return rows.groupBy(*keys, "n", "g").agg(*(F.count_if(F.col("side") == s).alias(s) for s in sides))
 
 
-def corpus_chrf(pairs: DataFrame, keys: list[str], reference: Column, predicted: Column, orders: int = 6, beta: float = 2.0) -> DataFrame:
+def corpus_chrf(pairs: DataFrame, keys: list[str], reference: Column, predicted: Column) -> DataFrame:
     """chrF (0-100) of each key: precision and recall of character n-grams without blanks, each averaged over the orders that occur, as one F-beta.
 
     n-grams are counted within their row; only counts are shuffled.
     """
-    one = pairs.select(*keys, ngram_counts(reference, predicted, orders, characters=True).alias("x"))
-    at = lambda c, n: F.sum(F.col(f"x.{c}")[n]).alias(f"{c}{n}")
-    sums = one.groupBy(*keys).agg(*(at(c, n) for c in ("hits", "r", "p") for n in range(orders)))
-    occurs = [(F.col(f"r{n}") > 0) & (F.col(f"p{n}") > 0) for n in range(orders)]
-    mean = lambda c: F.try_divide(sum((F.when(o, F.col(f"hits{n}") / F.col(f"{c}{n}")).otherwise(0.0) for n, o in enumerate(occurs)), F.lit(0.0)), sum((o.cast("int") for o in occurs), F.lit(0)))
-    precision, recall = mean("p"), mean("r")
-    score = F.coalesce(F.try_divide((1 + beta**2) * precision * recall, beta**2 * precision + recall), F.lit(0.0))
-    return sums.select(*keys, (100 * score).alias("chrf"))
+    return summed("chrf", pairs, keys, reference, predicted)
 
 
 def cider(pairs: DataFrame, row: str, reference: Column, predicted: Column, orders: int = 4, sigma: float = 6.0) -> DataFrame:

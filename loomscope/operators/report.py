@@ -18,9 +18,9 @@ def results(values: DataFrame) -> DataFrame:
 
 
 def grouped(results_: DataFrame, groups: DataFrame) -> DataFrame:
-    """Size-weighted mean of each metric for the groups of ``groups`` (``group, task``); a task may be in several."""
+    """Size-weighted mean of each metric and filter for the groups of ``groups`` (``group, task``); a task may be in several."""
     both = results_.join(groups, "task")
-    return both.groupBy("group", "metric").agg((F.sum(F.col("shown") * F.col("n")) / F.sum("n")).alias("shown"), F.sum("n").alias("n"))
+    return both.groupBy("group", "metric", "filter").agg((F.sum(F.col("shown") * F.col("n")) / F.sum("n")).alias("shown"), F.sum("n").alias("n"))
 
 
 def result_rows(results_: DataFrame, versions: DataFrame) -> DataFrame:

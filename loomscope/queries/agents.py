@@ -76,6 +76,24 @@ def response_actions(spark, d):
     return a.select("response_id", "a.action_type", F.round(F.col("a.target")[0], 6).alias("y"), F.round(F.col("a.target")[1], 6).alias("x"))
 
 
+@query(r"""WITH e AS (SELECT DISTINCT response_id, coalesce(response, '') r FROM eval_responses),
+x AS (SELECT response_id, r, regexp_extract(r, '"action_type": "([a-z_]*)"', 1) k, string_split(regexp_extract(r, '"target": \(([0-9., ]*)\)', 1), ',') b, string_split(nullif(regexp_extract(r, '\[\[(\d+,\d+(,\d+,\d+)?)\]\]', 1), ''), ',') g FROM e),
+y AS (SELECT *, CASE WHEN len(g) IN (2, 4) AND r NOT LIKE '%tap%' AND r NOT LIKE '%Grounded%' THEN list_transform(g, lambda v: CAST(v AS DOUBLE) / 1000) END q FROM x)
+SELECT response_id, CASE WHEN contains(k, 'click') AND len(b) = 2 THEN 'click' ELSE 'swipe' END named, CASE WHEN r LIKE '{%}' AND contains(k, 'click') AND len(b) = 2 THEN 'click' ELSE 'swipe' END numbered,
+CASE WHEN q IS NOT NULL THEN 'click' ELSE 'swipe' END grounded, CASE WHEN q IS NOT NULL THEN round(list_avg(q), 6) ELSE 0.5 END middle FROM y""")
+def element_actions(spark, d):
+    """Responses read as actions on elements in all dialects."""
+    e = table(spark, d, "eval_responses").select("response_id", "response").distinct()
+    r = F.coalesce("response", F.lit(""))
+    named = F.replace(F.regexp_replace(r, r"\(([\d., ]*)\)", "[$1]"), F.lit('"target"'), F.lit('"bbox"'))
+    numbered = F.replace(F.replace(r, F.lit('"click"'), F.lit("4")), F.lit('"target"'), F.lit('"click_point"'))
+    # a response's double brackets as the operation of a sentence
+    grounded = F.concat(F.lit("Plan: none. Grounded Operation:"), F.when(r.contains("[[") & ~r.contains("tap") & ~r.contains("Grounded"), F.concat(F.lit("tap "), r)).otherwise(""))
+    e = e.select("response_id", *(X.element_action(c, k).alias(k) for c, k in ((named, "named"), (numbered, "numbered"), (grounded, "grounded"))))
+    middle = F.aggregate("grounded.box", F.lit(0.0), lambda a, x: a + x) / F.size("grounded.box")
+    return e.select("response_id", *(F.col(f"{k}.action_type").alias(k) for k in ("named", "numbered", "grounded")), F.round(middle, 6).alias("middle"))
+
+
 MODELS = ("GPT-4o", "llava-1.6", "llava-v1.5", "llama3", "uipro", "MiniCPM", "deepseek-vl", "cogagent", "qwen2-vl", "slime", "monkey", "seeclick", "paligemma", "other")
 _AX = "Output the normalized X and Y coordinates, ranging from 0.00 to 1.00. Note that the X-axis runs horizontally from left (0.00) to right (1.00), and the Y-axis runs vertically from top (0.00) to bottom (1.00). Your should carefully view the image before finally predicting the required"
 _PT = f"""'In this UI screenshot, what is the position of the element corresponding to the description "' || f || '"? {_AX} position in the format [X, Y] (two decimal places). Your answer MUST only include the coordiniates withou any explanations.'"""
@@ -194,6 +212,21 @@ def parsed_arguments(spark, d):
     return r.select("rec_id", F.element_at(parts, 2).alias("second"), known["k"]["value"].alias("v"), known["k"]["kind"].alias("kind"))
 
 
+TIDY = r"lower(regexp_replace({}, '[!-/:-@\[-`{{-~]', '', 'g'))"
+
+
+@query(rf"""WITH r AS (SELECT DISTINCT rec_id, elem_text, elem_role FROM func_records WHERE elem_text IS NOT NULL AND elem_role IS NOT NULL),
+x AS (SELECT 'none' f, {TIDY.format("elem_text")} = {TIDY.format("elem_role")} ok FROM r UNION ALL SELECT 'last_word', {TIDY.format("coalesce(regexp_extract_all(elem_text, '[A-Za-z]+')[-1], '[invalid]')")} = {TIDY.format("elem_role")} FROM r)
+SELECT 'role_named' task, 'exact' metric, f "filter", round(avg(ok::INT), 6) shown, round(stddev_samp(ok::INT) / sqrt(count(*)), 6) stderr, count(*) n FROM x GROUP BY f""")
+def task_pipelines(spark, d):
+    """A task whose answers are scored under two filter pipelines: whether a caption, or its last word, is the element's role."""
+    r = table(spark, d, "func_records").select("rec_id", "elem_text", "elem_role").distinct().where("elem_text IS NOT NULL AND elem_role IS NOT NULL")
+    last = (("regex", {"pattern": "[A-Za-z]+", "group_select": -1}), ("take_first", {}))
+    task = tasks.Task("role_named", "{{elem_text}}", "elem_role", metrics={"exact": "mean"}, pipelines={"none": (("take_first", {}),), "last_word": last})
+    out = tasks.evaluate(task, tasks.requests_of(task, r.withColumn("resps", F.array("elem_text"))))
+    return out.withColumns({c: F.round(c, 6) for c in ("shown", "stderr")})
+
+
 RUN = ("func_pred_rec_test", "autoguiv2_funcregion_detect_test", "vwb_ag_test")
 
 

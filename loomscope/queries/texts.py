@@ -111,6 +111,14 @@ def ter(spark, d):
     return A.corpus_ter(p, ["source"], F.col("gold"), F.col("pred")).select("source", F.round("ter", 6).alias("ter"))
 
 
+@query()
+def corpus_stderr(spark, d):
+    """Standard errors of BLEU and chrF of function texts by source, over resamples (whose draws have no SQL form)."""
+    p = pairs(spark, d, "func")
+    each = [A.bootstrap_summed_stderr(m, p, ["source"], "rec_id", F.col("gold"), F.col("pred")).withColumn("metric", F.lit(m)) for m in ("bleu", "chrf")]
+    return each[0].unionByName(each[1]).select("source", "metric", F.round("stderr", 6).alias("stderr"), "resamples")
+
+
 @query(r"""SELECT doc_id, strlen(text) bytes, NOT regexp_matches(text, '[^\x00-\x7F]') ascii, split_part(split_part(text, '. ', 1), chr(10), 1) until_stop, md5(text) fingerprint,
 md5(regexp_replace(replace(replace(replace(replace(replace(text, ' n''t', 'n''t'), ' )', ')'), '( ', '('), '" ', '"'), ' "', '"'), ' ([''.,])', '\1', 'g')) detokenised FROM documents WHERE text IS NOT NULL""")
 def text_scalars(spark, d):

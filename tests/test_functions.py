@@ -115,3 +115,23 @@ def test_actions(spark):
 def test_sizes(spark):
     row = spark.range(1).select(G.letterboxed(F.lit(1280.0), F.lit(720.0), 448), G.shrunk(F.lit(1280.0), F.lit(720.0), 640), F.size(G.tiles(F.lit(672), F.lit(336), 336, 168))).first()
     assert tuple(row[0]) == (448, 252, 0, 98) and tuple(row[1]) == (640, 360) and row[2] == 3
+
+
+def test_element_actions(spark):
+    cases = [
+        ("named", 'so {"action_type": "click element", "bbox": [0.1, 0.2, 0.3, 0.4]}.', ("click", "", [0.1, 0.2, 0.3, 0.4])),
+        ("named", '{"action_type": "type", "typed_text": "hi", "bbox": [0.1, 0.2]}', ("type", "hi", [0.1, 0.2])),
+        ("named", '{"action_type": "type", "bbox": [0.1, 0.2]}', ("swipe", "", [0.5] * 4)),
+        ("numbered", "{'action_type': 4, 'click_point': (0.1, 0.2)}", ("click", "", [0.1, 0.2])),
+        ("numbered", "{'action_type': 3, 'typed_text': 'a (b)'}", ("type", "a (b)", [0.5, 0.5])),
+        ("numbered", "{'action_type': 8}", ("swipe", "", [0.5] * 4)),
+        ("numbered", "go {'action_type': 4, 'click_point': (0.1, 0.2)}", ("swipe", "", [0.5] * 4)),
+        ("grounded", "Plan. Grounded Operation: tap [[100,200,300,400]]", ("click", "", [0.1, 0.2, 0.3, 0.4])),
+        ("grounded", "Grounded Operation: tap [[100,200]]", ("click", "", [0.1, 0.2])),
+        ("grounded", "Grounded Operation: type typed_text:milk, then", ("type", "milk", [0.5] * 4)),
+        ("grounded", "tap somewhere", ("swipe", "", [0.5] * 4)),
+        ("grounded", None, ("swipe", "", [0.5] * 4)),
+    ]
+    for dialect, text, want in cases:
+        got = spark.createDataFrame([(text,)], "t STRING").select(X.element_action(F.col("t"), dialect).alias("a")).first().a
+        assert (got.action_type, got.typed_text, got.box) == want, text

@@ -115,6 +115,42 @@ def test_text_corpora(spark):
     assert A.corpus_ter(moved, ["k"], F.col("r"), F.col("p")).first().ter == pytest.approx(0.25)
 
 
+def test_summed_metrics_and_their_resamples(spark):
+    rng = random.Random(3)
+    words = [" ".join(rng.choice("abcdefg") for _ in range(8)) for _ in range(400)]
+    near = [" ".join(x if rng.random() < 0.8 else "z" for x in w.split()) for w in words]
+    rows = [(i, "k", w, n, rng.choice([0, 1]), rng.choice([0, 1]), rng.random()) for i, (w, n) in enumerate(zip(words, near))]
+    df = spark.createDataFrame(rows, "i INT, k STRING, r STRING, p STRING, g INT, q INT, v DOUBLE")
+
+    def resampled(metric, gold, predicted, table=df):
+        return A.bootstrap_summed_stderr(metric, table, ["k"], "i", F.col(gold), F.col(predicted), 200).first()
+
+    # brute force: the statistic of multinomial resamples of the rows
+    hits = [(int(g == q == 1), int(g != 1 and q == 1), int(g == 1 and q != 1)) for *_, g, q, _ in rows]
+    f1 = lambda xs: 2 * sum(x[0] for x in xs) / sum(2 * x[0] + x[1] + x[2] for x in xs)
+    want = statistics.stdev(f1(rng.choices(hits, k=len(hits))) for _ in range(400))
+    got = resampled("f1", "g", "q")
+    assert got.k == "k" and got.resamples == 200 and got.stderr == pytest.approx(want, rel=0.2)
+    assert resampled("f1", "g", "q", df.repartition(5)).stderr == pytest.approx(got.stderr)
+    assert resampled("mean", "g", "v").stderr == pytest.approx(statistics.stdev(r[-1] for r in rows) / 20, rel=0.2)
+    assert 0 < resampled("perplexity", "g", "v").stderr < 1
+    for metric in ("bleu", "chrf", "ter"):
+        assert 0 < resampled(metric, "r", "p").stderr < 5
+    assert A.bootstrap_summed_stderr("bleu", df.limit(0), ["k"], "i", F.col("r"), F.col("p"), 10).count() == 0
+    only = A.bootstrap_summed_stderr("mean", df.withColumn("k", F.lit(None).cast("string")), ["k"], "i", F.col("g"), F.col("v"), 10).first()
+    assert only.k is None and only.resamples == 10
+    mcc = A.bootstrap_matthews_stderr(df, ["k"], "g", "q", 200).first()
+    assert mcc.resamples == 200 and mcc.stderr == pytest.approx(1 / 20, rel=0.25)  # of independent classes about 1 / sqrt(n)
+
+
+def test_poisson_weights():
+    import numpy as np
+
+    w = A.poisson_weights(np.arange(20_000, dtype=np.int64) * 7919, 20)
+    assert w.shape == (20_000, 20) and w.mean() == pytest.approx(1, abs=0.01) and w.var() == pytest.approx(1, abs=0.02)
+    assert abs(np.corrcoef(w[:, 0], w[:, 1])[0, 1]) < 0.03
+
+
 def test_history_keeps_nulls_and_order(spark):
     df = spark.createDataFrame([("t", 2, None), ("t", 1, "a"), ("t", 3, "c"), ("u", 1, "z")], "t STRING, s INT, v STRING")
     got = {(r.t, r.s): r.prev_v for r in history.with_history(df, "t", "s", ["v"]).collect()}
@@ -189,6 +225,20 @@ def test_tasks(spark, monkeypatch):
     assert "|one_test|hit|none|" in report.markdown(tasks.evaluate(tasks.TASKS["one_test"], answered["one_test"]))
 
 
+def test_task_pipelines_and_resampled_errors(spark, monkeypatch):
+    monkeypatch.setattr(tasks, "METRICS", {"value": lambda df: F.col("response").try_cast("double")})
+    docs = spark.createDataFrame([(i, [f"a {i}", str(i)]) for i in range(50)], "i INT, resps ARRAY<STRING>")
+    steps = {"none": (("take_first", {}),), "number": (("regex", {"pattern": r"\d+"}), ("take_first", {}))}
+    task = tasks.Task("t", "i", metrics={"value": "median"}, pipelines=steps)
+    got = {r["filter"]: r for r in tasks.evaluate(task, docs, row="i").collect()}
+    assert got["none"].n == 0 and got["none"].shown is None and got["none"].stderr is None
+    assert got["number"].n == 50 and got["number"].shown in (24.0, 25.0) and 0 < got["number"].stderr < 10
+    small = docs.withColumn("resps", F.array((F.col("i") / 50).cast("string")))
+    one = tasks.evaluate(tasks.Task("t", "i", metrics={"value": "perplexity"}), small, row="i").first()
+    assert 1 < one.shown < 2 and 0 < one.stderr < 0.2
+    assert tasks.evaluate(tasks.Task("t", "i", metrics={"value": "median"}), docs).first().stderr is None
+
+
 def test_sources(spark, tmp_path):
     (tmp_path / "log.json").write_text('{"args": {}, "logs": [{"doc_id": 1, "v": 2.0}, {"doc_id": 2, "v": 3.0}]}')
     log = io.eval_log(spark, str(tmp_path / "log.json"))
