@@ -140,7 +140,7 @@ def _chrf(orders: int = 6, beta: float = 2.0) -> Column:
     return 100 * F.coalesce(F.try_divide((1 + beta**2) * precision * recall, beta**2 * precision + recall), F.lit(0.0))
 
 
-def _row_grams(pairs: DataFrame, kept: list[str], reference: Column, predicted: Column, orders: int, characters: bool = False) -> DataFrame:
+def row_grams(pairs: DataFrame, kept: list[str], reference: Column, predicted: Column, orders: int, characters: bool = False) -> DataFrame:
     """``kept`` and, for each order, the n-grams of a row: ``hits1, r1, p1`` and so on."""
     one = pairs.select(*kept, ngram_counts(reference, predicted, orders, characters).alias("x"))
     return one.select(*kept, *(F.col(f"x.{c}")[n].alias(f"{c}{n + 1}") for c in ("hits", "r", "p") for n in range(orders)))
@@ -174,8 +174,8 @@ SUMMED: dict[str, SummedMetric] = {
     "mean": SummedMetric(_row_value(lambda x: x), lambda: F.try_divide("s", "w")),
     "perplexity": SummedMetric(_row_value(F.exp), lambda: F.try_divide("s", "w")),
     "f1": SummedMetric(_row_hits, lambda: F.coalesce(F.try_divide(2.0 * F.col("hit"), 2 * F.col("hit") + F.col("extra") + F.col("missed")), F.lit(0.0))),
-    "bleu": SummedMetric(lambda *x: _row_grams(*x, 4), _bleu),
-    "chrf": SummedMetric(lambda *x: _row_grams(*x, 6, True), _chrf),
+    "bleu": SummedMetric(lambda *x: row_grams(*x, 4), _bleu),
+    "chrf": SummedMetric(lambda *x: row_grams(*x, 6, True), _chrf),
     "ter": SummedMetric(_row_edits, lambda: F.coalesce(F.try_divide("edits", "ref_words"), F.lit(0.0))),
 }
 

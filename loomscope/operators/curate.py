@@ -92,6 +92,13 @@ def union(*frames: DataFrame) -> DataFrame:
     return out
 
 
+def kept_first(rows: DataFrame, key: str, order: str) -> DataFrame:
+    """The first row of each ``key`` by ``order`` (nulls last), of equal ones any; the rows of a key are reduced before they are shuffled."""
+    rest = [c for c in rows.columns if c != key]
+    best = rows.groupBy(key).agg(F.min_by(F.struct(*rest), F.struct(F.col(order).isNull(), order)).alias("_first"))
+    return best.select(*(F.col(c) if c == key else F.col("_first")[c].alias(c) for c in rows.columns))
+
+
 def prompt_for(model: Column, instruction: Column, choice: Column, box: bool = False, prompts: tuple[str, ...] = WEB_PROMPTS) -> Column:
     """The prompt of a model's family; the first family whose name occurs in the model's counts, in lower case.
 

@@ -94,6 +94,18 @@ def few_shot(docs: DataFrame, pool: DataFrame, k: int, group: str, key: str, tex
     return out.withColumn("context", F.array_join(F.concat(*parts, own, F.array(text)), joined)).drop("_doc", "_shots")
 
 
+#: What names a request: the task, its document, which of the document's requests, and which repeat of it.
+REQUEST = ("task", "doc_id", "idx", "repeat")
+
+
+def answered(requests: DataFrame, responses: DataFrame, response: str = "response") -> DataFrame:
+    """``requests`` with the response to each, found by :data:`REQUEST` and not by position; null where there is none.
+
+    A response that is delivered again counts once, the least of different ones.
+    """
+    return requests.join(responses.groupBy(*REQUEST).agg(F.min(response).alias(response)), list(REQUEST), "left")
+
+
 def request_hash(method: str, *arguments: Column) -> Column:
     """SHA-256 of a request as a JSON list of method and arguments."""
     return F.sha2(F.concat(F.lit(f'["{method}"'), *(F.concat(F.lit(',"'), a, F.lit('"')) for a in arguments), F.lit("]")), 256)

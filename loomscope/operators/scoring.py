@@ -34,3 +34,13 @@ def choice_requests(docs: DataFrame, keys: list[str], values: str) -> DataFrame:
 def any_target(targets: Column, metric) -> Column:
     """1 if ``metric(target)`` is above 0 for one of several targets, else 0."""
     return F.exists(targets, lambda t: metric(t) > 0).cast("double")
+
+
+def gold_indices(golds: Column, n_choices: Column) -> Column:
+    """Gold answers given as positions; -100, which no choice has, for those out of range."""
+    return F.transform(golds, lambda g: F.when((g >= 0) & (g < n_choices), g).otherwise(-100).cast("int"))
+
+
+def in_gold(index: Column, golds: Column) -> Column:
+    """1 if a chosen position is one of several gold ones, else 0."""
+    return F.coalesce(F.array_contains(golds, index), F.lit(False)).cast("double")

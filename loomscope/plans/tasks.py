@@ -10,7 +10,7 @@ from dataclasses import dataclass, field, replace
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from loomscope.operators import aggregates, filters, report, requests
+from loomscope.operators import aggregates, curate, filters, report, requests
 from loomscope.session import written
 
 Metric = Callable[[DataFrame], Column]
@@ -84,6 +84,14 @@ def requests_of(task: Task, docs: DataFrame) -> DataFrame:
     return requests.repeated(docs, F.lit(task.repeats))
 
 
+def documents_of(docs: dict[str, DataFrame]) -> DataFrame:
+    """The documents of several tasks as one table with ``group`` and ``task``; a task in several groups comes once for each, one in none with a null group."""
+    frames = []
+    for name, one in docs.items():
+        frames += [one.withColumns({"group": F.lit(g).cast("string"), "task": F.lit(name)}) for g in [g for g, members in GROUPS.items() if name in members] or [None]]
+    return curate.union(*frames)
+
+
 def scores(task: Task, answered: DataFrame, steps: tuple[tuple[str, dict], ...] | None = None) -> DataFrame:
     """``answered`` (documents with ``resps``) with ``response``, the filtered one, and a column for each metric."""
     out = answered.withColumn("response", filters.pipeline(list(steps or task.filters))(F.col("resps")))

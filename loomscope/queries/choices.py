@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from loomscope.operators import aggregates as A
+from loomscope.operators import requests as R
 from loomscope.operators import scoring as S
 from loomscope.queries.registry import query
 from loomscope.session import table
@@ -73,3 +74,22 @@ def all_answers_correct(spark, d):
     """Questions of which every answer is right."""
     c = docs(spark, d).withColumns({"paragraph": F.floor(F.col("vec_id") / 3), "ok": (S.argmax(F.col("lls")) == F.col("gold")) | (F.col("label") > 6)})
     return A.all_correct(c, ["paragraph", "label"], F.lit(True), F.col("ok")).select(F.round("acc_all", 6).alias("acc_all"))
+
+
+@query(f"WITH {C_SQL} SELECT label % 2 task, round(avg(CASE WHEN p = gold OR p = label THEN 1.0 ELSE 0.0 END), 6) acc, count(*) n FROM c GROUP BY 1")
+def mc_accuracy_any(spark, d):
+    """Accuracy where each document has several gold choices, some of which are none of its choices."""
+    c = docs(spark, d)
+    golds = S.gold_indices(F.array(F.col("gold"), F.col("label"), F.lit(-1)), F.size("lls"))
+    return c.groupBy((F.col("label") % 2).alias("task")).agg(F.round(F.avg(S.in_gold(S.argmax(F.col("lls")), golds)), 6).alias("acc"), F.count("*").alias("n"))
+
+
+@query(f"""WITH {C_SQL}, q AS (SELECT vec_id, unnest([0, 1, 2, 3]) idx, unnest(lls) ll FROM c), r AS (SELECT vec_id, idx, ll, unnest([0, 1]) repeat FROM q)
+SELECT vec_id doc_id, idx, repeat, CASE WHEN (vec_id + idx + repeat) % 3 <> 0 THEN round(ll, 6) END response FROM r""")
+def answered_requests(spark, d):
+    """Requests of two repeats joined with their responses, of which a third is missing and some come twice."""
+    asked = S.choice_requests(docs(spark, d), ["vec_id"], "lls").select(F.lit("mc").alias("task"), F.col("vec_id").alias("doc_id"), "idx", "value")
+    asked = R.repeated(asked, F.lit(2))
+    there = asked.where((F.col("doc_id") + F.col("idx") + F.col("repeat")) % 3 != 0).select(*R.REQUEST, F.round("value", 6).alias("response"))
+    out = R.answered(asked.drop("value"), there.unionByName(there.where("idx = 0")))
+    return out.select("doc_id", "idx", "repeat", "response")

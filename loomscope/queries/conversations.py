@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 from loomscope.functions import parse as P
 from loomscope.operators import curate as C
 from loomscope.operators import requests as R
+from loomscope.plans import catalogue, tasks
 from loomscope.queries.registry import query
 from loomscope.session import table
 
@@ -85,6 +86,23 @@ def union_sources(spark, d):
     return C.union(a, b).groupBy("origin", "site").agg(F.count("*").alias("n"), F.sum("key").alias("key_sum"))
 
 
+@query("""SELECT rec_id, epoch_us(min(ingested_at)) ingested_at, any_value(source) source, any_value(split) split FROM func_records GROUP BY rec_id""")
+def first_deliveries(spark, d):
+    """The first delivery of each record."""
+    r = table(spark, d, "func_records").select("rec_id", "ingested_at", "source", "split")
+    return C.kept_first(r, "rec_id", "ingested_at").withColumn("ingested_at", F.unix_micros("ingested_at"))
+
+
+@query("""WITH r AS (SELECT DISTINCT rec_id, split, device FROM func_records), t AS (SELECT 'func_pred_rec_test' task, 'grounding' grp, rec_id FROM r WHERE split = 'test' UNION ALL SELECT 'websrc_val', 'questions', rec_id FROM r WHERE split = 'val' UNION ALL SELECT 'other', NULL, rec_id FROM r WHERE split = 'train')
+SELECT grp, task, count(*) n, CAST(sum(rec_id) AS BIGINT) key_sum FROM t GROUP BY ALL""")
+def documents_by_task(spark, d):
+    """The documents of several tasks as one table, counted by group and task."""
+    catalogue.declare()
+    r = table(spark, d, "func_records").select("rec_id", "split").distinct()
+    docs = tasks.documents_of({"func_pred_rec_test": r.where("split = 'test'"), "websrc_val": r.where("split = 'val'"), "other": r.where("split = 'train'")})
+    return docs.groupBy(F.col("group").alias("grp"), "task").agg(F.count("*").alias("n"), F.sum("rec_id").alias("key_sum"))
+
+
 @query()
 def hash_shuffled_sample(spark, d):
     """128 samples in a hashed order (Spark's hash has no SQL form)."""

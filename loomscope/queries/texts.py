@@ -104,6 +104,24 @@ def cider(spark, d):
     return p.select("rec_id", "source").join(one, "rec_id").groupBy("source").agg(F.round(F.avg("cider"), 5).alias("cider"))
 
 
+@query(f"""WITH {_p("func")}, w AS (SELECT rec_id, source, 'r' side, list_filter(string_split(gold, ' '), lambda x: x <> '') w FROM p UNION ALL SELECT rec_id, source, 'p', list_filter(string_split(pred, ' '), lambda x: x <> '') FROM p), {GRAMS},
+c AS (SELECT rec_id, source, n, g, count(*) FILTER (WHERE side = 'r') r, count(*) FILTER (WHERE side = 'p') p FROM g GROUP BY ALL), o AS (SELECT source, n, CAST(sum(least(r, p)) AS DOUBLE) hit, CAST(sum(p) AS DOUBLE) total FROM c GROUP BY ALL),
+l AS (SELECT source, CAST(sum(len(w)) FILTER (WHERE side = 'r') AS DOUBLE) rl, CAST(sum(len(w)) FILTER (WHERE side = 'p') AS DOUBLE) sl FROM w GROUP BY source),
+b AS (SELECT source, n, CASE WHEN sl < rl THEN exp(1 - rl / sl) ELSE 1 END * exp(sum(ln((hit + 1e-15) / (total + 1e-9))) OVER (PARTITION BY source ORDER BY n) / n) v FROM o JOIN l USING (source))
+SELECT source, round(max(v) FILTER (WHERE n = 1), 6) bleu_1, round(max(v) FILTER (WHERE n = 2), 6) bleu_2, round(max(v) FILTER (WHERE n = 3), 6) bleu_3, round(max(v) FILTER (WHERE n = 4), 6) bleu_4 FROM b GROUP BY source""")
+def caption_bleus(spark, d):
+    """BLEU of function texts up to each order, as captions are scored, by source."""
+    out = C.caption_bleus(pairs(spark, d, "func"), ["source"], F.col("gold"), F.col("pred"))
+    return out.select("source", *(F.round(f"bleu_{n}", 6).alias(f"bleu_{n}") for n in range(1, 5)))
+
+
+@query()
+def rouge_l(spark, d):
+    """Mean ROUGE-L of function texts by source (longest common subsequences have no SQL form that ends on whole tables)."""
+    scored = pairs(spark, d, "func").withColumn("score", C.rouge_l(F.col("gold"), F.col("pred")))
+    return scored.groupBy("source").agg(F.round(F.avg("score"), 6).alias("rouge_l"), F.count("*").alias("n"))
+
+
 @query()
 def ter(spark, d):
     """Translation edit rate of captions by source (its greedy shift search has no SQL form)."""

@@ -66,9 +66,22 @@ def without_pictures(docs: DataFrame) -> DataFrame:
     return docs.drop(*(f.name for f in docs.schema if binary(f.dataType)))
 
 
-def write_samples(samples: DataFrame, path: str, task: str = "task", order: str = "doc_id") -> None:
-    """Per-sample results as JSON, a folder a task, in order of the document within each file."""
+def _write_text(spark: SparkSession, path: str, text: str) -> None:
+    """A small text as a file of any file system that Spark knows."""
+    target = spark._jvm.org.apache.hadoop.fs.Path(path)
+    stream = target.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).create(target, True)
+    stream.write(bytearray(text, "utf-8"))
+    stream.close()
+
+
+def write_samples(samples: DataFrame, path: str, task: str = "task", order: str = "doc_id", arguments: dict | None = None, configs: dict | None = None) -> None:
+    """Per-sample results as JSON, a folder a task, in order of the document within each file.
+
+    The ``arguments`` of the run and the ``configs`` of its models, where given, are in ``_run.json`` beside them, which readers of the samples skip.
+    """
     samples.repartitionByRange(task, order).sortWithinPartitions(task, order).write.partitionBy(task).mode("overwrite").json(path)
+    if arguments is not None or configs is not None:
+        _write_text(samples.sparkSession, f"{path}/_run.json", json.dumps({"args": arguments or {}, "model_configs": configs or {}}, indent=2, sort_keys=True, default=str))
 
 
 def write_results(results: DataFrame, path: str) -> None:
@@ -79,11 +92,12 @@ def write_results(results: DataFrame, path: str) -> None:
     out: dict[str, dict[str, float | None]] = {}
     for r in rows:
         out.setdefault(r["task"], {}).update({f"{r['metric']},{r['filter']}": r["shown"], f"{r['metric']}_stderr,{r['filter']}": r["stderr"]})
-    jvm, sc = results.sparkSession._jvm, results.sparkSession.sparkContext
-    target = jvm.org.apache.hadoop.fs.Path(path)
-    stream = target.getFileSystem(sc._jsc.hadoopConfiguration()).create(target, True)  # any file system that Spark knows
-    stream.write(bytearray(json.dumps(out, indent=2, sort_keys=True), "utf-8"))
-    stream.close()
+    _write_text(results.sparkSession, path, json.dumps(out, indent=2, sort_keys=True))
+
+
+def write_splits(rows: DataFrame, path: str, split: str = "split") -> None:
+    """A data set as Parquet, a folder a split."""
+    rows.write.partitionBy(split).mode("overwrite").parquet(path)
 
 
 def submission(samples: DataFrame, key: str, value: str, path: str) -> None:

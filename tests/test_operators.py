@@ -151,6 +151,43 @@ def test_poisson_weights():
     assert abs(np.corrcoef(w[:, 0], w[:, 1])[0, 1]) < 0.03
 
 
+def test_captions(spark):
+    rng = random.Random(5)
+    texts = [" ".join(rng.choice("abcd") for _ in range(rng.randrange(0, 90))) for _ in range(60)]
+
+    def longest(a, b):
+        row = [0] * (len(b) + 1)
+        for x in a:
+            last = row[:]
+            for j, y in enumerate(b, 1):
+                row[j] = last[j - 1] + 1 if x == y else max(row[j - 1], last[j])
+        return row[-1]
+
+    pairs = list(zip(texts, texts[1:])) + [(None, "a"), ("a", None), ("", "")]
+    df = spark.createDataFrame([(i, *p) for i, p in enumerate(pairs)], "i INT, r STRING, p STRING")
+    got = [x.s for x in df.select("i", captions.rouge_l(F.col("r"), F.col("p")).alias("s")).orderBy("i").collect()]
+    for (r, p), s in zip(pairs, got):
+        a, b = (r or "").split(), (p or "").split()
+        n = longest(a, b)
+        want = 0 if not n else (1 + 1.44) * (n / len(b)) * (n / len(a)) / (n / len(a) + 1.44 * n / len(b))
+        assert s == pytest.approx(want), (r, p)
+    same = spark.createDataFrame([(1, "a b c d e", "a b c d e"), (2, "a b", "b a")], "k INT, r STRING, p STRING")
+    bleus = {x.k: x for x in captions.caption_bleus(same, ["k"], F.col("r"), F.col("p")).collect()}
+    assert list(bleus[1])[1:] == pytest.approx([1] * 4) and bleus[2].bleu_1 == pytest.approx(1) and bleus[2].bleu_2 < 1e-6
+
+
+def test_requests_are_joined_by_name(spark):
+    asked = spark.createDataFrame([("t", 1, 0, 0), ("t", 1, 0, 1), ("u", 1, 0, 0)], "task STRING, doc_id INT, idx INT, repeat INT")
+    there = spark.createDataFrame([("t", 1, 0, 1, "b"), ("t", 1, 0, 1, "b"), ("u", 1, 0, 0, "c"), ("x", 1, 0, 0, "d")], "task STRING, doc_id INT, idx INT, repeat INT, response STRING")
+    got = {(r.task, r.repeat): r.response for r in requests.answered(asked, there).collect()}
+    assert got == {("t", 0): None, ("t", 1): "b", ("u", 0): "c"}
+    rows = spark.createDataFrame([(1, 5, "late"), (1, 2, "early"), (2, None, "only"), (1, None, "never"), (None, 1, "nobody")], "k INT, at INT, v STRING")
+    assert {r.k: r.v for r in curate.kept_first(rows, "k", "at").collect()} == {1: "early", 2: "only", None: "nobody"}
+    golds = spark.createDataFrame([(1, [1, 9], 2), (9, [9], 2), (0, None, 2)], "p INT, g ARRAY<INT>, n INT")
+    hits = golds.select(scoring.in_gold(F.col("p"), scoring.gold_indices(F.col("g"), F.col("n"))).alias("x"), "p").collect()
+    assert {r.p: r.x for r in hits} == {1: 1.0, 9: 0.0, 0: 0.0}
+
+
 def test_history_keeps_nulls_and_order(spark):
     df = spark.createDataFrame([("t", 2, None), ("t", 1, "a"), ("t", 3, "c"), ("u", 1, "z")], "t STRING, s INT, v STRING")
     got = {(r.t, r.s): r.prev_v for r in history.with_history(df, "t", "s", ["v"]).collect()}
@@ -245,6 +282,11 @@ def test_sources(spark, tmp_path):
     assert log.count() == 2
     io.write_samples(log.withColumn("task", F.lit("t")), str(tmp_path / "out"))
     assert spark.read.json(str(tmp_path / "out")).count() == 2
+    io.write_samples(log.withColumn("task", F.lit("t")), str(tmp_path / "out"), arguments={"limit": 2}, configs={"m": {"scale": 100}})
+    assert spark.read.json(str(tmp_path / "out")).count() == 2
+    assert '"limit": 2' in (tmp_path / "out" / "_run.json").read_text()
+    io.write_splits(log.withColumn("split", F.when(F.col("doc_id") == 1, "test").otherwise("val")), str(tmp_path / "splits"))
+    assert io.split_of(io.dataset(spark, str(tmp_path / "splits"))).select("doc_id").collect()[0][0] == 1
     df = spark.createDataFrame([("aGk=", bytearray(b"x")), ("?", None)], "t STRING, b BINARY")
     assert [r[0] for r in df.select(io.decoded(F.col("t"))).collect()] == [bytearray(b"hi"), None]
     assert io.without_pictures(df).columns == ["t"]
