@@ -170,8 +170,8 @@ def stuffed_pages(docs: DataFrame) -> DataFrame:
     Limits are calibrated for each language over all pages, and function words are those that most pages of a language hold.
     ``stuffed`` if most words of the page stand in such segments. The shares in the result say why.
 
-    A page that states a language without a profile (fewer than ``LEAST_PAGES`` pages) is not judged by function words; one that
-    states none is judged by the language whose profile holds most of its words, if any does. Null, empty and wordless texts
+    A page that states a language without a profile (fewer than ``LEAST_PAGES`` pages) is not judged by function words, and all such pages have
+    one row of limits; one that states none is judged by the language whose profile holds most of its words, if any does. Null, empty and wordless texts
     give ``stuffed`` false. Every row counts by itself: repeated rows, mirrored texts and ties change nothing. Other columns
     are ignored; an empty table gives an empty result.
     """
@@ -184,7 +184,8 @@ def stuffed_pages(docs: DataFrame) -> DataFrame:
                 yield page_statistics(batch.iloc[start : start + 1000], sent.value)
 
     pages = written(spread(docs).mapInPandas(run, PAGE), "pages")
-    named = pages.withColumn("lang", F.coalesce("lang", F.lit("")))
+    limits_of = F.when(F.col("profiled"), F.col("lang")).otherwise("")
+    named = pages.withColumn("lang", limits_of)
     one = named.select("lang", "profiled", F.explode("segments").alias("s")).select("lang", "profiled", "s.*").where("words > 0")
     usual = one.where("profiled AND function > 0 AND NOT repeats").groupBy("lang").agg((F.sum("function") / F.sum("words")).alias("usual_share"))
     limits = [
@@ -195,7 +196,7 @@ def stuffed_pages(docs: DataFrame) -> DataFrame:
     for x in limits:
         of = of.join(x, "lang", "full")
     of = written(of.withColumnRenamed("lang", "of"), "limits")
-    pages = pages.join(F.broadcast(of), F.coalesce("lang", F.lit("")) == F.col("of"), "left").drop("of")  # a row a language
+    pages = pages.join(F.broadcast(of), limits_of == F.col("of"), "left").drop("of")  # a row a language with a profile, and one more
     limit = lambda name, least: F.coalesce(name, F.lit(least))
 
     def says_nothing(s: Column) -> Column:
