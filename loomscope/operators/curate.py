@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from loomscope.functions.text import stable_hash
+
 # Roles of senders.
 ROLES = {"human": "user", "gpt": "assistant"}
 
@@ -76,7 +78,7 @@ def masked(messages: Column, size: int, hidden: int = -100) -> tuple[Column, Col
 
 def shuffled_key(key: Column, seed: int = 0) -> Column:
     """A hash to order by, the same whatever the partitions."""
-    return F.xxhash64(key, F.lit(seed))
+    return stable_hash(key, seed)
 
 
 def sample(rows: DataFrame, key: str, n: int, seed: int = 0) -> DataFrame:

@@ -7,6 +7,7 @@ import re
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from loomscope.functions.text import stable_hash
 from loomscope.session import written
 
 
@@ -80,11 +81,11 @@ def few_shot(docs: DataFrame, pool: DataFrame, k: int, group: str, key: str, tex
     of the ``k + 1`` places is a join of its own, so that no list of a group is built; a smaller group gives what it has.
     """
     shown = F.concat(text, F.lit(delimiter), target) if target is not None else text
-    items = pool.select(F.col(group).alias("_g"), F.col(key).alias("_key"), shown.alias("_text"), F.struct(F.xxhash64(key, F.lit(seed)).alias("h"), F.col(key).alias("k")).alias("_order"))
+    items = pool.select(F.col(group).alias("_g"), F.col(key).alias("_key"), shown.alias("_text"), F.struct(stable_hash(F.col(key), seed).alias("h"), F.col(key).alias("k")).alias("_order"))
     items = written(numbered(items, "_order", "_g", number="_i").drop("_order"), "examples")
     sizes = items.groupBy("_g").agg(F.count("*").alias("_n"))
     rows = docs.join(sizes, F.col(group) == F.col("_g"), "left").drop("_g")
-    place = F.transform(F.sequence(F.lit(0), F.least(F.lit(k + 1).cast("bigint"), F.col("_n")).cast("int") - 1), lambda j: F.pmod(F.xxhash64(key, F.lit(seed + 1)), F.col("_n")) + j)
+    place = F.transform(F.sequence(F.lit(0), F.least(F.lit(k + 1).cast("bigint"), F.col("_n")).cast("int") - 1), lambda j: F.pmod(stable_hash(F.col(key), seed + 1), F.col("_n")) + j)
     wanted = rows.where("_n > 0").select(F.col(key).alias("_doc"), F.col(group).alias("_of"), F.posexplode(F.transform(place, lambda i: i % F.col("_n"))).alias("_rank", "_at"))
     found = wanted.join(items, (F.col("_of") == F.col("_g")) & (F.col("_at") == F.col("_i"))).where("_key <> _doc")
     shots = found.groupBy("_doc").agg(F.slice(F.array_sort(F.collect_list(F.struct("_rank", "_text"))), 1, k).alias("_shots"))  # k + 1 items

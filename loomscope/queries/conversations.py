@@ -103,12 +103,13 @@ def documents_by_task(spark, d):
     return docs.groupBy(F.col("group").alias("grp"), "task").agg(F.count("*").alias("n"), F.sum("rec_id").alias("key_sum"))
 
 
-@query()
+@query("""SELECT sample_id, any_value(site) site FROM train_samples GROUP BY sample_id ORDER BY substr(md5('0:' || sample_id), 1, 15), sample_id LIMIT 128""")
 def hash_shuffled_sample(spark, d):
-    """128 samples in a hashed order (Spark's hash has no SQL form)."""
+    """128 samples in a hashed order."""
     return C.sample(table(spark, d, "train_samples").select("sample_id", "site").distinct(), "sample_id", 128)
 
 
+H = "CAST('0x' || substr(md5('{}:' || rec_id), 1, 15) AS BIGINT)"
 P_SQL = """r AS (SELECT DISTINCT rec_id, func, elem_tag, site FROM func_records WHERE func IS NOT NULL)"""
 
 
@@ -135,9 +136,13 @@ def repeated_requests(spark, d):
     return R.repeated(e, (F.col("response_id") % 3 + 1).cast("int")).select("response_id", F.col("repeat").cast("bigint").alias("repeat"))
 
 
-@query()
+@query(f"""WITH r AS (SELECT DISTINCT rec_id, source, split, func || ' ' || coalesce(elem_tag, '') t FROM func_records WHERE func IS NOT NULL AND source IS NOT NULL),
+p AS (SELECT source, rec_id, t, row_number() OVER (PARTITION BY source ORDER BY {H.format(1234)}, rec_id) - 1 i FROM r WHERE split = 'train'), z AS (SELECT source, count(*) n FROM p GROUP BY source),
+d AS (SELECT r.*, n, {H.format(1235)} % n s FROM r LEFT JOIN z USING (source) WHERE split = 'test'), e AS (SELECT rec_id doc, source, n, s, unnest(range(0, least(3, n))) j FROM d WHERE n > 0),
+y AS (SELECT doc rec_id, list(p.t ORDER BY j)[1:2] shots FROM e JOIN p ON p.source = e.source AND p.i = (e.s + e.j) % e.n WHERE p.rec_id <> e.doc GROUP BY doc)
+SELECT rec_id, array_to_string(list_concat(coalesce(shots, []), [t]), chr(10) || chr(10)) context FROM d LEFT JOIN y USING (rec_id)""")
 def few_shot_context(spark, d):
-    """Prompts with two examples of the same source in front (Spark's hash has no SQL form)."""
+    """Prompts with two examples of the same source in front."""
     r = table(spark, d, "func_records").select("rec_id", "source", "func", "elem_tag", "split").distinct().where("func IS NOT NULL AND source IS NOT NULL")
     text = F.concat_ws(" ", "func", F.coalesce("elem_tag", F.lit("")))
     return R.few_shot(r.where("split = 'test'"), r.where("split = 'train'"), 2, "source", "rec_id", text).select("rec_id", "context")
