@@ -3,11 +3,12 @@
 from __future__ import annotations
 
 import re
-from collections.abc import Iterator
+from collections.abc import Iterable, Iterator
 from itertools import chain
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
@@ -15,10 +16,12 @@ from loomscope.session import spread, table, written
 
 WORD = re.compile(r"[^\W_]+")
 #: A segment is a sentence or a line.
-SEGMENT_END = re.compile(r"(?<=[.!?])[\"'”»)]*\s+|(?<=[。！？])|\n+")
+SEGMENT_END = re.compile(r"[.!?。！？\n](?:(?<=[.!?])[\"'”»)]*\s+|(?<=[。！？])|(?<=\n)\n*)")
 LINK = re.compile(r"(?:https?://|www\.)[^\s)\">|]+")
 TAG_OR_LINK = re.compile(r"<[^>]*>|(?:https?://|www\.)[^\s)\">|]+")
 SEPARATOR = re.compile(r"[|,;/*»•·–]")
+#: ASCII characters, those that stand in no word as blanks.
+BLANKED = bytes(i if WORD.match(chr(i)) else 32 for i in range(128)).ljust(256)
 
 #: A language has a profile if so many pages state it; a page's language is looked for among so many languages at most.
 LEAST_PAGES, MOST_LANGUAGES = 30, 200
@@ -39,6 +42,8 @@ REPEATED = 3
 STUFFED_SHARE = 0.5
 #: Steps of the histograms that limits are read from.
 STEPS = 100
+#: Pages at a time.
+BATCH = 1000
 
 PAGE = (
     "doc_id BIGINT, lang STRING, profiled BOOLEAN, n_words INT, top_word_share DOUBLE, key_phrase_share DOUBLE, duplicate_line_share DOUBLE, link_text_ratio DOUBLE, "
@@ -46,6 +51,28 @@ PAGE = (
 )
 
 
+def _words(text: str) -> list[str]:
+    """The words of a lower-case text."""
+    return text.encode().translate(BLANKED).decode().split() if text.isascii() else WORD.findall(text)
+
+
+def _separators(text: str) -> int:
+    return len(text) - len(text.encode().translate(None, b"|,;/*")) if text.isascii() else len(SEPARATOR.findall(text))
+
+
+def _segments(text: str) -> list[str]:
+    """The sentences and lines of a text, without the blanks and quotes between them."""
+    out, start = [], 0
+    for m in SEGMENT_END.finditer(text):
+        end = m.start() + (text[m.start()] != "\n")
+        if end > start:
+            out.append(text[start:end])
+        start = m.end()
+    if start < len(text):
+        out.append(text[start:])
+    return out
+
+
 def language_profiles(docs: DataFrame) -> dict[str, dict[str, bool]]:
     """The most frequent words of each language, and whether each is a function word, counted over all pages that state it.
 
@@ -63,89 +90,115 @@ def language_profiles(docs: DataFrame) -> dict[str, dict[str, bool]]:
     return out
 
 
-def _counted(page: np.ndarray, code: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """For each item how often its code comes in its page, and the first item of each page and code."""
-    order = np.lexsort((code, page))
-    new = np.r_[True, (page[order][1:] != page[order][:-1]) | (code[order][1:] != code[order][:-1])] if len(order) else np.empty(0, bool)
-    run = np.cumsum(new) - 1
-    times, first = np.empty(len(order), np.int64), np.zeros(len(order), bool)
-    times[order], first[order] = np.bincount(run, minlength=0)[run], new
-    return times, first
+class Profiles:
+    """The profiles of all languages by word: entries ``start[i]`` to ``start[i + 1]`` are the languages of word ``i``, and whether it is a function word there."""
 
+    def __init__(self, profiles: dict[str, dict[str, bool]]) -> None:
+        self.names = sorted(profiles)
+        self.index: dict[str, int] = {}
+        found = [(self.index.setdefault(w, len(self.index)), k, f) for k, g in enumerate(self.names) for w, f in profiles[g].items()]
+        word, language, function = np.array(sorted(found), np.int64).reshape(-1, 3).T
+        self.language, self.function = language, function.astype(bool)
+        self.start = np.searchsorted(word, np.arange(len(self.index) + 1))
 
-def page_statistics(batch: pd.DataFrame, profiles: dict[str, dict[str, bool]]) -> pd.DataFrame:
+    def of(self, words: Iterable[str], n: int) -> tuple[np.ndarray, np.ndarray]:
+        """For each language and each of ``n`` words whether its profile has the word, and as a function word."""
+        at = np.fromiter((self.index.get(w, -1) for w in words), np.int64, n)
+        hit = np.flatnonzero(at >= 0)
+        first = self.start[at[hit]]
+        times = self.start[at[hit] + 1] - first
+        entry = np.repeat(first - (np.cumsum(times) - times), times) + np.arange(times.sum())
+        held, function = (np.zeros((len(self.names), n), bool) for _ in range(2))
+        held[self.language[entry], np.repeat(hit, times)] = True
+        function[self.language[entry], np.repeat(hit, times)] = self.function[entry]
+        return held, function
+
+
+def _times(group: np.ndarray, code: np.ndarray) -> np.ndarray:
+    """For each item how often its code comes in its group."""
+    if not len(code):
+        return np.empty(0, np.int64)
+    same = pd.factorize(group * (np.int64(code.max()) + 1) + code)[0]
+    return np.bincount(same)[same]
+
+
+def page_statistics(batch: pa.RecordBatch, profiles: Profiles) -> pa.RecordBatch:
     """The statistics (:data:`PAGE`) of the pages of a batch (``doc_id, text, lang``)."""
-    texts = [(t or "").lower() for t in batch["text"]]
+    ids, texts, stated = batch.column(0), batch.column(1).to_pylist(), batch.column(2).to_pylist()
     n_pages = len(texts)
-    cut = [[s for s in SEGMENT_END.split(t) if s] for t in texts]
-    page_of = np.repeat(np.arange(n_pages), [len(c) for c in cut])
+    cut = [_segments((t or "").lower()) for t in texts]
+    n_cut = np.array([len(c) for c in cut], np.int64)
+    page_of = np.repeat(np.arange(n_pages), n_cut)
     segments = list(chain.from_iterable(cut))
-    linked = ["<" in s or "://" in s or "www." in s for s in segments]
-    every = [len(WORD.findall(s)) for s in segments]
-    own = [WORD.findall(TAG_OR_LINK.sub(" ", s) if x else s) for s, x in zip(segments, linked)]
-    size = np.array(every, np.int64)
-    chars = np.array([max(len(s), 1) for s in segments], np.int64)
-    separators = np.array([len(SEPARATOR.findall(s)) for s in segments], np.int64)
-    link_chars = np.array([sum(map(len, LINK.findall(s))) if x else 0 for s, x in zip(segments, linked)], np.int64)
-
-    seg = np.repeat(np.arange(len(segments)), [len(w) for w in own])
+    n_segments = len(segments)
+    own = [_words(s) for s in segments]
+    size = np.array([len(w) for w in own], np.int64)
+    chars = np.array([len(s) for s in segments], np.int64)
+    link_chars = np.zeros(n_segments, np.int64)
+    for i, s in enumerate(segments):
+        if "<" in s or "://" in s or "www." in s:
+            own[i] = _words(TAG_OR_LINK.sub(" ", s))
+            link_chars[i] = sum(map(len, LINK.findall(s)))
+    separators = np.array([_separators(s) for s in segments], np.int64)
+
+    seg = np.repeat(np.arange(n_segments), [len(w) for w in own])
     code, known = pd.factorize(np.array(list(chain.from_iterable(own)), object)) if len(seg) else (np.empty(0, np.int64), [])
     page = page_of[seg]
-    names = sorted(profiles)
-    in_profile = np.array([[profiles[k].get(w) is not None for w in known] for k in names], bool).reshape(len(names), len(known))
-    function = np.array([[bool(profiles[k].get(w)) for w in known] for k in names], bool).reshape(len(names), len(known))
-    of_profile, of_function = (np.array([np.bincount(page, x[k][code], n_pages) for k in range(len(names))]).reshape(len(names), n_pages) for x in (in_profile, function))
+    names = profiles.names
+    in_profile, function = profiles.of(known, len(known))
     words = np.bincount(page_of, size, n_pages).astype(np.int64)
 
-    stated = [(g or "").strip().lower() for g in batch["lang"]]
-    lang, at = [], np.full(n_pages, -1)
-    for i, g in enumerate(stated):
-        known_lang = g not in ("", "und")
-        if known_lang and g not in profiles or not names:
-            lang.append(g if known_lang else None)
-            continue
-        best = max(range(len(names)), key=lambda k: (of_function[k, i], names[k] == g)) if known_lang else int(np.argmax(of_profile[:, i]))
-        if known_lang or of_profile[best, i] >= KNOWN_WORDS * max(words[i], 1):
-            at[i] = best
-        lang.append(names[best] if at[i] >= 0 else None)
+    lang = [g if g not in ("", "und") else None for g in ((g or "").strip().lower() for g in stated)]
+    place = {g: k for k, g in enumerate(names)}
+    own_place = np.array([-1 if g is None else place.get(g, -2) for g in lang], np.int64)
+    at = np.full(n_pages, -1)
+    if names:
+        count = lambda of, chosen: np.array([np.bincount(page[chosen], x[code[chosen]], n_pages) for x in of])
+        named, unnamed = np.flatnonzero(own_place >= 0), np.flatnonzero(own_place == -1)
+        of_function = 2 * count(function, np.flatnonzero(function.any(0)[code]))  # the stated language wins a tie
+        of_function[own_place[named], named] += 1
+        at[named] = of_function.argmax(0)[named]
+        of_profile = count(in_profile, np.flatnonzero((own_place == -1)[page]))
+        best = of_profile.argmax(0)
+        at[unnamed] = np.where(of_profile[best, np.arange(n_pages)] >= KNOWN_WORDS * np.maximum(words, 1), best, -1)[unnamed]
+        lang = [names[k] if k >= 0 else g for k, g in zip(at, lang)]
     padded = np.vstack([function, np.zeros((1, len(known)), bool)])
     is_function = padded[at[page], code] if len(code) else np.empty(0, bool)
 
-    times, first = _counted(page, code)
-    content = first & ~is_function
+    times = _times(page, code)
     top_times = np.zeros(n_pages, np.int64)
-    np.maximum.at(top_times, page[content], times[content])
+    starts = np.flatnonzero(np.r_[True, page[1:] != page[:-1]]) if len(page) else np.empty(0, np.int64)
+    if len(starts):
+        top_times[page[starts]] = np.maximum.reduceat(np.where(is_function, 0, times), starts)
     is_top = ~is_function & (times == top_times[page]) & (times >= REPEATED)
 
     pair = np.flatnonzero((seg[1:] == seg[:-1]) & ~is_function[1:] & ~is_function[:-1])
-    bigram = code[pair] * np.int64(len(known) + 1) + code[pair + 1]
-    within, _ = _counted(seg[pair], bigram)
-    times, first = _counted(page[pair], bigram)
+    bigram = pd.factorize(code[pair] * np.int64(len(known) + 1) + code[pair + 1])[0]
+    times = _times(page[pair], bigram)
     is_key = (times >= REPEATED) & (2 * times >= PHRASE_SHARE * words[page[pair]])
     in_key = np.zeros(len(code), bool)
     in_key[pair[is_key]] = in_key[pair[is_key] + 1] = True
     key_words = np.bincount(page, in_key, n_pages)
+    again = np.flatnonzero(times > 1)  # nothing else comes twice in a segment
+    within = again[_times(seg[pair[again]], bigram[again]) > 1]
     single = pd.factorize(np.array([s.strip() for s in segments], object))[0] if segments else np.empty(0, np.int64)
-    copies = _counted(page_of, single)[0] >= REPEATED
+    copies = _times(page_of, single) >= REPEATED
 
-    of_seg = lambda rows, flags: np.bincount(rows, flags, len(segments))
-    out = {
-        "words": size, "function": of_seg(seg, is_function), "separators": separators / np.maximum(size, 1), "links": link_chars / chars,
-        "repeats": (of_seg(seg[pair], within > 1) > 0) | copies, "phrase": of_seg(seg[pair], is_key) > 0, "top": of_seg(seg, is_top) > 0,
+    of_seg = lambda rows, flags=None: np.bincount(rows, flags, n_segments)
+    of_segment = {
+        "words": size.astype(np.int32), "function": of_seg(seg, is_function).astype(np.int32), "separators": separators / np.maximum(size, 1), "links": link_chars / np.maximum(chars, 1),
+        "repeats": (of_seg(seg[pair[within]]) > 0) | copies, "phrase": of_seg(seg[pair[is_key]]) > 0, "top": of_seg(seg[is_top]) > 0,
     }
-    kinds = {"words": int, "function": int, "separators": float, "links": float, "repeats": bool, "phrase": bool, "top": bool}
-    columns = [np.asarray(out[k]).astype(kind).tolist() for k, kind in kinds.items()]
-    rows = [dict(zip(kinds, r)) for r in zip(*columns)]
-    ends = np.cumsum([len(c) for c in cut])
+    structs = pa.StructArray.from_arrays([pa.array(x) for x in of_segment.values()], list(of_segment))
     least = np.maximum(words, 1)
     of_page = lambda x: np.bincount(page_of, x, n_pages)
-    return pd.DataFrame(
-        {
-            "doc_id": batch["doc_id"].to_numpy(), "lang": lang, "profiled": at >= 0, "n_words": words.astype(np.int32), "top_word_share": top_times / least, "key_phrase_share": key_words / least,
-            "duplicate_line_share": of_page(copies) / np.maximum(of_page(np.ones(len(segments))), 1), "link_text_ratio": of_page(link_chars) / np.maximum(of_page(chars), 1),
-            "separator_density": of_page(separators) / least, "function_share": np.bincount(page, is_function, n_pages) / least, "segments": [rows[b - len(c) : b] for b, c in zip(ends, cut)],
-        }
-    )
+    out = {
+        "doc_id": ids, "lang": pa.array(lang, pa.string()), "profiled": at >= 0, "n_words": words.astype(np.int32), "top_word_share": top_times / least, "key_phrase_share": key_words / least,
+        "duplicate_line_share": of_page(copies) / np.maximum(n_cut, 1), "link_text_ratio": of_page(link_chars) / np.maximum(of_page(chars), 1),
+        "separator_density": of_page(separators) / least, "function_share": np.bincount(page, is_function, n_pages) / least,
+        "segments": pa.ListArray.from_arrays(pa.array(np.r_[0, np.cumsum(n_cut)], pa.int32()), structs),
+    }
+    return pa.RecordBatch.from_arrays([x if isinstance(x, pa.Array) else pa.array(x) for x in out.values()], list(out))
 
 
 def _limit(values: DataFrame, value: Column, least: float, name: str) -> DataFrame:
@@ -176,14 +229,14 @@ def stuffed_pages(docs: DataFrame) -> DataFrame:
     are ignored; an empty table gives an empty result.
     """
     docs = docs.select("doc_id", "text", "lang")
-    sent = docs.sparkSession.sparkContext.broadcast(language_profiles(docs))
+    sent = docs.sparkSession.sparkContext.broadcast(Profiles(language_profiles(docs)))
 
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for start in range(0, len(batch), 1000):
-                yield page_statistics(batch.iloc[start : start + 1000], sent.value)
+            for start in range(0, batch.num_rows, BATCH):
+                yield page_statistics(batch.slice(start, BATCH), sent.value)
 
-    pages = written(spread(docs).mapInPandas(run, PAGE), "pages")
+    pages = written(spread(docs).mapInArrow(run, PAGE), "pages")
     limits_of = F.when(F.col("profiled"), F.col("lang")).otherwise("")
     named = pages.withColumn("lang", limits_of)
     one = named.select("lang", "profiled", F.explode("segments").alias("s")).select("lang", "profiled", "s.*").where("words > 0")

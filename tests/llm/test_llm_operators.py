@@ -2,9 +2,11 @@
 
 import random
 import re
+import time
 from decimal import Decimal
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
@@ -398,6 +400,39 @@ def test_stuffed_pages(spark):
     assert U.stuffed_pages(df.limit(0)).count() == 0
 
 
+def test_pages_are_cut_as_the_patterns_say():
+    draw = random.Random(3)
+    signs = ["a", "lamp", "x1", "_", "é", "目录", "。", "！", "？", ".", "!", "?", '"', "'", "”", ")", "\n", "\n\n", " ", "\t", "\x1c", "\x85", "\xa0", "|", ",", ";", "/", "*", "•", "–", "²"]
+    for some in (signs, [c for c in signs if c.isascii()]):
+        for _ in range(500):
+            text = "".join(draw.choices(some, k=draw.randrange(40)))
+            assert U._segments(text) == [s for s in re.split(r"(?<=[.!?])[\"'”»)]*\s+|(?<=[。！？])|\n+", text) if s]
+            assert U._words(text) == U.WORD.findall(text) and U._separators(text) == len(U.SEPARATOR.findall(text))
+
+
+def test_page_statistics_cost_a_few_readings_of_the_words():
+    draw = random.Random(5)
+    said = [f"w{i}" for i in range(3000)]
+    texts = [" ".join(" ".join(draw.choices(said[: 30 + 30 * (i % 90)], k=12)) + draw.choice([". ", ",\n"]) for _ in range(14)) for i in range(2000)]
+    profiles = U.Profiles({g: {w: i < 20 for i, w in enumerate(said[k::4])} for k, g in enumerate(("de", "en", "es", "fr"))})
+    batch = pa.RecordBatch.from_arrays([pa.array(range(2000)), pa.array(texts), pa.array(["en", "de", "es", None] * 500)], ["doc_id", "text", "lang"])
+
+    def seconds(f):
+        took = []
+        for _ in range(5):
+            began = time.process_time()
+            f()
+            took.append(time.process_time() - began)
+        return min(took)
+
+    assert seconds(lambda: U.page_statistics(batch, profiles)) < 3 * seconds(lambda: [set(U.WORD.findall(t)) for t in texts])
+
+
+def test_page_ids_beside_a_missing_one_are_kept(spark):
+    df = spark.createDataFrame([(2**53 + 1, "a lamp", "en"), (None, "a desk", "en")], "doc_id BIGINT, text STRING, lang STRING").coalesce(1)
+    assert {r.doc_id for r in U.stuffed_pages(df).collect()} == {2**53 + 1, None}
+
+
 def test_registered_queries(spark):
     from loomscope.llm.queries import ORACLES, QUERIES
 
